@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, line_dedup, mixing, ngram_join
+from tessera.llm import bpe, exact_dedup, line_dedup, mixing, ngram_join, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,22 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("text", 256)).drop("text")
 
 
+def _listed(spans: Column) -> Column:
+    """kind:start:end, comma-joined."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",")
+
+
+def _count(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: fixed patterns, and values that are costly to guess."""
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["kind"] != "guess")
+    return found.select("doc_id", *[_count(kind) for kind in ("assign", "access", "hex")], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by component of five-word shingle similarity of 0.75 or more."""
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
@@ -50,6 +66,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_line_dedup": op3_line_dedup,
+    "op4_secret_scan": op4_secret_scan,
     "op5_ngram_join": op5_ngram_join,
     "op6_mix_sources": op6_mix_sources,
     "op8_byte_bpe": op8_byte_bpe,
