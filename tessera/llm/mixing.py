@@ -40,7 +40,7 @@ def targets(sizes: DataFrame, weights: Sequence[int], most_epochs: int) -> DataF
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                weights: Sequence[int] = (5, 2, 1), most_epochs: int = 3, bucket_rows: int = 20_000, few_sources: int = 10_000) -> DataFrame:
+                weights: Sequence[int] = (5, 2, 1), most_epochs: int = 3, bucket_rows: int = 1_000, few_sources: int = 10_000) -> DataFrame:
     """How often a mixture takes each document.
 
     A source takes all its documents as many whole times as its target holds its size.  For the rest it takes documents
