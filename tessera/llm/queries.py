@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, line_dedup, mixing, ngram_join, pii, secret_scan
+from tessera.llm import bpe, exact_dedup, imatch, line_dedup, mixing, ngram_join, pii, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,13 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.byte_bpe(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_ids=False)
 
 
+def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    found = imatch.fingerprints(table(spark, sf_dir, "documents"))
+    shown = lambda marks: F.lower(F.array_join(F.transform(marks, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+    return found.select("doc_id", "n_chars", "edited_sha256", shown("marks").alias("fingerprint"), shown("edited_marks").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: fixed patterns, and spans that weak supervision adds."""
     found = pii.find_pii(table(spark, sf_dir, "documents"))
@@ -77,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_join": op5_ngram_join,
     "op6_mix_sources": op6_mix_sources,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_imatch": op9_imatch,
     "op10_pii": op10_pii,
 }
 
