@@ -64,3 +64,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256",
         )
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay by ``exact_dedup``: one of each class of equal texts."""
+    stay = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_stay_id"), F.col("text_sha256").alias("_stay_sha256"))
+    marked = docs.withColumn("_sha256", F.sha2(text_of(text_col), 256))
+    found = marked.join(stay, F.col(id_col).eqNullSafe(F.col("_stay_id")) & (F.col("_sha256") == F.col("_stay_sha256")), "left_semi")
+    return found.dropDuplicates([id_col, "_sha256"]).drop("_sha256")

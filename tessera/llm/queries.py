@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, imatch, line_dedup, mixing, ngram_join, pii, secret_scan, toxicity
+from tessera.llm import bpe, chat, exact_dedup, imatch, line_dedup, mixing, ngram_join, pii, secret_scan, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,13 +70,28 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded bytes of every document."""
+def op7_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from the side of each participant."""
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+def ranks(name: str = "byte_bpe_50k.tiktoken") -> bytes:
+    """The content of a public rank file."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as file:
+        return file.read()
+
+
+def pattern() -> str:
     import public_tokenizers
 
-    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
-        ranks = file.read()
-    return bpe.byte_bpe(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_ids=False)
+    return public_tokenizers.PATTERN
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded bytes of every document."""
+    return bpe.byte_bpe(table(spark, sf_dir, "documents"), ranks(), pattern(), with_ids=False)
 
 
 def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op5_ngram_join": op5_ngram_join,
     "op6_mix_sources": op6_mix_sources,
+    "op7_chat_rotation": op7_chat_rotation,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_imatch": op9_imatch,
     "op10_pii": op10_pii,
@@ -148,4 +164,19 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, size, source_size, target,
                size * (epochs + CASE WHEN upto - size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END) AS taken
         FROM placed""",
+    "op7_chat_rotation": """
+        WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text,
+                          CAST(floor(coalesce(turn, -1) / 512.0) AS BIGINT) AS part FROM conversations),
+        p AS (SELECT DISTINCT conv_id AS of, speaker AS participant FROM t WHERE speaker <> 'system'),
+        r AS (SELECT t.*, participant, text || '<|end|>' || chr(10) AS body,
+                     CASE WHEN speaker = 'system' THEN '<|system|>' WHEN speaker = participant THEN '<|assistant|>'
+                          ELSE '<|user name=' || speaker || '|>' END || chr(10) AS head
+              FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.of),
+        o AS (SELECT *, CAST(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, participant, part
+                     ORDER BY turn NULLS FIRST, speaker, text ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM r)
+        SELECT conv_id, participant, part, count(*) AS n_turns, count(*) FILTER (speaker = participant) AS n_own,
+               string_agg(head || body, '' ORDER BY turn NULLS FIRST, speaker, text) AS rendered,
+               coalesce(string_agg(CAST(upto - length(body) AS VARCHAR) || ':' || CAST(upto AS VARCHAR), ','
+                        ORDER BY turn NULLS FIRST, speaker, text) FILTER (speaker = participant), '') AS mask
+        FROM o GROUP BY conv_id, participant, part""",
 }

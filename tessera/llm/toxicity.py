@@ -267,27 +267,50 @@ def learn(texts: pa.Array, y: np.ndarray, epochs: int = 6, seed: int = 7) -> Mod
     return model
 
 
+def _scorer(model: Model):
+    """A function from a string column to scores and guessed languages."""
+    words = Words()
+    limits = np.array([model.thresholds.get(name, 0.0) for name in LANGUAGES])
+    shift = float(np.log(CUT / (1 - CUT)))
+
+    def run(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        scores, languages = np.zeros(len(column)), np.zeros(len(column), int)
+        for i, buckets, begins, language in _batches(words, column):
+            own = slice(i, i + len(language))
+            languages[own] = language
+            scores[own] = model.constant if model.constant is not None else 1 / (1 + np.exp(-np.clip(model.logits(buckets, begins) - limits[language] + shift, -500, 500)))
+        return scores, languages
+
+    return run
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, score, language`` for each row: a score from 0 to 1 that is ``CUT`` at the threshold of the text's guessed
     language.  The score is a function of the text alone.  A null or empty text is scored as one without words;
     repeated rows have equal scores; ids may be null; other columns aren't looked at; an empty table gives an empty one.
     One pass without a shuffle; the model has a fixed size and is broadcast."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    shift = float(np.log(CUT / (1 - CUT)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, words = held.value, Words()
-        limits = np.array([model.thresholds.get(name, 0.0) for name in LANGUAGES])
+        scorer = _scorer(held.value)
         for batch in batches:
-            scores, languages = np.zeros(batch.num_rows), np.zeros(batch.num_rows, int)
-            for i, buckets, begins, language in _batches(words, batch.column(1)):
-                own = slice(i, i + len(language))
-                languages[own] = language
-                scores[own] = model.constant if model.constant is not None else 1 / (1 + np.exp(-np.clip(model.logits(buckets, begins) - limits[language] + shift, -500, 500)))
+            scores, languages = scorer(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array([LANGUAGES[k] for k in languages], pa.string())], [id_col, "score", "language"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, score double, language string")
 
 
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", cut: float = CUT) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores below ``cut``."""
+    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(held.value)
+        for batch in batches:
+            yield batch.filter(pa.array(scorer(batch.column(at))[0] < cut))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 pyspark.cloudpickle.register_pickle_by_value(sys.modules[__name__])
