@@ -43,7 +43,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         numbered = dictionary.join(clashing, "key", "left_semi").select(
             "key", F.col("chunk").alias("clash"), F.row_number().over(Window.partitionBy("key").orderBy("chunk")).alias("number"))
-        parts = facts.select("id", "text_sha256", F.monotonically_increasing_id().alias("row"), F.posexplode_outer(chunks(F.col("text"))).alias("pos", "chunk"))
+        parts = facts.withColumn("row", F.monotonically_increasing_id()).select("id", "text_sha256", "row", F.posexplode_outer(chunks(F.col("text"))).alias("pos", "chunk"))
         listed = (
             held(parts).join(numbered.drop("key"), F.col("chunk") == F.col("clash"), "left")
             .groupBy("id", "text_sha256", "row")

@@ -51,7 +51,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Returns ``id, size, source, source_size, target, copies, taken`` for each row.  A null or empty text has size 0 and
     takes nothing; null sources are one source, the last; null ids share one key; ties of keys go by id, then size;
-    repeated rows may each be taken.  Ids alone make the keys, so reruns agree.  Empty tables give empty ones.
+    repeated rows may each be taken; where nothing is left, documents of size 0 aren't taken again.  Ids alone make the keys, so reruns agree.  Empty tables give empty ones.
     """
     text = text_of(text_col)
     uniform = (F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
@@ -79,6 +79,6 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole = placed.where(~F.coalesce(at_end, F.lit(False))).withColumn("more", F.coalesce(F.col("bucket") < F.col("end_bucket"), F.col("rest") > 0))
     order = Window.partitionBy("source").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
     part = placed.where(at_end).withColumn("more", F.col("before") + F.sum("size").over(order) - F.col("size") / 2 <= F.col("rest"))
-    copies = F.col("epochs") + F.col("more").cast("long")
+    copies = F.col("epochs") + (F.col("more") & (F.col("rest") > 0)).cast("long")
     return whole.unionByName(part).select(
         F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
