@@ -4,11 +4,13 @@ Documents with equal sets are one class, so copies are never paired.  The produc
 transpose is taken block by block, a block being the columns (n-grams) with the same remainder; a block holds, for each
 class, only the columns that a size-derived bound needs: if n-grams are put in one order for all, rare ones first, two
 sets of Jaccard similarity t share one of the first n - ceil(t n) + 1 of theirs.  In a block, a pair is discarded when
-its sizes, or what is left of both sets from the shared column on, can't reach the overlap that t asks for.
+its sizes, or what is left of both sets from the shared column on, can't reach the overlap that t asks for; later also
+when bitmaps of the two sets differ in more bits than t allows members that aren't shared.
 
 A column that many classes share isn't expanded into pairs at once.  The first pass proposes for each class of a column
-one leader, and the exact overlaps of these pairs join classes to components.  The second pass proposes every pair of a
-column that is still apart and within the bounds.  A pair that neither pass proposes is joined already or can't link.
+one leader, and the exact overlaps of these pairs join classes to components.  The second proposes for each class the
+closest one of each other component.  The third proposes every pair of a column that is still apart and within the
+bounds.  A pair that no pass proposes is joined already or can't link.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from tessera.llm.common import held
 from tessera.llm.components import components
 
 _U = np.uint64
+#: Columns of up to so many classes leave out, for the later passes, classes that no pair within the bounds is left for.
+SMALL = 256
 
 
 def _signature(hashes: np.ndarray) -> int:
@@ -34,6 +38,14 @@ def _signature(hashes: np.ndarray) -> int:
     return int(shingles._mixed(shingles._mixed(hashes ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U, keepdims=True) + _U(len(hashes))).view(np.int64)[0])
 
 
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    """A bitmap of a set with about 4 to 8 bits a member; its size in 64-bit words is a power of two."""
+    words = 1 << max(0, (max(1, len(hashes)) // 16 - 1).bit_length())
+    flags = np.zeros(64 * words, np.uint8)
+    flags[hashes % _U(64 * words)] = 1
+    return np.packbits(flags, bitorder="little").view("<i8")
+
+
 def _prefix(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
@@ -44,8 +56,9 @@ def _fits(n: np.ndarray, m: np.ndarray, left: np.ndarray, left2: np.ndarray, per
 
 
 def _profile(width: int, buffer: int, often: int):
-    """A row (0, id, size, signature, null) for each document, and (1, null, null, n-gram, count) for each n-gram that
-    ``often`` or more of the classes in a buffer of about ``buffer`` n-grams hold."""
+    """A row (0, id, size, signature, null, bitmap) for each document (a bitmap once for each class in a buffer), and
+    (1, null, null, n-gram, count, null) for each n-gram that ``often`` or more of the classes in a buffer of about
+    ``buffer`` n-grams hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = shingles.Shingler(width)
@@ -57,16 +70,18 @@ def _profile(width: int, buffer: int, often: int):
             values, n = np.unique(np.concatenate(kept) if kept else np.zeros(0, _U), return_counts=True)
             values, n = values[n >= often], n[n >= often]
             k = len(values)
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, ids), pa.nulls(k, pa.int64()), pa.array(values.view(np.int64)), pa.array(n)], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, ids), pa.nulls(k, pa.int64()), pa.array(values.view(np.int64)), pa.array(n), pa.nulls(k, words)], names)
 
         ids = None
         for batch in batches:
             ids = batch.column(0).type
-            sizes, signatures = [], []
+            sizes, signatures, bits = [], [], []
             for hashes in shingler.sets(batch.column(1)):
                 sizes.append(len(hashes))
                 signatures.append(signature := _signature(hashes))
-                if signature not in seen and len(hashes):
+                new = signature not in seen and len(hashes) > 0
+                bits.append(_bits(hashes) if new else None)
+                if new:
                     seen.add(signature)
                     kept.append(hashes)
                     room -= len(hashes)
@@ -74,11 +89,11 @@ def _profile(width: int, buffer: int, often: int):
                         yield counts(ids)
                         seen, kept, room = set(), [], buffer
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(signatures, pa.int64()), pa.nulls(n, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(signatures, pa.int64()), pa.nulls(n, pa.int64()), pa.array(bits, words)], names)
         if ids is not None:
             yield counts(ids)
 
-    names = ["kind", "id", "size", "signature", "n"]
+    names, words = ["kind", "id", "size", "signature", "n", "bits"], pa.list_(pa.int64())
     return run
 
 
@@ -139,7 +154,7 @@ def _blocks(width: int, percent: int, n_blocks: int, common, buffer: int):
 
 def _pairs(percent: int):
     """Of a block: pairs of a class and its leader, (a, b, null, null, null), and the members of columns with three
-    classes or more, (null, class, size, column set, left)."""
+    classes or more that have pairs left to propose, (null, class, size, column set, left)."""
 
     def run(block: pa.Table) -> pa.Table:
         parts = []
@@ -180,20 +195,31 @@ def _pairs(percent: int):
         np.maximum.at(best, np.repeat(g_starts[group], lengths) + within, left)
         inside = np.repeat(starts[first], g_lengths) + np.arange(g_lengths.sum()) - np.repeat(g_starts, g_lengths)
         signature, size, left = signature[inside], size[inside], best
+        # The class with most shared columns in the block leads: of near copies, the one that the others come from.
+        classes, where = np.unique(signature, return_inverse=True)
+        central = np.bincount(where, np.repeat(np.bincount(group)[np.arange(len(first))], g_lengths), len(classes))[where]
         two = g_starts[g_lengths == 2]
         good = two[_fits(size[two], size[two + 1], left[two], left[two + 1], percent)]
         leads, follows = [good], [good + 1]
+        stay = np.zeros(len(signature), bool)
         for a, k in zip(g_starts[g_lengths > 2], g_lengths[g_lengths > 2]):
-            rest = np.arange(a, a + k)
+            rest = a + np.lexsort((signature[a : a + k], -central[a : a + k]))
             while len(rest) > 1:
                 lead, others = rest[0], rest[1:]
                 fits = _fits(size[lead], size[others], left[lead], left[others], percent)
                 leads.append(np.full(fits.sum(), lead))
                 follows.append(others[fits])
                 rest = others[~fits]
+                if k > SMALL:
+                    stay[lead] = stay[others] = True
+                elif len(others) > 1:
+                    every = rest if not fits.any() else others
+                    open_ = _fits(size[every][:, None], size[every], left[every][:, None], left[every], percent)
+                    np.fill_diagonal(open_, False)
+                    stay[every[open_.any(1)]] = True
         a, b = signature[np.concatenate(leads)], signature[np.concatenate(follows)]
         pairs = np.unique(np.stack((a, b), 1), axis=0)
-        many = np.repeat(g_lengths > 2, g_lengths)
+        many = stay
         sets = np.repeat(named.view(np.int64), g_lengths)[many]
         n, m = len(pairs), len(sets)
         return pa.Table.from_arrays([
@@ -206,6 +232,56 @@ def _pairs(percent: int):
     return run
 
 
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (a row each) folded to ``words`` words."""
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] | bits[:, half:]
+    return bits
+
+
+def _crossing(percent: int, all_pairs: bool):
+    """Of column sets and their classes' bitmaps: pairs (a, b) of classes that are still apart (their labels differ) and
+    that no bound excludes.  Without ``all_pairs``, of each class and label only the pair with the closest bitmaps: enough
+    to join most of what links, in a number of pairs that grows with the classes and not with their square."""
+
+    def run(members: pa.Table, bitmaps: pa.Table) -> pa.Table:
+        ids, first = np.unique(bitmaps["class"].to_numpy(), return_index=True)
+        values = bitmaps["bits"].combine_chunks()
+        starts, flat = values.offsets.to_numpy(), values.values.to_numpy().view(_U)  # bits of signed numbers would be counted without their sign
+        maps = [flat[starts[i] : starts[i + 1]] for i in first]
+        table = members.sort_by("set")
+        column, label, size, left = (table[x].to_numpy() for x in ("set", "label", "size", "left"))
+        who = np.searchsorted(ids, table["b"].to_numpy())
+        cuts = np.flatnonzero(np.r_[True, column[1:] != column[:-1], True])
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            own, n = np.unique(label[lo:hi], return_counts=True)
+            if len(own) < 2:
+                continue
+            words = np.array([len(maps[i]) for i in who[lo:hi]])
+            shown = {w: np.stack([maps[i] for i in who[lo:hi][words == w]]) for w in np.unique(words)}
+            places = {w: lo + np.flatnonzero(words == w) for w in shown}
+            for x in lo + np.flatnonzero(label[lo:hi] != own[n.argmax()]):
+                mine = maps[who[x]][None]
+                for w, bits in shown.items():
+                    ys = places[w]
+                    ok = (label[ys] != label[x]) & _fits(size[x], size[ys], left[x], left[ys], percent)
+                    if not ok.any():
+                        continue
+                    least = min(w, mine.shape[1])
+                    differ = np.bitwise_count(_folded(bits[ok], least) ^ _folded(mine, least)).sum(1, dtype=np.int64)
+                    near = differ * (100 + percent) <= (size[x] + size[ys[ok]]) * (100 - percent)
+                    for y, d in zip(ys[ok][near], differ[near]):
+                        key = (min(who[x], who[y]), max(who[x], who[y])) if all_pairs else (who[x], label[y])
+                        if key not in found or found[key][0] > d:
+                            found[key] = (d, who[y])
+        pairs = np.array(sorted({(min(k[0], y), max(k[0], y)) if not all_pairs else k for k, (_, y) in found.items()}), np.int64).reshape(-1, 2)
+        return pa.table({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return run
+
+
 def _wanted(width: int, bits: np.ndarray):
     """The sets of the classes whose signatures are marked in a bitmap."""
 
@@ -227,10 +303,26 @@ def _wanted(width: int, bits: np.ndarray):
     return run
 
 
+def _near(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """``pairs(a, b)`` without those whose bitmaps differ in more bits than the sets of a link can have members that
+    aren't shared.  The larger bitmap is folded to the size of the other."""
+    side = lambda x: bitmaps.select(F.col("signature").alias(x), F.col("size").alias(f"n_{x}"), F.col("bits").alias(f"of_{x}"))
+    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b").withColumn("k", F.least(F.size("of_a"), F.size("of_b")))
+    differ = F.expr("""aggregate(sequence(0, k - 1), 0, (s, i) -> s + bit_count(
+        (if(size(of_a) > k, of_a[i] | of_a[i + k], of_a[i])) ^ (if(size(of_b) > k, of_b[i] | of_b[i + k], of_b[i]))))""")
+    return both.where(differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).select("a", "b")
+
+
+def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of column sets that still have more than one label, with their labels."""
+    known = members.join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
+    mixed = known.groupBy("set").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select(F.expr("~set").alias("mixed"))
+    return held(known.join(mixed, F.expr("~set") == F.col("mixed"), "left_semi"))
+
+
 def _linked(text: DataFrame, pairs: DataFrame, width: int, percent: int, words: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sets link, by their exact overlaps.  The sets come from the texts again, without
+    """Those of the written ``pairs(a, b)`` whose sets link, by their exact overlaps.  The sets come from the texts again, without
     those that a bitmap of ``64 * words`` bits excludes."""
-    pairs = held(pairs.distinct())
     place = F.pmod(F.col("signature"), F.lit(64 * words))
     marked = (
         pairs.select(F.explode(F.array("a", "b")).alias("signature"))
@@ -248,11 +340,12 @@ def _linked(text: DataFrame, pairs: DataFrame, width: int, percent: int, words:
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75,
-               block_entries: int = 500_000, buffer: int = 4_000_000, often: int = 4, most_common: int = 1 << 18, bitmap_words: int = 1 << 18) -> DataFrame:
+               block_entries: int = 500_000, buffer: int = 4_000_000, often: int = 4, bucket_rows: int = 100_000, most_common: int = 1 << 16, bitmap_words: int = 1 << 16) -> DataFrame:
     """Documents by component of the links of Jaccard similarity of at least ``percent`` / 100 between their sets of
     ``width``-word shingles.
 
-    ``block_entries``: entries of the incidence matrix that one block has on average, whatever the corpus; ``buffer``:
+    ``block_entries``: entries of the incidence matrix that one block has on average, whatever the corpus;
+    ``bucket_rows``: members of columns that a task of the later passes holds on average; ``buffer``:
     n-grams that a task holds at once; ``most_common``: length of the list of the commonest n-grams, which the driver
     gathers and broadcasts (it only orders columns, so links don't depend on it); ``bitmap_words``: 64-bit words of the
     bitmap that spares sets no pair needs.  All are bounds of memory; no pair is lost by any of them.  Sets are sets of
@@ -266,7 +359,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     text = docs.select(text_col)
     id_type = docs.schema[id_col].dataType.simpleString()
-    profile = held(docs.select(id_col, text_col).mapInArrow(_profile(width, buffer, often), f"kind int, id {id_type}, size bigint, signature bigint, n bigint"))
+    profile = held(docs.select(id_col, text_col).mapInArrow(_profile(width, buffer, often), f"kind int, id {id_type}, size bigint, signature bigint, n bigint, bits array<bigint>"))
+    bitmaps = profile.where("bits is not null").select("signature", "size", "bits").dropDuplicates(["signature"])
     found = profile.where("kind = 0").select("id", "size", "signature")
     common = profile.where("kind = 1").groupBy("signature").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "signature").limit(most_common).toPandas()
     hot = common["signature"].to_numpy(np.int64).view(_U)
@@ -277,20 +371,21 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = spark.sparkContext.broadcast((hot[order], rank))
     blocks = text.mapInArrow(_blocks(width, percent, n_blocks, shared, buffer // 2), "block bigint, part binary")
     proposed = held(blocks.groupBy("block").applyInArrow(_pairs(percent), "a bigint, b bigint, size bigint, `set` bigint, left bigint"))
-    links = held(_linked(text, proposed.where("a is not null").select("a", "b"), width, percent, bitmap_words))
+    near = held(_near(proposed.where("a is not null").select("a", "b"), bitmaps, percent))
+    links = held(_linked(text, near, width, percent, bitmap_words))
     labels = components(links)
-    members = proposed.where("a is null").groupBy("set", "b").agg(F.first("size").alias("size"), F.max("left").alias("left"))
-    members = members.join(labels.withColumnRenamed("node", "b"), "b", "left").select("set", "b", "size", "left", F.coalesce("label", "b").alias("label"))
-    apart = members.groupBy("set").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("set")
-    members = held(members.join(apart, "set", "left_semi"))
-    other = members.select("set", *[F.col(x).alias(f"{x}2") for x in ("b", "size", "left", "label")])
-    bound = F.least("left", "left2") * (100 + percent) >= (F.col("size") + F.col("size2")) * percent
-    crossing = members.join(other, "set").where((F.col("b") < F.col("b2")) & (F.col("label") != F.col("label2")) & bound).select(F.col("b").alias("a"), F.col("b2").alias("b"))
-    crossing = held(crossing.distinct().join(proposed.where("a is not null").select("a", "b"), ["a", "b"], "left_anti"))
-    if not crossing.isEmpty():
-        more = held(_linked(text, crossing, width, percent, bitmap_words))
-        if not more.isEmpty():
-            labels = components(links.unionByName(more))
+    members = held(proposed.where("a is null").groupBy("set", "b").agg(F.first("size").alias("size"), F.max("left").alias("left")))
+    n_buckets = max(8, members.count() // bucket_rows + 1)
+    for all_pairs in (False, True):
+        apart = _apart(members, labels)
+        bucket = F.pmod("set", F.lit(n_buckets)).alias("bucket")
+        wanted = apart.select(bucket, F.col("b").alias("class")).distinct().join(bitmaps.select(F.col("signature").alias("class"), "bits"), "class")
+        crossing = apart.withColumn("bucket", bucket).groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(_crossing(percent, all_pairs), "a bigint, b bigint")
+        crossing = held(crossing.distinct())
+        if crossing.isEmpty():
+            break
+        links = held(links.unionByName(_linked(text, crossing, width, percent, bitmap_words)))
+        labels = components(links)
     placed = held(found.join(labels, (F.col("signature") == F.col("node")) & (F.col("size") > 0), "left").select("id", "size", F.coalesce("label", "signature").alias("label")))
     least = placed.where("size > 0").groupBy("label").agg(F.min("id").alias("component_id")).select(F.expr("~label").alias("key"), "component_id")
     return placed.withColumn("mine", F.when(F.col("size") > 0, F.expr("~label"))).join(least, F.col("mine") == F.col("key"), "left").select(
