@@ -24,12 +24,12 @@ NEAR = 48
 
 _LOCAL = "A-Za-z0-9._%+-"
 _DOMAIN = "A-Za-z0-9-"
-#: For each kind a cheap guard and the pattern.  They find the leftmost matches from left to right, and are written so
+#: For each kind a cheap guard, which any text with a match has, and the pattern.  The patterns find the leftmost matches from left to right, and are written so
 #: that no repeated group makes the matcher recurse and no run is scanned again from each of its characters.
 PATTERNS = {
     "email": ("@", rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[{_DOMAIN}]++(?=\.[{_DOMAIN}])[.{_DOMAIN}]+?(?=\.\.|\.?+(?![.{_DOMAIN}]))"),
     "ip": (r"[0-9]\.[0-9]", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
-    "card": (r"[0-9][0-9 -]{10}[0-9]", r"(?<![0-9 -])[0-9][0-9 -]{11,}+"),
+    "card": (r"[0-9][0-9 -]{11}", r"(?<![0-9 -])[0-9][0-9 -]{11,}+"),
     "phone": (r"\+[0-9]", r"\+[0-9][ ().0-9-]+[0-9]"),
     "local": (r"[0-9]{3}[.-][0-9]{4}", r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[.-][0-9]{4}(?![0-9])"),
     "national": (r"[0-9]-[0-9]{2}-[0-9]", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),

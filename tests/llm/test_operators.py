@@ -303,6 +303,17 @@ def test_pii(spark):
         assert [(x.kind, x.start, x.stop) for x in found[k] if x.kind in pii.BASE] == brute_pii(t or ""), t
 
 
+def test_pii_cards_in_single_digits(spark):
+    """Digits set off one by one stand at even distances only."""
+    card, zeros = "4111111111111111", "0" * 12
+    texts = [sign.join(d) for sign in " -" for d in (card, zeros, card[:-1] + "2", "4222222222222")]
+    texts += [f"row\n{' '.join(zeros)}\nrow", f"paid with {'-'.join(card)}.", f"é🙂 {' '.join(card)} - {'-'.join(card)}", "4 1-1 1-1 1-1 1-1 1-1 1-1 1-1 1", "0 " * 11 + "- 0"]
+    found = {r.doc_id: r.spans for r in pii.find_pii(frame(spark, [(k, t, "s") for k, t in enumerate(texts)])).collect()}
+    assert sum(x.kind == "card" for spans in found.values() for x in spans) == 11
+    for k, t in enumerate(texts):
+        assert [(x.kind, x.start, x.stop) for x in found[k] if x.kind in pii.BASE] == brute_pii(t), t
+
+
 def test_pii_awkward(docs, empty):
     assert pii.find_pii(docs).count() == len(ROWS) and pii.find_pii(empty).count() == 0
 
