@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, exact_dedup, mixing, ngram_join, queries, toxicity
+from tessera.llm.common import digest, text_of
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +25,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    stay = ngram_join.ngram_join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id"))
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stay_id")), "left_semi")
+    # Ids may be null or repeated; with the text's digest they name a row, as equal texts are gone.  Null ids come last.
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", digest(text_of("text")).alias("digest"))
+    joined = ngram_join.ngram_join(docs.select(key.alias("row_key"), "text"), "row_key")
+    stay = joined.where(F.col("row_key") == F.col("component_id")).select(F.col("row_key.doc_id").alias("stay_id"), F.col("row_key.digest").alias("stay_digest"))
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stay_id")) & (digest(text_of("text")) == F.col("stay_digest")), "left_semi")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

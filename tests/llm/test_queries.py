@@ -55,3 +55,17 @@ def test_pipeline(spark, tmp_path):
     assert 1002 not in apart and 1001 in apart
     assert set(mixed) <= set(apart) and max(mixed.count(i) for i in mixed) <= 3 and sorted(mixed) == sorted(encoded)
     assert frame.where(F.col("n_tokens") != F.size("ids")).count() == 0
+
+
+def test_near_copies_without_own_ids(spark):
+    """Of each component one row stays, also where ids are null or repeated."""
+    text = lambda name, end="": " ".join(f"{name}{k} {name}{k * 7 % 13}" for k in range(40)) + end
+    rows = [
+        (None, text("a")), (None, text("a", " x")), (None, text("b")), (None, text("c")), (2, text("c", " y")), (1, text("d")), (1, text("e")), (3, text("d", " z")), (0, text("e", " w")),
+        (None, text("b", " v")), (4, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").where("doc_id is not null").collect() if r.text)
+    assert found == [(0, text("e", " w")), (1, text("d")), (2, text("c", " y"))]
+    unnamed = [r.text for r in corpus_pipeline.drop_near_copies(spark, docs, "").where("doc_id is null").collect()]
+    assert len(unnamed) == 2 and {t[0] for t in unnamed} == {"a", "b"}
