@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from tessera.llm.common import held, text_of
 
 SUBSETS = 16
-#: Slots of the lexicon's table; of terms that want one slot the lexicon has one.
+#: Slots of the lexicon's table; each has a list of the terms that want it.
 SLOTS = 1 << 18
 
 
@@ -26,13 +26,13 @@ def _let(value: Column, use) -> Column:
 def lexicon(docs: DataFrame, text_col: str, low: float, high: float) -> DataFrame:
     """One row with ``slots``, the table of the terms whose inverse document frequency is in the band: those in at least
     ``low`` and at most ``high`` of all documents.  A document has few hundred terms, so at most that number divided by
-    ``low`` are in the band however large the corpus; the table has a fixed size."""
+    ``low`` are in the band however large the corpus, and the table has all of them.  Slots without terms are null."""
     n_docs = docs.count()
     counted = docs.select(F.explode(_terms(text_of(text_col))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     band = counted.where((F.col("n") >= max(2, low * n_docs)) & (F.col("n") <= max(2, high * n_docs)))
-    slots = band.groupBy(F.pmod("term", F.lit(SLOTS)).alias("slot")).agg(F.max("term").alias("term"))
+    slots = band.groupBy(F.pmod("term", F.lit(SLOTS)).alias("slot")).agg(F.sort_array(F.collect_list("term")).alias("terms"))
     table = docs.sparkSession.range(SLOTS).withColumnRenamed("id", "slot").join(slots, "slot", "left")
-    return table.agg(F.sort_array(F.collect_list(F.struct("slot", F.coalesce("term", F.lit(0)).alias("term")))).alias("s")).select(F.col("s.term").alias("slots"))
+    return table.agg(F.sort_array(F.collect_list(F.struct("slot", "terms"))).alias("s")).select(F.col("s.terms").alias("slots"))
 
 
 def fingerprint(text: Column, slots: Column) -> Column:
@@ -42,7 +42,7 @@ def fingerprint(text: Column, slots: Column) -> Column:
     any term of the text counts, so short and long texts keep one or two terms of each order.  Texts without a term in
     the band use all their terms."""
     weight = lambda j, t: F.shiftrightunsigned(F.xxhash64(j, t), 1)
-    in_band = lambda terms: F.filter(terms, lambda t: slots[F.pmod(t, F.lit(SLOTS)).cast("int")] == t)
+    in_band = lambda terms: F.filter(terms, lambda t: F.array_contains(slots[F.pmod(t, F.lit(SLOTS)).cast("int")], t))
     kept = _let(_terms(text), lambda terms: _let(in_band(terms), lambda band: F.sort_array(F.when(F.size(band) > 0, band).otherwise(terms))))
     width = lambda j, terms: F.length(F.bin(F.coalesce(F.array_min(F.transform(terms, lambda t: weight(j, t))), F.lit(0))))
     subset = lambda j, terms: _let(width(j, terms), lambda w: F.xxhash64(F.filter(terms, lambda t: F.call_function("shiftrightunsigned", weight(j, t), w) == 0)))

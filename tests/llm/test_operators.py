@@ -271,6 +271,16 @@ def test_likeness_orders_texts(spark):
     assert sum(r.near_edited for r in found) / 80 > 0.35 > 0.25 > sum(r.near_next for r in found) / 80
 
 
+def test_lexicon_has_terms_that_share_a_slot(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [f"term{k}" for k in range(200)]
+    corpus = frame(spark, [(i, " ".join(rng.sample(words, 20)), "s") for i in range(30)])
+    marks = lambda: {r.doc_id: (r.marks, r.edited_marks) for r in imatch.fingerprints(corpus).collect()}
+    wide = marks()
+    monkeypatch.setattr(imatch, "SLOTS", 3)
+    assert marks() == wide
+
+
 def test_next_ids(spark):
     ids = spark.createDataFrame([(x,) for x in (5, -3, 10**12, 7, 7, None)], "id long")
     assert {r.id: r.next_id for r in imatch.next_ids(ids, part_rows=2).collect()} == {-3: 5, 5: 7, 7: 10**12, 10**12: -3}
