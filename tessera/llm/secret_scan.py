@@ -22,10 +22,11 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LEAST = 6
 KINDS = ("assign", "access", "hex", "guess")
 
-#: Contexts in which a value is priced; a sign or "is" stands between the name and the value.
+#: Contexts in which a value is priced; a sign or "is" stands between the name and the value, with
+#: any run of blanks and tabs around a sign (possessive, so that no run is scanned again).
 CONTEXT = re.compile(
     r"""(?<![A-Za-z])(?:password|passwd|passphrase|passcode|pwd|secret|token|credentials?|bearer|api[_-]?key|private[_-]?key|access[_-]?key|auth[_-]?key)"""
-    r"""["'`]?(?:\x20{0,8}(?:=>|->|:=|[:=])\x20{0,8}|\x20is:?\x20)["'`]?([^\s"'`,;<>(){}]{4,})""", re.I | re.A)
+    r"""["'`]?(?:[\x20\t]*+(?:=>|->|:=|[:=])[\x20\t]*+|\x20is:?\x20)["'`]?([^\s"'`,;<>(){}]{4,})""", re.I | re.A)
 _HINTS = ("passw", "passp", "passc", "pwd", "secret", "token", "credential", "bearer", "key")
 
 #: Words that people put into passwords, commonest first.

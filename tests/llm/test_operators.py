@@ -125,6 +125,14 @@ def test_secret_spans():
         assert [(k, s, e) for k, s, e, _ in secret_scan.spans(text, 8.0) if k != "guess"] == brute_secrets(text), text
 
 
+def test_guesses_behind_aligned_signs():
+    for name in ("pwd", "passphrase", "passcode", "credentials", "private_key"):
+        for before, after in ((" " * 9, " "), (" ", " " * 30), ("\t", "\t\t"), (" \t ", "\t "), ("", "")):
+            text = f"{name}{before}={after}Xk9vQ2mZr7Lw"
+            assert [(kind, text[a:b]) for kind, a, b, _ in secret_scan.spans(text, 8.0)] == [("guess", "Xk9vQ2mZr7Lw")], text
+    assert secret_scan.spans("pwd\n=\nXk9vQ2mZr7Lw " + "pwd" + " " * 300_000 + "pwd" + "\t" * 300_000, 8.0) == []
+
+
 def test_guess_costs():
     cost = secret_scan.guess_cost
     assert cost("") == 0 and cost("password") < cost("Passw0rd") < cost("Passw0rd123") < cost("xK9#mQ2$vL7!")
