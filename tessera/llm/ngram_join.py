@@ -1,16 +1,21 @@
 """Jaccard similarity join of documents by a blocked sparse product of the document by n-gram incidence.
 
-Documents with equal sets are one class, so copies are never paired.  The product of the incidence matrix with its
-transpose is taken block by block, a block being the columns (n-grams) with the same remainder; a block holds, for each
-class, only the columns that a size-derived bound needs: if n-grams are put in one order for all, rare ones first, two
-sets of Jaccard similarity t share one of the first n - ceil(t n) + 1 of theirs.  In a block, a pair is discarded when
-its sizes, or what is left of both sets from the shared column on, can't reach the overlap that t asks for; later also
-when bitmaps of the two sets differ in more bits than t allows members that aren't shared.
-
-A column that many classes share isn't expanded into pairs at once.  The first pass proposes for each class of a column
-one leader, and the exact overlaps of these pairs join classes to components.  The second proposes for each class the
-closest one of each other component.  The third proposes every pair of a column that is still apart and within the
-bounds.  A pair that no pass proposes is joined already or can't link.
+Documents with equal sets of n-grams are one class, a row of the incidence matrix; n-grams are its columns, and a block
+is the columns with the same remainder.  Overlaps are counted in each block and summed over the blocks, and what can't
+reach the overlap that its size asks for is discarded:
+
+1. *Census.*  The product with the all-ones vector: in each block, how many of a class's columns another class has too.
+   Summed over the blocks, this bounds every overlap of the class; a class that shares less than ``percent`` of its set
+   can't link, and goes.
+2. *Product.*  Of the classes that stay, each block counts for each column the pairs of its *leader* with its other
+   members: a star, as many pairs as members.  The sums over all blocks are overlaps as far as the leader's columns go;
+   where they reach the bound, the pair links, and links join classes to components.
+3. *Rest.*  A link between components has all its columns in stars that hold both.  So stars within one component go,
+   and then classes whose columns in the other stars are too few for any link, as often as that changes something.  The
+   members of a star that remain are multiplied in full, each one outside the star's largest component with all others;
+   a class is sent only to the first of its stars (in one order for all) without which too few columns would be left.
+
+No pair that links is lost by any step, and no step makes more rows than the matrix has entries.
 """
 
 from __future__ import annotations
@@ -23,333 +28,395 @@ import pyarrow as pa
 import pyspark.cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm import shingles
 from tessera.llm.common import held
 from tessera.llm.components import components
 
-_U = np.uint64
-#: Columns of up to so many classes leave out, for the later passes, classes that no pair within the bounds is left for.
-SMALL = 256
+_U, _I = np.uint64, np.int64
+#: Candidates for the leader of a column that very many classes share; a class that shares so much of its set leads before others.
+CANDIDATES, CENTRAL = 8, 0.98
 
 
-def _signature(hashes: np.ndarray) -> int:
-    """64 bits for a set; with its size, the class of equal sets."""
-    return int(shingles._mixed(shingles._mixed(hashes ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U, keepdims=True) + _U(len(hashes))).view(np.int64)[0])
+def _signature(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits for a set."""
+    once = shingles._mixed(hashes ^ _U(0x5851F42D4C957F2D))
+    sums = np.array([once.sum(dtype=_U), shingles._mixed(once ^ _U(0x2545F4914F6CDD1D)).sum(dtype=_U)], _U)
+    return tuple(shingles._mixed(sums + _U(len(hashes))).view(_I).tolist())
 
 
-def _bits(hashes: np.ndarray) -> np.ndarray:
-    """A bitmap of a set with about 4 to 8 bits a member; its size in 64-bit words is a power of two."""
-    words = 1 << max(0, (max(1, len(hashes)) // 16 - 1).bit_length())
-    flags = np.zeros(64 * words, np.uint8)
-    flags[hashes % _U(64 * words)] = 1
-    return np.packbits(flags, bitorder="little").view("<i8")
+def _marked(marks: np.ndarray, hi: int) -> bool:
+    bit = hi % (64 * len(marks))
+    return bool(int(marks[bit // 64]) >> (bit % 64) & 1)
 
 
-def _prefix(n: int, percent: int) -> int:
-    return n - (percent * n + 99) // 100 + 1
+def _pools(batches: Iterator[pa.RecordBatch], width: int, buffer: int, marks: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Distinct classes of about ``buffer`` n-grams at once: signatures (two columns), sizes, and n-grams one class after
+    the other; with ``marks`` only the classes that are marked."""
+    shingler = shingles.Shingler(width)
+    kept: dict[tuple[int, int], np.ndarray] = {}
+    room = buffer
 
+    def pool() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.array(list(kept), _I).reshape(-1, 2), np.array([len(x) for x in kept.values()], _I), np.concatenate(list(kept.values()))
 
-def _fits(n: np.ndarray, m: np.ndarray, left: np.ndarray, left2: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of n and m members with at most ``left`` and ``left2`` in common can link."""
-    return np.minimum(left, left2) * (100 + percent) >= percent * (n + m)
+    for batch in batches:
+        for hashes in shingler.sets(batch.column(0)):
+            if len(hashes):
+                signature = _signature(hashes)
+                if signature not in kept and (marks is None or _marked(marks, signature[0])):
+                    kept[signature] = hashes
+                    room -= len(hashes)
+                    if room <= 0:
+                        yield pool()
+                        kept, room = {}, buffer
+    if kept:
+        yield pool()
 
 
-def _profile(width: int, buffer: int, often: int):
-    """A row (0, id, size, signature, null, bitmap) for each document (a bitmap once for each class in a buffer), and
-    (1, null, null, n-gram, count, null) for each n-gram that ``often`` or more of the classes in a buffer of about
-    ``buffer`` n-grams hold."""
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values (or rows of values) start, and how long they are."""
+    new = values[1:] != values[:-1]
+    starts = np.flatnonzero(np.r_[True, new if new.ndim == 1 else new.any(1)]) if len(values) else np.zeros(0, _I)
+    return starts, np.diff(np.r_[starts, len(values)])
+
+
+def _rows(found: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([x.tobytes() for _, x in found], pa.binary())], ["block", "part"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = shingles.Shingler(width)
-        seen: set[int] = set()
-        kept: list[np.ndarray] = []
-        room = buffer
 
-        def counts(ids: pa.DataType) -> pa.RecordBatch:
-            values, n = np.unique(np.concatenate(kept) if kept else np.zeros(0, _U), return_counts=True)
-            values, n = values[n >= often], n[n >= often]
-            k = len(values)
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, ids), pa.nulls(k, pa.int64()), pa.array(values.view(np.int64)), pa.array(n), pa.nulls(k, words)], names)
+def _profile(width: int):
+    """id, size and signature of each document."""
 
-        ids = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = shingles.Shingler(width)
         for batch in batches:
-            ids = batch.column(0).type
-            sizes, signatures, bits = [], [], []
-            for hashes in shingler.sets(batch.column(1)):
-                sizes.append(len(hashes))
-                signatures.append(signature := _signature(hashes))
-                new = signature not in seen and len(hashes) > 0
-                bits.append(_bits(hashes) if new else None)
-                if new:
-                    seen.add(signature)
-                    kept.append(hashes)
-                    room -= len(hashes)
-                    if room <= 0:
-                        yield counts(ids)
-                        seen, kept, room = set(), [], buffer
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(signatures, pa.int64()), pa.nulls(n, pa.int64()), pa.array(bits, words)], names)
-        if ids is not None:
-            yield counts(ids)
-
-    names, words = ["kind", "id", "size", "signature", "n", "bits"], pa.list_(pa.int64())
+            sets = [(len(x), *(_signature(x) if len(x) else (0, 0))) for x in shingler.sets(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in sets], pa.int64()) for k in range(3))], ["id", "size", "hi", "lo"])
+
     return run
 
 
-def _blocks(width: int, percent: int, n_blocks: int, common, buffer: int):
-    """The incidence matrix in blocks: rows of a block's number and, packed, the classes and their columns in it."""
+def _census_blocks(width: int, n_blocks: int, buffer: int, hot: int):
+    """The incidence in blocks.  A column that several classes of a pool have is counted for them here and sent once, so
+    that no column brings more rows to a block than there are pools.  A part is int64 numbers: how many classes, n-grams
+    of single classes and shared n-grams follow; the classes' signatures, sizes and counts (with 0 but in one block);
+    for each class how many n-grams it has here; 32 bits of each n-gram within the block, in pairs.  Blocks below 0 have
+    columns of at least ``hot`` classes of a pool: the column, classes, and a leader, the class of the pool that shares most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = shingles.Shingler(width)
-        hot, rank = common.value
-        seen: set[int] = set()
-        rows: list[tuple[int, int, np.ndarray]] = []
-        room = buffer
-
-        def packed() -> pa.RecordBatch:
-            lengths = np.array([len(x) for _, _, x in rows], np.int64)
-            owner = np.repeat(np.arange(len(rows)), lengths)
-            column = np.concatenate([x for _, _, x in rows] or [np.zeros(0, _U)])
-            place = np.arange(len(column)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            size, signature = np.array([x[0] for x in rows], np.int64), np.array([x[1] for x in rows], np.int64)
-            block = (column % _U(n_blocks)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            block, owner, column, left = block[order], owner[order], column[order], (size[owner] - place)[order]
-            cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]) if len(block) else np.zeros(1, int)
-            numbers, blobs = [], []
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                heads = np.flatnonzero(np.r_[True, owner[a + 1 : b] != owner[a : b - 1]]) + a
-                own = owner[heads]
-                blobs.append(b"".join((np.array([len(heads), b - a], "<i8").tobytes(), signature[own].tobytes(), size[own].tobytes(), np.diff(np.r_[heads, b]).astype("<i4").tobytes(), column[a:b].tobytes(), left[a:b].astype("<i4").tobytes())))
-                numbers.append(block[a])
-            return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(blobs, pa.large_binary()).cast(pa.binary())], ["block", "part"])
-
-        for batch in batches:
-            for hashes in shingler.sets(batch.column(0)):
-                n = len(hashes)
-                if not n or (signature := _signature(hashes)) in seen:
-                    continue
-                seen.add(signature)
-                first = _prefix(n, percent)
-                if len(hot):
-                    at = np.searchsorted(hot, hashes)
-                    at[at == len(hot)] = 0
-                    is_hot = hot[at] == hashes
-                    cold = hashes[~is_hot]
-                    if len(cold) < first:
-                        late = at[is_hot]
-                        cold = np.concatenate((cold, hot[late[np.argsort(rank[late])]]))
-                    hashes = cold
-                rows.append((n, signature, hashes[:first]))
-                room -= first
-                if room <= 0:
-                    yield packed()
-                    seen, rows, room = set(), [], buffer
-        if rows:
-            yield packed()
+        for names, sizes, columns in _pools(batches, width, buffer):
+            k = len(sizes)
+            whose = np.repeat(np.arange(k), sizes)
+            order = np.argsort(columns, kind="stable")
+            place = columns[order]
+            starts, lengths = _runs(place)
+            many = lengths > 1
+            local = np.bincount(whose[order[np.repeat(many, lengths)]], minlength=k)
+            found: list[tuple[int, np.ndarray]] = []
+            busy = lengths >= hot
+            if busy.any():
+                rank = np.empty(k, _I)
+                rank[np.lexsort((names[:, 1], names[:, 0], -sizes, -local / sizes))] = np.arange(k)
+                first = np.argsort(rank)[np.minimum.reduceat(rank[whose[order[np.repeat(busy, lengths)]]], np.cumsum(lengths[busy]) - lengths[busy])]
+                rows = np.column_stack((place[starts[busy]].view(_I), lengths[busy], names[first], (local[first] * 1000) // sizes[first]))
+                to = (place[starts[busy]] % _U(n_blocks)).astype(_I)
+                found += [(-1 - int(b), rows[to == b]) for b in np.unique(to)]
+            ones = np.zeros(len(columns), bool)
+            ones[order[starts[~many]]] = True
+            single, whose, shared = columns[ones], whose[ones], place[starts[many]]
+            keys = []
+            for of in (single, shared):
+                block = (of % _U(n_blocks)).astype(np.uint16 if n_blocks < 1 << 16 else _I)
+                order = np.argsort(block, kind="stable")
+                keys.append((order, ((of // _U(n_blocks)) & _U(0xFFFFFFFF)).astype("<u4")[order], np.searchsorted(block[order], np.arange(n_blocks + 1))))
+            (order, own_keys, cuts), (_, shared_keys, shared_cuts) = keys
+            whose, told = whose[order], names[:, 0] % n_blocks
+            for b in range(n_blocks):
+                one, two = own_keys[cuts[b] : cuts[b + 1]], shared_keys[shared_cuts[b] : shared_cuts[b + 1]]
+                here = np.bincount(whose[cuts[b] : cuts[b + 1]], minlength=k)
+                also = np.where(told == b, local, 0)
+                who = np.flatnonzero((here > 0) | (also > 0))
+                n = len(one) + len(two)
+                if n or len(who):
+                    packed = np.concatenate((one, two, np.zeros(n % 2, "<u4"))).view(_I)
+                    found.append((b, np.concatenate(([len(who), len(one), len(two)], names[who, 0], sizes[who], also[who], here[who], packed))))
+            yield _rows(found)
 
     return run
 
 
-def _pairs(percent: int):
-    """Of a block: pairs of a class and its leader, (a, b, null, null, null), and the members of columns with three
-    classes or more that have pairs left to propose, (null, class, size, column set, left)."""
+def _census(n_buckets: int):
+    """Of a block: for each class how many of its columns here others have too, packed by buckets of classes as rows of
+    signature, size, count, and counts of the pools.  Parts of blocks below 0 go on as they are."""
 
     def run(block: pa.Table) -> pa.Table:
-        parts = []
-        for blob in block.column("part").to_pylist():
-            heads, n = np.frombuffer(blob, "<i8", 2)
-            signature, size = np.frombuffer(blob, "<i8", heads, 16), np.frombuffer(blob, "<i8", heads, 16 + 8 * heads)
-            counts = np.frombuffer(blob, "<i4", heads, 16 + 16 * heads)
-            at = 16 + 20 * int(heads)
-            parts.append((np.repeat(signature, counts), np.repeat(size, counts), np.frombuffer(blob, "<u8", n, at), np.frombuffer(blob, "<i4", n, at + 8 * int(n)).astype(np.int64)))
-        signature, size, column, left = (np.concatenate(x) for x in zip(*parts))
+        number = block.column("block")[0].as_py()
+        parts = [np.frombuffer(x, _I) for x in block.column("part").to_pylist()]
+        if number < 0:
+            return pa.Table.from_batches([_rows([(number, np.concatenate(parts))])])
+        names, facts, owners, keys, shared = [], [], [], [], []
+        base = 0
+        for part in parts:
+            k, n, m = part[:3].tolist()
+            names.append(part[3 : 3 + k])
+            facts.append(np.column_stack((part[3 + k : 3 + 2 * k], part[3 + 2 * k : 3 + 3 * k])))
+            owners.append(np.repeat(np.arange(base, base + k), part[3 + 3 * k : 3 + 4 * k]))
+            packed = part[3 + 4 * k :].view("<u4")[: n + m]
+            keys.append(packed[:n])
+            shared.append(packed[n:])
+            base += k
         del parts
-        order = np.argsort(column, kind="stable")
-        sorted_ = column[order]
-        shared = np.zeros(len(order) + 1, bool)
-        shared[1:-1] = sorted_[1:] == sorted_[:-1]
-        order = order[shared[1:] | shared[:-1]]
-        signature, size, column, left = signature[order], size[order], column[order], left[order]
-        order = np.lexsort((signature, column))
-        signature, size, column, left = signature[order], size[order], column[order], left[order]
-        if len(order):
-            new = np.r_[True, (column[1:] != column[:-1]) | (signature[1:] != signature[:-1])]
-            signature, size, column, left = signature[new], size[new], column[new], left[new]
-        cuts = np.flatnonzero(np.r_[True, column[1:] != column[:-1], True]) if len(column) else np.zeros(1, int)
-        starts, lengths = cuts[:-1], np.diff(cuts)
-        starts, lengths = starts[lengths > 1], lengths[lengths > 1]
-        if not len(starts):
-            return pa.Table.from_arrays([pa.nulls(0, pa.int64())] * 5, names)
-        # Columns with the same classes are one, with the best of their bounds.
-        inside = np.repeat(starts, lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        signature, size, left = signature[inside], size[inside], left[inside]
-        starts = np.cumsum(lengths) - lengths
-        names_of = np.add.reduceat(shingles._mixed(signature.view(_U) ^ _U(0x2545F4914F6CDD1D)), starts)
-        named, first, group = np.unique(names_of, return_index=True, return_inverse=True)
-        g_lengths = lengths[first]
-        g_starts = np.cumsum(g_lengths) - g_lengths
-        within = np.arange(len(signature)) - np.repeat(starts, lengths)
-        best = np.zeros(g_lengths.sum(), np.int64)
-        np.maximum.at(best, np.repeat(g_starts[group], lengths) + within, left)
-        inside = np.repeat(starts[first], g_lengths) + np.arange(g_lengths.sum()) - np.repeat(g_starts, g_lengths)
-        signature, size, left = signature[inside], size[inside], best
-        # The class with most shared columns in the block leads: of near copies, the one that the others come from.
-        classes, where = np.unique(signature, return_inverse=True)
-        central = np.bincount(where, np.repeat(np.bincount(group)[np.arange(len(first))], g_lengths), len(classes))[where]
-        two = g_starts[g_lengths == 2]
-        good = two[_fits(size[two], size[two + 1], left[two], left[two + 1], percent)]
-        leads, follows = [good], [good + 1]
-        stay = np.zeros(len(signature), bool)
-        for a, k in zip(g_starts[g_lengths > 2], g_lengths[g_lengths > 2]):
-            rest = a + np.lexsort((signature[a : a + k], -central[a : a + k]))
-            while len(rest) > 1:
-                lead, others = rest[0], rest[1:]
-                fits = _fits(size[lead], size[others], left[lead], left[others], percent)
-                leads.append(np.full(fits.sum(), lead))
-                follows.append(others[fits])
-                rest = others[~fits]
-                if k > SMALL:
-                    stay[lead] = stay[others] = True
-                elif len(others) > 1:
-                    every = rest if not fits.any() else others
-                    open_ = _fits(size[every][:, None], size[every], left[every][:, None], left[every], percent)
-                    np.fill_diagonal(open_, False)
-                    stay[every[open_.any(1)]] = True
-        a, b = signature[np.concatenate(leads)], signature[np.concatenate(follows)]
-        pairs = np.unique(np.stack((a, b), 1), axis=0)
-        many = stay
-        sets = np.repeat(named.view(np.int64), g_lengths)[many]
-        n, m = len(pairs), len(sets)
-        return pa.Table.from_arrays([
-            pa.concat_arrays([pa.array(pairs[:, 0]), pa.nulls(m, pa.int64())]),
-            pa.concat_arrays([pa.array(pairs[:, 1]), pa.array(signature[many])]),
-            *(pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(x)]) for x in (size[many], sets, left[many])),
-        ], names)
-
-    names = ["a", "b", "size", "set", "left"]
+        classes, first, index = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
+        facts = np.concatenate(facts)
+        pooled = np.zeros(len(classes), _I)
+        np.maximum.at(pooled, index, facts[:, 1])
+        entries = np.concatenate(keys).astype(_U) << _U(32) | index[np.concatenate(owners)].astype(_U)
+        entries.sort()
+        entries = entries[_runs(entries)[0]]
+        key = (entries >> _U(32)).astype("<u4")
+        starts, lengths = _runs(key)
+        shared = np.concatenate((np.sort(np.concatenate(shared)).astype(_U), [_U(1 << 32)]))
+        common = (lengths > 1) | (shared[np.searchsorted(shared, key[starts].astype(_U))] == key[starts])
+        counts = np.bincount((entries & _U(0xFFFFFFFF))[np.repeat(common, lengths)].astype(_I), minlength=len(classes))
+        some = np.flatnonzero((counts > 0) | (pooled > 0))
+        rows = np.column_stack((classes[some], facts[first[some], 0], counts[some], pooled[some]))
+        to = rows[:, 0] % n_buckets
+        return pa.Table.from_batches([_rows([(int(b), rows[to == b]) for b in np.unique(to)])])
+
     return run
 
 
-def _folded(bits: np.ndarray, words: int) -> np.ndarray:
-    """Bitmaps (a row each) folded to ``words`` words."""
-    while bits.shape[1] > words:
-        half = bits.shape[1] // 2
-        bits = bits[:, :half] | bits[:, half:]
-    return bits
-
-
-def _crossing(percent: int, all_pairs: bool):
-    """Of column sets and their classes' bitmaps: pairs (a, b) of classes that are still apart (their labels differ) and
-    that no bound excludes.  Without ``all_pairs``, of each class and label only the pair with the closest bitmaps: enough
-    to join most of what links, in a number of pairs that grows with the classes and not with their square."""
-
-    def run(members: pa.Table, bitmaps: pa.Table) -> pa.Table:
-        ids, first = np.unique(bitmaps["class"].to_numpy(), return_index=True)
-        values = bitmaps["bits"].combine_chunks()
-        starts, flat = values.offsets.to_numpy(), values.values.to_numpy().view(_U)  # bits of signed numbers would be counted without their sign
-        maps = [flat[starts[i] : starts[i + 1]] for i in first]
-        table = members.sort_by("set")
-        column, label, size, left = (table[x].to_numpy() for x in ("set", "label", "size", "left"))
-        who = np.searchsorted(ids, table["b"].to_numpy())
-        cuts = np.flatnonzero(np.r_[True, column[1:] != column[:-1], True])
-        found: dict[tuple[int, int], tuple[int, int]] = {}
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            own, n = np.unique(label[lo:hi], return_counts=True)
-            if len(own) < 2:
-                continue
-            words = np.array([len(maps[i]) for i in who[lo:hi]])
-            shown = {w: np.stack([maps[i] for i in who[lo:hi][words == w]]) for w in np.unique(words)}
-            places = {w: lo + np.flatnonzero(words == w) for w in shown}
-            for x in lo + np.flatnonzero(label[lo:hi] != own[n.argmax()]):
-                mine = maps[who[x]][None]
-                for w, bits in shown.items():
-                    ys = places[w]
-                    ok = (label[ys] != label[x]) & _fits(size[x], size[ys], left[x], left[ys], percent)
-                    if not ok.any():
-                        continue
-                    least = min(w, mine.shape[1])
-                    differ = np.bitwise_count(_folded(bits[ok], least) ^ _folded(mine, least)).sum(1, dtype=np.int64)
-                    near = differ * (100 + percent) <= (size[x] + size[ys[ok]]) * (100 - percent)
-                    for y, d in zip(ys[ok][near], differ[near]):
-                        key = (min(who[x], who[y]), max(who[x], who[y])) if all_pairs else (who[x], label[y])
-                        if key not in found or found[key][0] > d:
-                            found[key] = (d, who[y])
-        pairs = np.array(sorted({(min(k[0], y), max(k[0], y)) if not all_pairs else k for k, (_, y) in found.items()}), np.int64).reshape(-1, 2)
-        return pa.table({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+_STAY = "kind int, hi bigint, lo bigint, size bigint, n bigint, at bigint"
+
+
+def _stay(percent: int, hot_docs: int):
+    """Of a bucket of classes: those that share enough columns for a link, (0, signature, null, size, count, null).  Of
+    hot columns that ``hot_docs`` classes or more share: (1, leader's signature, its share, classes, column)."""
+
+    def table(kind: int, hi, lo, size, n, at) -> pa.Table:
+        return pa.table([pa.array(np.full(len(hi), kind, np.int32)), *(pa.nulls(len(hi), pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (hi, lo, size, n, at))], ["kind", "hi", "lo", "size", "n", "at"])
+
+    def run(bucket: pa.Table) -> pa.Table:
+        number = bucket.column("block")[0].as_py()
+        rows = np.concatenate([np.frombuffer(x, _I) for x in bucket.column("part").to_pylist()])
+        if number < 0:
+            rows = rows.reshape(-1, 5)
+            rows = rows[np.lexsort((-rows[:, 4], rows[:, 0]))]
+            starts, lengths = _runs(rows[:, 0])
+            n = np.repeat(np.add.reduceat(rows[:, 1], starts), lengths)
+            use = (n >= hot_docs) & (np.arange(len(rows)) - np.repeat(starts, lengths) < CANDIDATES)
+            return table(1, rows[use, 2], rows[use, 3], rows[use, 4], n[use], rows[use, 0])
+        rows = rows.reshape(-1, 4)
+        classes, first, index = np.unique(rows[:, 0], return_index=True, return_inverse=True)
+        pooled = np.zeros(len(classes), _I)
+        np.maximum.at(pooled, index, rows[:, 3])
+        count, size = np.bincount(index, rows[:, 2], len(classes)).astype(_I) + pooled, rows[first, 1]
+        use = 100 * count >= percent * size
+        return table(0, classes[use], None, size[use], np.minimum(count, size)[use], None)
 
     return run
 
 
-def _wanted(width: int, bits: np.ndarray):
-    """The sets of the classes whose signatures are marked in a bitmap."""
+def _product_blocks(width: int, n_blocks: int, n_buckets: int, buffer: int, known):
+    """The incidence of the marked classes in blocks: numbers of classes and n-grams; signatures, sizes and whether a class
+    is marked as central; how many n-grams each has here; the n-grams.  Columns with a known leader are counted here
+    and go to no block: parts of blocks below 0 are pairs, as ``_product`` makes them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, marks = shingles.Shingler(width), bits.value
-        done: set[int] = set()
-        for batch in batches:
-            signatures, sets = [], []
-            for hashes in shingler.sets(batch.column(0)):
-                if len(hashes):
-                    signature = _signature(hashes)
-                    bit = signature % (64 * len(marks))
-                    if signature not in done and int(marks[bit // 64]) >> (bit % 64) & 1:
-                        done.add(signature)
-                        signatures.append(signature)
-                        sets.append(hashes.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(signatures, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["signature", "hashes"])
+        wanted, central, hot, leaders = known.value
+        for names, sizes, columns in _pools(batches, width, buffer, wanted):
+            k = len(sizes)
+            found: list[tuple[int, np.ndarray]] = []
+            owner = np.repeat(np.arange(k), sizes)
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, columns), len(hot) - 1)
+                led = hot[at] == columns
+                pairs, n = np.unique(np.column_stack((leaders[at[led]], names[owner[led]])), axis=0, return_counts=True)
+                found += [(-1 - b, x) for b, x in _by_bucket(np.column_stack((pairs, np.zeros_like(n), n)), n_buckets)]
+                owner, columns = owner[~led], columns[~led]
+            block = (columns % _U(n_blocks)).astype(_I)
+            order = np.argsort(block, kind="stable")
+            columns, owner = columns[order], owner[order]
+            cuts = np.searchsorted(block[order], np.arange(n_blocks + 1))
+            facts = np.column_stack((names, sizes, [_marked(central, x) for x in names[:, 0].tolist()]))
+            for b, lo, hi in zip(range(n_blocks), cuts[:-1], cuts[1:]):
+                if hi > lo:
+                    here = np.bincount(owner[lo:hi], minlength=k)
+                    who = np.flatnonzero(here)
+                    found.append((b, np.concatenate(([len(who), hi - lo], facts[who].ravel(), here[who], columns[lo:hi].view(_I)))))
+            yield _rows(found)
 
     return run
 
 
-def _near(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
-    """``pairs(a, b)`` without those whose bitmaps differ in more bits than the sets of a link can have members that
-    aren't shared.  The larger bitmap is folded to the size of the other."""
-    side = lambda x: bitmaps.select(F.col("signature").alias(x), F.col("size").alias(f"n_{x}"), F.col("bits").alias(f"of_{x}"))
-    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b").withColumn("k", F.least(F.size("of_a"), F.size("of_b")))
-    differ = F.expr("""aggregate(sequence(0, k - 1), 0, (s, i) -> s + bit_count(
-        (if(size(of_a) > k, of_a[i] | of_a[i + k], of_a[i])) ^ (if(size(of_b) > k, of_b[i] | of_b[i + k], of_b[i]))))""")
-    return both.where(differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).select("a", "b")
+def _by_bucket(pairs: np.ndarray, n_buckets: int) -> list[tuple[int, np.ndarray]]:
+    """Rows of two signatures, a count of columns in a block, and one of columns with known leaders; they are dealt out by
+    pair, so that no class is hot."""
+    to = (shingles._mixed(pairs[:, 0].view(_U) + shingles._mixed(pairs[:, 2].view(_U).copy())) % _U(n_buckets)).astype(_I)
+    return [(int(b), pairs[to == b]) for b in np.unique(to)]
 
 
-def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members of column sets that still have more than one label, with their labels."""
-    known = members.join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
-    mixed = known.groupBy("set").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select(F.expr("~set").alias("mixed"))
-    return held(known.join(mixed, F.expr("~set") == F.col("mixed"), "left_semi"))
+def _product(n_buckets: int):
+    """Of a block: how many columns each class shares with those that lead them (with itself where it leads)."""
 
+    def run(block: pa.Table) -> pa.Table:
+        number = block.column("block")[0].as_py()
+        parts = [np.frombuffer(x, _I) for x in block.column("part").to_pylist()]
+        if number < 0:
+            return pa.Table.from_batches([_rows([(-1 - number, np.concatenate(parts))])])
+        facts, here, columns = [], [], []
+        for part in parts:
+            k, n = part[:2].tolist()
+            facts.append(part[2 : 2 + 4 * k].reshape(k, 4))
+            here.append(part[2 + 4 * k : 2 + 5 * k])
+            columns.append(part[2 + 5 * k :].view(_U))
+        del parts
+        facts, here, columns = np.concatenate(facts), np.concatenate(here), np.concatenate(columns)
+        classes, index = np.unique(facts, axis=0, return_inverse=True)
+        order = np.lexsort((classes[:, 1], classes[:, 0], -classes[:, 2], -classes[:, 3]))
+        rank = np.empty(len(classes), _I)
+        rank[order] = np.arange(len(classes))
+        owner = np.repeat(rank[index.ravel()], here)
+        order_ = np.argsort(owner, kind="stable")
+        owner, columns = owner[order_], columns[order_]
+        order_ = np.argsort(columns, kind="stable")
+        owner, columns = owner[order_], columns[order_]
+        new = np.r_[True, (columns[1:] != columns[:-1]) | (owner[1:] != owner[:-1])]
+        owner, columns = owner[new], columns[new]
+        starts, lengths = _runs(columns)
+        inside = np.repeat(lengths > 1, lengths)
+        leader = np.repeat(owner[starts], lengths)[inside]
+        pairs, n = np.unique(leader * len(classes) + owner[inside], return_counts=True)
+        names = classes[order][:, :2]
+        found = _by_bucket(np.column_stack((names[pairs // len(classes)], names[pairs % len(classes)], n, np.zeros_like(n))), n_buckets) if len(pairs) else []
+        return pa.Table.from_batches([_rows(found)])
 
-def _linked(text: DataFrame, pairs: DataFrame, width: int, percent: int, words: int) -> DataFrame:
-    """Those of the written ``pairs(a, b)`` whose sets link, by their exact overlaps.  The sets come from the texts again, without
-    those that a bitmap of ``64 * words`` bits excludes."""
-    place = F.pmod(F.col("signature"), F.lit(64 * words))
-    marked = (
-        pairs.select(F.explode(F.array("a", "b")).alias("signature"))
-        .groupBy(F.floor(place / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(signature, 64) as int))")).alias("bits"))
-    ).toPandas()
-    bits = np.zeros(words, np.int64)
-    bits[marked["word"].to_numpy(np.int64)] = marked["bits"].to_numpy(np.int64)
-    spark = text.sparkSession
-    sets = text.mapInArrow(_wanted(width, spark.sparkContext.broadcast(bits.view(_U))), "signature bigint, hashes array<bigint>")
-    once = sets.dropDuplicates(["signature"])
-    side = lambda x: once.select(F.col("signature").alias(x), F.col("hashes").alias(f"of_{x}"))
-    overlap = F.size(F.array_intersect("of_a", "of_b"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.select("a", "b", overlap.alias("o"), (F.size("of_a") + F.size("of_b")).alias("n")).where(F.col("o") * (100 + percent) >= F.col("n") * percent).select("a", "b")
-
-
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75,
-               block_entries: int = 500_000, buffer: int = 4_000_000, often: int = 4, bucket_rows: int = 100_000, most_common: int = 1 << 16, bitmap_words: int = 1 << 16) -> DataFrame:
+    return run
+
+
+_PAIRS = ["a_hi", "a_lo", "b_hi", "b_lo", "n"]
+
+
+def _summed(bucket: pa.Table) -> pa.Table:
+    """Blocks add up; each pool with a class has counted all its columns with known leaders, so these don't."""
+    rows = np.concatenate([np.frombuffer(x, _I) for x in bucket.column("part").to_pylist()]).reshape(-1, 6)
+    rows = rows[np.lexsort(rows[:, :4].T)]
+    starts, _ = _runs(rows[:, :4])
+    return pa.table([*rows[starts, :4].T.copy(), np.add.reduceat(rows[:, 4], starts) + np.maximum.reduceat(rows[:, 5], starts)], _PAIRS)
+
+
+def _sets(width: int, marks):
+    """The sets of the marked classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, sizes, columns in _pools(batches, width, 1 << 20, marks.value):
+            cuts = np.cumsum(sizes) - sizes
+            yield pa.RecordBatch.from_arrays([pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), pa.array([x.tobytes() for x in np.split(columns, cuts[1:])], pa.binary())], ["hi", "lo", "grams"])
+
+    return run
+
+
+def _multiply(percent: int):
+    """Of whole cells: links between components.  Each row that is to be compared has its overlaps with all rows counted,
+    column by column; of what links, one link is given for each two components that it joins."""
+
+    def run(bucket: pa.Table) -> pa.Table:
+        table = bucket.sort_by([(x, "ascending") for x in ("a_hi", "a_lo", "i", "j")])
+        cell = np.column_stack([table[x].to_numpy() for x in ("a_hi", "a_lo", "i", "j")])
+        node, label, size, major = (table[x].to_numpy() for x in ("b", "label", "size", "major"))
+        left, right = (np.asarray(table[x]) for x in ("compared", "others"))
+        grams = [np.frombuffer(x, _U) for x in table["grams"].to_pylist()]
+        links: list[tuple[int, int]] = []
+        starts, lengths = _runs(cell)
+        for at, k in zip(starts, lengths):
+            others = at + np.flatnonzero(right[at : at + k])
+            columns = np.concatenate([grams[i] for i in others]) if len(others) else np.zeros(0, _U)
+            who = np.repeat(np.arange(len(others)), [len(grams[i]) for i in others])
+            order = np.argsort(columns, kind="stable")
+            columns, who = columns[order], who[order]
+            joined: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while x in joined:
+                    x = joined[x]
+                return x
+
+            for x in at + np.flatnonzero(left[at : at + k]):
+                if root(label[x]) == root(major[x]) or not len(others):
+                    continue
+                a, n = np.searchsorted(columns, grams[x]), np.searchsorted(columns, grams[x], "right")
+                n -= a
+                met = who[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                overlap = np.bincount(met, minlength=len(others))
+                for y in others[overlap * (100 + percent) >= percent * (size[x] + size[others])]:
+                    one, two = root(label[x]), root(label[y])
+                    if one != two:
+                        joined[one] = two
+                        links.append((node[x], node[y]))
+        pairs = np.array(links, _I).reshape(-1, 2)
+        return pa.table([pairs[:, 0].copy(), pairs[:, 1].copy()], ["a", "b"])
+
+    return run
+
+
+def _marks(hi: DataFrame, most_words: int) -> np.ndarray:
+    """A bitmap with a bit for each ``hi``, of 16 to 32 bits a row up to ``64 * most_words`` bits."""
+    words = min(most_words, 1 << max(8, (hi.count() // 4).bit_length()))
+    bit = F.pmod(F.col("hi"), F.lit(64 * words))
+    found = hi.groupBy(F.floor(bit / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(hi, 64) as int))")).alias("bits")).toPandas()
+    marks = np.zeros(words, _I)
+    marks[found["word"].to_numpy(_I)] = found["bits"].to_numpy(_I)
+    return marks.view(_U)
+
+
+def _unsettled(rows: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
+    """The rows (a star, its member ``b`` with size, label and count) that a link between labels can need."""
+    star, last = ["a_hi", "a_lo"], None
+    for _ in range(rounds):
+        mixed = rows.groupBy(*star).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+        rows = rows.join(mixed.select(*(F.expr(f"~{x}").alias(f"m{x}") for x in star)), [F.expr(f"~{x}") == F.col(f"m{x}") for x in star], "left_semi")
+        able = rows.groupBy("b").agg(F.sum("n").alias("all"), F.max("size").alias("most")).where(F.col("all") * 100 >= F.col("most") * percent)
+        rows = held(rows.join(able.select(F.expr("~b").alias("able")), F.expr("~b") == F.col("able"), "left_semi"))
+        n = rows.count()
+        if n in (0, last):
+            break
+        last = n
+    return rows
+
+
+def _cells(rows: DataFrame, percent: int, cell_rows: int) -> DataFrame:
+    """A row for each cell that a member has to be in.  Members outside a star's largest component (``compared``) meet all
+    (``others``); where either are more than ``cell_rows``, they are cut up, and each part of the ones meets each part of the others."""
+    star = ["a_hi", "a_lo"]
+    sizes = rows.groupBy(*star).agg(F.count(F.lit(1)).alias("members")).select(*(F.expr(f"~{x}").alias(f"s{x}") for x in star), "members")
+    sized = rows.join(sizes, [F.expr(f"~{x}") == F.col(f"s{x}") for x in star])
+    rest = Window.partitionBy("b").orderBy("members", *star).rowsBetween(0, Window.unboundedFollowing)
+    sent = sized.withColumn("left", F.sum("n").over(rest)).where(F.col("left") * 100 >= F.col("size") * percent).select(*star, "b", "size", "label")
+    by_label = sent.groupBy(*star, "label").agg(F.count(F.lit(1)).alias("n"))
+    shape = by_label.groupBy(*star).agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.max(F.struct("n", "label")).alias("top"))
+    parts = lambda n: F.ceil(n / F.lit(cell_rows)).cast("int")
+    shape = shape.where("`all` > most").select(*(F.expr(f"~{x}").alias(f"s{x}") for x in star), parts(F.col("all")).alias("all_parts"), parts(F.col("all") - F.col("most")).alias("out_parts"), F.col("top.label").alias("major"))
+    known = sent.join(shape, [F.expr(f"~{x}") == F.col(f"s{x}") for x in star])
+    to = lambda n: F.pmod(F.xxhash64("b"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    kept = [*star, "b", "size", "label", "major"]
+    others = known.select(*kept, to("all_parts").alias("j"), every("out_parts").alias("i"), F.lit(False).alias("compared"), F.lit(True).alias("others"))
+    outside = known.where("label <> major").select(*kept, every("all_parts").alias("j"), to("out_parts").alias("i"), F.lit(True).alias("compared"), F.lit(False).alias("others"))
+    return others.unionByName(outside).groupBy(*kept, "i", "j").agg(F.max("compared").alias("compared"), F.max("others").alias("others"))
+
+
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, block_entries: int = 4_000_000,
+               buffer: int = 2_000_000, cell_rows: int = 8_192, cell_entries: int = 1_000_000, hot_docs: int = 1_000, most_hot: int = 1 << 16, most_words: int = 1 << 22) -> DataFrame:
     """Documents by component of the links of Jaccard similarity of at least ``percent`` / 100 between their sets of
     ``width``-word shingles.
 
-    ``block_entries``: entries of the incidence matrix that one block has on average, whatever the corpus;
-    ``bucket_rows``: members of columns that a task of the later passes holds on average; ``buffer``:
-    n-grams that a task holds at once; ``most_common``: length of the list of the commonest n-grams, which the driver
-    gathers and broadcasts (it only orders columns, so links don't depend on it); ``bitmap_words``: 64-bit words of the
-    bitmap that spares sets no pair needs.  All are bounds of memory; no pair is lost by any of them.  Sets are sets of
-    64-bit hashes, and a class of equal sets is known by 64 bits and its size.
+    Bounds of memory, by none of which a link is lost: ``block_entries`` of the incidence matrix that a block has on
+    average; ``buffer``, n-grams that a task holds at once; ``cell_rows`` on either side of a cell, and ``cell_entries``
+    that a task of cells has on average; ``most_hot`` columns, the commonest with ``hot_docs`` classes or more, that are
+    counted where the texts are and sent to no block (their leaders are broadcast); ``64 * most_words`` bits of the bitmap
+    that spares classes no step needs.  Sets are sets of 64-bit hashes, and a class of equal sets is known by 128 bits.
 
     Returns ``id, n_shingles, component_id`` for each row: the smallest id that links lead to.  Null and empty texts
     have no shingle and link with nothing; with fewer than ``width`` words all words are one shingle.  Repeated rows
@@ -357,38 +424,53 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table gives an empty one.
     """
     spark = docs.sparkSession
-    text = docs.select(text_col)
+    text, broadcast = docs.select(text_col), spark.sparkContext.broadcast
     id_type = docs.schema[id_col].dataType.simpleString()
-    profile = held(docs.select(id_col, text_col).mapInArrow(_profile(width, buffer, often), f"kind int, id {id_type}, size bigint, signature bigint, n bigint, bits array<bigint>"))
-    bitmaps = profile.where("bits is not null").select("signature", "size", "bits").dropDuplicates(["signature"])
-    found = profile.where("kind = 0").select("id", "size", "signature")
-    common = profile.where("kind = 1").groupBy("signature").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "signature").limit(most_common).toPandas()
-    hot = common["signature"].to_numpy(np.int64).view(_U)
-    order = np.argsort(hot)
-    rank = -np.arange(len(hot))[order]
-    total = found.agg(F.sum("size")).first()[0] or 0
-    n_blocks = max(8, total * (100 - percent) // 100 // block_entries + 1)
-    shared = spark.sparkContext.broadcast((hot[order], rank))
-    blocks = text.mapInArrow(_blocks(width, percent, n_blocks, shared, buffer // 2), "block bigint, part binary")
-    proposed = held(blocks.groupBy("block").applyInArrow(_pairs(percent), "a bigint, b bigint, size bigint, `set` bigint, left bigint"))
-    near = held(_near(proposed.where("a is not null").select("a", "b"), bitmaps, percent))
-    links = held(_linked(text, near, width, percent, bitmap_words))
+    found = held(docs.select(id_col, text_col).mapInArrow(_profile(width), f"id {id_type}, size bigint, hi bigint, lo bigint"))
+    n_blocks = max(8, (found.agg(F.sum("size")).first()[0] or 0) // block_entries + 1)
+    blocks = text.mapInArrow(_census_blocks(width, n_blocks, buffer, 16), "block bigint, part binary")
+    counted = blocks.groupBy("block").applyInArrow(_census(n_blocks), "block bigint, part binary")
+    census = held(counted.groupBy("block").applyInArrow(_stay(percent, hot_docs), _STAY))
+    classes = found.where("size > 0").groupBy("hi", "lo").agg(F.max("size").alias("size"))
+    stay = census.where("kind = 0").select(F.expr("~hi").alias("key"), "n")
+    stay = held(classes.join(stay, F.expr("~hi") == F.col("key")).where(F.col("n") * 100 >= F.col("size") * percent).select(F.monotonically_increasing_id().alias("b"), "hi", "lo", "size", "n"))
+    central = F.col("n") >= F.col("size") * CENTRAL
+    hot = (
+        census.where("kind = 1").select(F.col("hi").alias("c_hi"), F.col("lo").alias("c_lo"), F.col("n").alias("docs"), "at")
+        .join(stay, (F.col("c_hi") == F.col("hi")) & (F.col("c_lo") == F.col("lo")))
+        .groupBy("at").agg(F.max("docs").alias("docs"), F.max(F.struct(central.alias("central"), "size", "hi", "lo")).alias("best"))
+        .orderBy(F.desc("docs"), "at").limit(most_hot).select("at", "best.hi", "best.lo")
+    ).toPandas()
+    columns = hot["at"].to_numpy(_I).view(_U)
+    order = np.argsort(columns)
+    known = broadcast((_marks(stay.select("hi"), most_words), _marks(stay.where(central).select("hi"), most_words), columns[order], hot[["hi", "lo"]].to_numpy(_I)[order]))
+    n_blocks = max(8, (stay.agg(F.sum("size")).first()[0] or 0) // block_entries + 1)
+    blocks = text.mapInArrow(_product_blocks(width, n_blocks, n_blocks, buffer, known), "block bigint, part binary")
+    product = blocks.groupBy("block").applyInArrow(_product(n_blocks), "block bigint, part binary").groupBy("block").applyInArrow(_summed, ", ".join(f"{x} bigint" for x in _PAIRS))
+    members = product.join(stay.select("b", F.col("hi").alias("b_hi"), F.col("lo").alias("b_lo"), "size"), ["b_hi", "b_lo"])
+    leaders = stay.select(F.col("b").alias("a"), F.col("hi").alias("a_hi"), F.col("lo").alias("a_lo"), F.col("size").alias("a_size"))
+    stars = held(members.join(leaders, ["a_hi", "a_lo"], "left").select("a_hi", "a_lo", "a", "b", "size", "a_size", "n"))
+    links = held(stars.where((F.col("a") != F.col("b")) & (F.col("n") * (100 + percent) >= (F.col("size") + F.col("a_size")) * percent)).select("a", "b"))
     labels = components(links)
-    members = held(proposed.where("a is null").groupBy("set", "b").agg(F.first("size").alias("size"), F.max("left").alias("left")))
-    n_buckets = max(8, members.count() // bucket_rows + 1)
-    for all_pairs in (False, True):
-        apart = _apart(members, labels)
-        bucket = F.pmod("set", F.lit(n_buckets)).alias("bucket")
-        wanted = apart.select(bucket, F.col("b").alias("class")).distinct().join(bitmaps.select(F.col("signature").alias("class"), "bits"), "class")
-        crossing = apart.withColumn("bucket", bucket).groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(_crossing(percent, all_pairs), "a bigint, b bigint")
-        crossing = held(crossing.distinct())
-        if crossing.isEmpty():
-            break
-        links = held(links.unionByName(_linked(text, crossing, width, percent, bitmap_words)))
+    near = labels.select(F.col("node").alias("of"), "label")
+    labelled = stars.join(near, F.col("b") == F.col("of"), "left").select("a_hi", "a_lo", "b", "size", "n", F.coalesce("label", "b").alias("label"))
+    rows = _unsettled(labelled, percent)
+    cells = held(_cells(rows, percent, cell_rows))
+    if not cells.isEmpty():
+        wanted = stay.join(cells.select(F.col("b").alias("of")).distinct(), F.col("b") == F.col("of"), "left_semi").select("b", "hi", "lo")
+        marks = broadcast(_marks(wanted, most_words))
+        sets = text.mapInArrow(_sets(width, marks), "hi bigint, lo bigint, grams binary").dropDuplicates(["hi", "lo"])
+        sets = sets.join(wanted.select(F.col("b").alias("of"), F.col("hi").alias("w_hi"), F.col("lo").alias("w_lo")), (F.col("hi") == F.col("w_hi")) & (F.col("lo") == F.col("w_lo"))).select("of", "grams")
+        n_buckets = max(8, cells.agg(F.sum("size")).first()[0] // cell_entries + 1)
+        placed = cells.join(sets, F.col("b") == F.col("of")).drop("of").withColumn("bucket", F.pmod(F.xxhash64("a_hi", "a_lo", "i", "j"), F.lit(n_buckets)))
+        links = held(links.unionByName(placed.groupBy("bucket").applyInArrow(_multiply(percent), "a bigint, b bigint")))
         labels = components(links)
-    placed = held(found.join(labels, (F.col("signature") == F.col("node")) & (F.col("size") > 0), "left").select("id", "size", F.coalesce("label", "signature").alias("label")))
-    least = placed.where("size > 0").groupBy("label").agg(F.min("id").alias("component_id")).select(F.expr("~label").alias("key"), "component_id")
-    return placed.withColumn("mine", F.when(F.col("size") > 0, F.expr("~label"))).join(least, F.col("mine") == F.col("key"), "left").select(
+    named = stay.join(labels.select(F.col("node").alias("of"), "label"), F.col("b") == F.col("of")).select(F.col("hi").alias("l_hi"), F.col("lo").alias("l_lo"), "label")
+    # A document belongs to its component's label, or else to its class.
+    known = found.join(named, (F.col("hi") == F.col("l_hi")) & (F.col("lo") == F.col("l_lo")), "left")
+    placed = held(known.select("id", "size", F.when(F.col("size") > 0, F.concat_ws(":", F.coalesce("label", "hi"), F.when(F.col("label").isNull(), F.col("lo")))).alias("of")))
+    least = placed.where("of is not null").groupBy("of").agg(F.min("id").alias("component_id")).select(F.concat(F.lit("="), "of").alias("key"), "component_id")
+    return placed.withColumn("mine", F.concat(F.lit("="), "of")).join(least, F.col("mine") == F.col("key"), "left").select(
         F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 

@@ -184,8 +184,10 @@ def test_ngram_join_chains_of_near_copies(spark):
             words[rng.randrange(len(words))] = f"x{i}_{k}"
         rows.append((i, " ".join(words), "s"))
     rows += [(100 + i, " ".join(base[:40] + [f"own{i}_{k}" for k in range(60)]), "s") for i in range(30)]
-    found = ngram_join.ngram_join(frame(spark, rows), buffer=2000, often=2, block_entries=200, bucket_rows=50, bitmap_words=64)
-    assert counted(found.collect()) == brute_components(rows)
+    rows += [(200 + i, rows[i][1], "t") for i in range(0, 70, 3)]
+    want = brute_components(rows)
+    for small in (dict(buffer=2000, block_entries=1500), dict(buffer=4000, block_entries=1500, cell_rows=8, cell_entries=500, hot_docs=20, most_hot=60, most_words=1)):
+        assert counted(ngram_join.ngram_join(frame(spark, rows), **small).collect()) == want
 
 
 # ---- mixing
