@@ -16,13 +16,28 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def shared(spark: SparkSession) -> SparkSession:
     """The session with a folder for checkpoints: the cluster's own, or one under the temporary folder if none is named
-    (as in tests on one machine)."""
+    and all runs on one machine.  On a cluster a folder must be named, for executors don't see each other's."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tessera-checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (context.master or "").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "tessera-checkpoints"))
     return spark
 
 
+def fresh(frame: DataFrame, *names: str) -> list[str]:
+    """Column names that ``frame`` doesn't have, made from ``names``."""
+    taken = {name.lower() for name in frame.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def held(frame: DataFrame) -> DataFrame:
     """``frame`` written to the shared checkpoint folder, so that what follows reads it and doesn't compute it again."""
     shared(frame.sparkSession)

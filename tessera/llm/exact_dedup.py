@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tessera.llm.common import held, text_of
+from tessera.llm.common import fresh, held, text_of
 
 #: A chunk has at least 512 characters, and ends after the next line end or else sentence end, or at 4,096.
 CHUNK = r"(?s).{512}[^\n]{0,3583}\n|.{512}[^.!?]{0,3583}[.!?]|.{1,4096}"
@@ -67,8 +67,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that stay by ``exact_dedup``: one of each class of equal texts."""
-    stay = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_stay_id"), F.col("text_sha256").alias("_stay_sha256"))
-    marked = docs.withColumn("_sha256", F.sha2(text_of(text_col), 256))
-    found = marked.join(stay, F.col(id_col).eqNullSafe(F.col("_stay_id")) & (F.col("_sha256") == F.col("_stay_sha256")), "left_semi")
-    return found.dropDuplicates([id_col, "_sha256"]).drop("_sha256")
+    """The rows of ``docs``, with all their columns whatever their names, that stay by ``exact_dedup``: one of each class
+    of equal texts.
+
+    Rows are found again by id (null equals null) and text digest, in one join; only where rows that repeat an id and a
+    text stay are they made one by a further shuffle, and which one's other columns stay is then open.  A null text
+    stays null.  An empty table gives an empty one.
+    """
+    sha, stay_id, stay_sha = fresh(docs, "sha256", "stay_id", "stay_sha256")
+    best = held(exact_dedup(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("keep_id"))).select(F.col(id_col).alias(stay_id), F.col("text_sha256").alias(stay_sha), "kept"))
+    stay = best.where("kept").drop("kept")
+    found = docs.withColumn(sha, F.sha2(text_of(text_col), 256)).join(stay, F.col(id_col).eqNullSafe(F.col(stay_id)) & (F.col(sha) == F.col(stay_sha)), "left_semi")
+    return (found if best.where("not kept").isEmpty() else found.dropDuplicates([id_col, sha])).drop(sha)

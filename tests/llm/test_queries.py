@@ -69,3 +69,24 @@ def test_near_copies_without_own_ids(spark):
     assert found == [(0, text("e", " w")), (1, text("d")), (2, text("c", " y"))]
     unnamed = [r.text for r in corpus_pipeline.drop_near_copies(spark, docs, "").where("doc_id is null").collect()]
     assert len(unnamed) == 2 and {t[0] for t in unnamed} == {"a", "b"}
+
+
+def test_stages_with_awkward_rows(spark, tmp_path):
+    """Null and repeated ids and texts, an empty table, and other columns named as stages might name theirs."""
+    names = "row_key stay_key taken_key copies copy sha256 stay_id stay_sha256 kept id size hi lo b n label".split()
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{x} long" for x in names)
+    texts = [(1, None, "a"), (None, "", "a"), (None, "one text of its own", None), (2, "one text of its own", "a"), (2, "one text of its own", "a"), (2, "another text", "b"), (None, "last one", None)]
+    docs = spark.createDataFrame([(i, t, None, s, None, *range(77, 77 + len(names))) for i, t, s in texts], schema)
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    sizes = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [x.split()[0] for x in schema.split(", ")]
+        rows = docs.collect()
+        sizes.append(len(rows))
+        assert all(tuple(r)[5:] == tuple(range(77, 77 + len(names))) for r in rows)
+    assert sizes[:3] == [7, 4, 4]
+    assert {(r.doc_id, r.text) for r in docs.where("text <> ''").collect()} <= {(2, "one text of its own"), (2, "another text"), (None, "last one")}
