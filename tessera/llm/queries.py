@@ -55,7 +55,7 @@ def _count(kind: str) -> Column:
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: fixed patterns, and values that are costly to guess."""
-    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"), dictionary=secret_scan.vocabulary(ranks()))
     base = F.filter("spans", lambda x: x["kind"] != "guess")
     return found.select("doc_id", *[_count(kind) for kind in ("assign", "access", "hex")], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 

@@ -6,10 +6,11 @@ brute-force characters, of the decimal logarithms of the guesses that each part
 
 from __future__ import annotations
 
+import base64
 import math
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyspark.cloudpickle
@@ -29,82 +30,137 @@ CONTEXT = re.compile(
     r"""["'`]?(?:[\x20\t]*+(?:=>|->|:=|[:=])[\x20\t]*+|\x20is:?\x20)["'`]?([^\s"'`,;<>(){}]{4,})""", re.I | re.A)
 _HINTS = ("passw", "passp", "passc", "pwd", "secret", "token", "credential", "bearer", "key")
 
-#: Words that people put into passwords, commonest first.
+#: Words that people put into passwords, commonest first; those of the dictionary that is given come after them.
 WORDS = (
     "password 123456 qwerty admin welcome letmein monkey dragon master login princess solo starwars sunshine shadow "
     "football baseball superman batman iloveyou trustno passw0rd hello freedom whatever secret love root user test "
     "guest default changeme example token temp server system database oracle mysql postgres apple google summer winter "
     "spring autumn january february march april may june july august september october november december monday friday "
     "sunday michael jordan jessica ashley daniel charlie thomas robert hunter killer pepper ginger cookie flower orange "
-    "purple yellow silver golden computer internet access service manager office company home work house money world "
-    "the and for you that with this have from your not are was but all can one out day get has him his how man new now "
-    "old see two way who boy did its let put say she too use dad mom"
+    "purple yellow silver golden computer internet access service manager office company home work house money world"
 ).split()
-_RANKS = {w: math.log10(k + 2) for k, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
 _LEET = str.maketrans("@4301$57!", "aaeoissti")
-_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
-_STEPS = {(a, b): (row, step) for row, keys in enumerate(_ROWS) for a, b, step in [*((x, y, 1) for x, y in zip(keys, keys[1:])), *((y, x, -1) for x, y in zip(keys, keys[1:]))]}
-_DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
+#: Keys in their rows; each row is shifted to the right against the one above, so a key touches two of the next row.
+_KEYS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
+_PLACES = {key: (row, column) for row, keys in enumerate(_KEYS) for column, key in enumerate(keys)}
+_SIDES = {(0, 1): 0, (0, -1): 1, (1, 0): 2, (1, -1): 3, (-1, 0): 4, (-1, 1): 5}
+_STEPS = {(a, b): side for a, (r, c) in _PLACES.items() for b, (q, d) in _PLACES.items() if (side := _SIDES.get((q - r, d - c))) is not None}
+_ORDER = {(a, b): side for x, y in zip("abcdefghijklmnopqrstuvwxyz", "bcdefghijklmnopqrstuvwxyz") for side, (a, b) in enumerate(((x, y), (y, x)))}
+#: A walk's guesses: a first key and direction, then a choice for each further key, straight on or with a turn.
+WALKS = ((_STEPS, math.log10(47 * 6), 0.1, math.log10(6)), (_ORDER, math.log10(26 * 2), 0.1, math.inf))
+_DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d", re.A)
 
 
 def _char_cost(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 100)
 
 
-def guess_cost(value: str) -> float:
-    """The decimal logarithm of the guesses that ``value`` takes; 0 for an empty one.  Time grows with the length."""
-    n = len(value)
-    low, plain = value.lower(), value.lower().translate(_LEET)
-    if len(low) != n:
-        low = plain = "".join(c.lower() if c.isascii() else c for c in value)
-    ends: dict[int, list[tuple[int, float]]] = {}
-    for i in range(n):
-        for size in range(3, min(_LONGEST, n - i) + 1):
-            rank = _RANKS.get(low[i : i + size])
-            turned = _RANKS.get(plain[i : i + size]) if rank is None else None
-            if rank is not None or turned is not None:
-                part = value[i : i + size]
-                caps = sum(c.isupper() for c in part)
-                cost = (turned + 0.6 if rank is None else rank) + (0 if not caps else 0.3 if caps == size or part[0].isupper() and caps == 1 else 0.3 * min(caps, size - caps) + 0.3)
-                ends.setdefault(i + size, []).append((i, cost))
-        if value[i].isdigit() and (found := _DATE.match(value, i)):
-            ends.setdefault(found.end(), []).append((i, math.log10(120) + (0 if len(found[0]) == 4 else math.log10(372) + (0.6 if found[1] or found[2] else 0))))
-    i = 0
-    while i + 1 < n:  # walks: the longest along one row and direction
-        step, j = _STEPS.get((low[i], low[i + 1])), i + 1
-        while step and j + 1 < n and _STEPS.get((low[j], low[j + 1])) == step:
-            j += 1
-        if step and j - i >= 2:
-            for k in range(i + 3, j + 2):
-                ends.setdefault(k, []).append((i, math.log10(47 * 2 * (k - i))))
-        i = j
-    repeats = []
-    for size in range(1, min(8, n // 2) + 1):
-        i = size
-        while i < n:
-            j = i
-            while j < n and value[j] == value[j - size]:
-                j += 1
-            if j - i >= max(size, 2):
-                start = i - size
-                repeats.append((start, size, (j - start) // size))
-            i = max(j, i) + 1
-    for start, size, times in repeats:
-        ends.setdefault(start + size * times, []).append((start, -size - math.log10(times) / 1e3))
-    best = [0.0] * (n + 1)
-    for j in range(1, n + 1):
-        least = best[j - 1] + _char_cost(value[j - 1])
-        for i, cost in ends.get(j, ()):
-            if cost < 0:  # a repeat: its first unit is priced as a part of its own
-                size = int(-cost)
-                cost = (guess_cost(value[i : i + size]) if size > 1 else _char_cost(value[i])) + math.log10((j - i) // size)
-            least = min(least, best[i] + cost)
-        best[j] = least
-    return best[n]
-
-
-def spans(text: str, min_cost: float) -> list[tuple[str, int, int, float | None]]:
+def _lowered(value: str) -> str:
+    low = value.lower()
+    return low if len(low) == len(value) else "".join(c.lower() if c.isascii() else c for c in value)
+
+
+def date_cost(part: str) -> float | None:
+    """Of a whole string that is a date or a year: a year of 120, a day of 372, and signs between them."""
+    found = _DATE.fullmatch(part)
+    return found and math.log10(120) + (0 if len(part) == 4 else math.log10(372) + (0.6 if found[1] or found[2] else 0))
+
+
+def _repeats(value: str, i: int, known: dict[int, tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The sizes of units that stand at least twice from ``i`` on and aren't repeats themselves, and where the stretch with
+    that period ends.  ``known`` remembers stretches; calls go from left to right."""
+    n, size = len(value), 1
+    while i + 2 * size <= n:
+        start, end = known.get(size, (0, 0))
+        if not (start <= i and i + 2 * size <= end):
+            at = value.find(value[i : i + min(size, 64)], i + size)
+            if at < 0:
+                return
+            if at > i + size:
+                size = at - i
+                continue
+            if not value.startswith(value[i : i + size], i + size):
+                size += 1
+                continue
+            end = i + 2 * size
+            while end < n and value[end] == value[end - size]:
+                end += 1
+            known[size] = (i, end)
+        unit = value[i : i + size]
+        if (unit + unit).find(unit, 1) < size:
+            size += 1
+            continue
+        yield size, end
+        size = max(size, end - i - size) + 1  # shorter ones would have this period too: repeats, or not standing twice
+
+
+class Guesser:
+    """Prices values by the least sum of the decimal logarithms of guesses over all their segmentations.
+
+    Parts are single characters, words (in any case and with signs for letters), dates, walks over neighbouring keys or
+    along the alphabet, and repeats of a part of any cost and length.  Costs above ``most`` are given as ``most``: what
+    lies beyond it in a value isn't looked at, so long values take time in proportion to what is guessable in them."""
+
+    def __init__(self, dictionary: Sequence[str] = (), most: float = 40.0):
+        ranked = dict.fromkeys([*WORDS, *dictionary])
+        self.ranks = {word: math.log10(k + 2) for k, word in enumerate(ranked)}
+        self.longest = max(map(len, self.ranks))
+        self.most = most
+
+    def word_cost(self, part: str) -> float | None:
+        low = _lowered(part)
+        cost = self.ranks.get(low)
+        if cost is None:
+            cost = self.ranks.get(low.translate(_LEET))
+            if cost is None:
+                return None
+            cost += 0.6
+        caps = sum(c.isupper() for c in part)
+        return cost + (0 if not caps else 0.3 if caps == len(part) or part[0].isupper() and caps == 1 else 0.3 * min(caps, len(part) - caps) + 0.3)
+
+    def cost(self, value: str) -> float:
+        return self._cost(value, {})
+
+    def _cost(self, value: str, units: dict[str, float]) -> float:
+        n, low = len(value), _lowered(value)
+        best = [0.0] + [self.most] * n
+        walks = [[math.inf] * (n + 1) for _ in WALKS]  # the least cost of what ends with a walk of three keys or more
+        known: dict[int, tuple[int, int]] = {}
+        begun: dict[tuple[int, int], int] = {}  # for a unit's size and where it stands: where a repeat that holds it begins
+
+        def reach(j: int, cost: float) -> None:
+            if cost < best[j]:
+                best[j] = cost
+
+        for i in range(n):
+            for walk, (steps, start, straight, turn) in zip(walks, WALKS):
+                if i >= 2 and (side := steps.get((low[i - 1], low[i]))) is not None and (last := steps.get((low[i - 2], low[i - 1]))) is not None:
+                    walk[i + 1] = min(walk[i], best[i - 2] + start) + (straight if side == last else turn)
+                    reach(i + 1, walk[i + 1])
+            if best[i] >= self.most:
+                continue
+            reach(i + 1, best[i] + _char_cost(value[i]))
+            for size in range(3, min(self.longest, n - i) + 1):
+                if (cost := self.word_cost(value[i : i + size])) is not None:
+                    reach(i + size, best[i] + cost)
+            if value[i].isdigit():
+                for size in range(4, 11):
+                    if i + size <= n and (cost := date_cost(value[i : i + size])) is not None:
+                        reach(i + size, best[i] + cost)
+            for size, end in _repeats(value, i, known):
+                first = begun.get((size, i), i)
+                if first < i and best[i] >= best[first] + math.log10(((i - first) // size + 2) / 2):
+                    continue  # to go on with that repeat is as good
+                unit = value[i : i + size]
+                if unit not in units:
+                    units[unit] = _char_cost(unit) if size == 1 else self._cost(unit, units)
+                for times in range(2, (end - i) // size + 1):
+                    reach(i + size * times, best[i] + units[unit] + math.log10(times))
+                    begun.setdefault((size, i + size * (times - 1)), i)
+        return min(best[n], self.most)
+
+
+def spans(text: str, min_cost: float, guesser: Guesser) -> list[tuple[str, int, int, float | None]]:
     """(kind, start, end, cost) by start and then kind; positions in code points."""
     found: list[tuple[int, int, int, float | None]] = []
     low = text.lower()
@@ -117,7 +173,7 @@ def spans(text: str, min_cost: float) -> list[tuple[str, int, int, float | None]
         for m in CONTEXT.finditer(text):
             values.setdefault((m.start(1), m.start(1) + len(m[1].rstrip(".!?:"))), 0.0)
         for start, end in values:
-            cost = guess_cost(text[start:end])
+            cost = guesser.cost(text[start:end])
             if cost >= min_cost:
                 found.append((start, end, 3, cost))
     if "AKIA" in text:
@@ -126,20 +182,29 @@ def spans(text: str, min_cost: float) -> list[tuple[str, int, int, float | None]
     return [(KINDS[kind], start, end, cost) for start, end, kind, cost in sorted(found, key=lambda x: (x[0], x[2], x[1]))]
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_cost: float = 8.0) -> DataFrame:
+def vocabulary(ranks: bytes) -> list[str]:
+    """The words of a rank file, commonest first: entries of three or more ASCII letters that begin with a blank."""
+    found = (base64.b64decode(line.split()[0]) for line in ranks.splitlines() if line)
+    return list(dict.fromkeys(word[1:].decode().lower() for word in found if re.fullmatch(rb" [A-Za-z]{3,}", word)))
+
+
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_cost: float = 8.0, dictionary: Sequence[str] = (), most_cost: float = 40.0) -> DataFrame:
     """``id, spans`` for each row, spans being an array of (kind, start, stop, cost) by start and then kind.
 
     Kinds ``assign``, ``access`` and ``hex`` are the fixed patterns, found from left to right without overlaps in each
     kind.  Kind ``guess`` is a value in a credential context (those of ``assign`` among them) whose guess cost is at
-    least ``min_cost``.  A null or empty text has no spans; each row is looked at alone, so repeated rows give repeated
-    results; ids may be null; other columns aren't looked at; an empty table gives an empty one.  Whole texts are
-    scanned in time that grows with their length, in one pass without a shuffle.
+    least ``min_cost``; costs above ``most_cost`` are given as ``most_cost``.  ``dictionary``: words, commonest first, of
+    fixed size, sent along with the task.  A null or empty text has no spans; each row is looked at alone, so repeated
+    rows give repeated results; ids may be null; other columns aren't looked at; an empty table gives an empty one.
+    Whole texts are scanned in one pass without a shuffle.
     """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("cost", pa.float64())]))
+    sent = docs.sparkSession.sparkContext.broadcast(list(dictionary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        guesser = Guesser(sent.value, most_cost)
         for batch in batches:
-            rows = [[dict(zip(("kind", "start", "stop", "cost"), x)) for x in spans(text or "", min_cost)] for text in batch.column(1).to_pylist()]
+            rows = [[dict(zip(("kind", "start", "stop", "cost"), x)) for x in spans(text or "", min_cost, guesser)] for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], [id_col, "spans"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
