@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from tessera.llm.common import held, text_of
 
-SUBSETS = 16
+#: Random orders of the lexicon, and the shares of 1,024 that the nested subsets of each keep: 40 subsets, fixed for all texts.
+ORDERS, SHARES = 8, (512, 128, 32, 8, 2)
 #: Slots of the lexicon's table; each has a list of the terms that want it.
 SLOTS = 1 << 18
 
@@ -35,23 +36,36 @@ def lexicon(docs: DataFrame, text_col: str, low: float, high: float) -> DataFram
     return table.agg(F.sort_array(F.collect_list(F.struct("slot", "terms"))).alias("s")).select(F.col("s.terms").alias("slots"))
 
 
-def fingerprint(text: Column, slots: Column) -> Column:
-    """Hashes of the sorted distinct terms that the randomised lexicon subsets keep.
+def _mark(terms: Column) -> Column:
+    """31 bits for a sorted list of terms, 0 for none."""
+    return F.when(F.size(terms) > 0, F.shiftrightunsigned(F.xxhash64(terms), 33)).otherwise(F.lit(0)).cast("int")
+
+
+def _marks(terms: Column, order: Column, shares: tuple[int, ...] = SHARES) -> Column:
+    """The marks of the subsets of an order; a term's place in it are ten of its own bits."""
+    if not shares:
+        return F.array().cast("array<int>")
+    place = lambda t: F.call_function("shiftrightunsigned", t, order * 10).bitwiseAND(F.lit(1023))
+    return _let(F.filter(terms, lambda t: place(t) < shares[0]), lambda kept: F.concat(F.array(_mark(kept)), _marks(kept, order, shares[1:])))
 
-    Each of ``SUBSETS`` random orders of the lexicon has subsets of a half, a quarter, ... of it; the smallest that keeps
-    any term of the text counts, so short and long texts keep one or two terms of each order.  Texts without a term in
-    the band use all their terms."""
-    weight = lambda j, t: F.shiftrightunsigned(F.xxhash64(j, t), 1)
+
+def fingerprint(text: Column, slots: Column) -> Column:
+    """The marks of a text: of all its terms in the band, and of those that each randomised subset of the lexicon keeps, in
+    sorted order.  The subsets are the same for all texts; there are large ones, in which short texts have terms, and
+    small ones, in which long texts have few.  Texts without a term in the band use all their terms."""
     in_band = lambda terms: F.filter(terms, lambda t: F.array_contains(slots[F.pmod(t, F.lit(SLOTS)).cast("int")], t))
     kept = _let(_terms(text), lambda terms: _let(in_band(terms), lambda band: F.sort_array(F.when(F.size(band) > 0, band).otherwise(terms))))
-    width = lambda j, terms: F.length(F.bin(F.coalesce(F.array_min(F.transform(terms, lambda t: weight(j, t))), F.lit(0))))
-    subset = lambda j, terms: _let(width(j, terms), lambda w: F.xxhash64(F.filter(terms, lambda t: F.call_function("shiftrightunsigned", weight(j, t), w) == 0)))
-    return _let(kept, lambda terms: F.transform(F.sequence(F.lit(1), F.lit(SUBSETS)), lambda j: subset(j, terms)))
+    half = lambda terms: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(ORDERS // 2 - 1)), lambda j: _marks(terms, j)))
+    again = lambda terms: F.sort_array(F.transform(terms, lambda t: F.xxhash64(t)))
+    return _let(kept, lambda terms: F.concat(F.array(_mark(terms)), half(terms), _let(again(terms), half)))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of lexicon subsets on which two fingerprints agree."""
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) / F.lit(float(SUBSETS))
+    """1 for equal terms; else the share of orders with a subset in which both texts have terms, and the same ones."""
+    first = lambda j: j * len(SHARES) + 1
+    same = lambda j: F.exists(F.sequence(first(j), first(j) + (len(SHARES) - 1)), lambda k: (a[k] == b[k]) & (a[k] != 0))
+    share = F.size(F.filter(F.sequence(F.lit(0), F.lit(ORDERS - 1)), same)) / F.lit(float(ORDERS))
+    return F.when(a.isNotNull() & b.isNotNull(), F.when(a[0] == b[0], F.lit(1.0)).otherwise(share))
 
 
 def next_ids(ids: DataFrame, part_rows: int = 50_000) -> DataFrame:
@@ -71,7 +85,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     many first ones, or all, of the next document by ascending id (after the last, the first).
 
     Returns ``id, n_chars, edited_sha256, marks, edited_marks, near_edited, near_next`` for each row; marks are arrays of
-    64-bit hashes, and the likenesses are shares of equal ones.  A null text is an empty one; texts without terms have
+    hashes, and the likenesses are shares of the random orders in which they agree.  A null text is an empty one; texts without terms have
     the marks of no terms.  Of rows that repeat an id each has its own result; the next document's text is then the least
     of its rows', and so is its fingerprint.  A row with a null id has no next document: its last quarter goes, and
     ``near_next`` is null.  Other columns aren't looked at; an empty table gives an empty one.

@@ -97,7 +97,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     found = imatch.fingerprints(table(spark, sf_dir, "documents"))
-    shown = lambda marks: F.lower(F.array_join(F.transform(marks, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+    shown = lambda marks: F.lower(F.array_join(F.transform(marks, lambda x: F.lpad(F.hex(x), 8, "0")), ""))
     return found.select("doc_id", "n_chars", "edited_sha256", shown("marks").alias("fingerprint"), shown("edited_marks").alias("edited_fingerprint"), "near_edited", "near_next")
 
 

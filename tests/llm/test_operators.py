@@ -307,6 +307,49 @@ def test_fingerprints(docs, empty, spark):
     assert imatch.fingerprints(empty).count() == 0
 
 
+def brute_marks(texts, n_docs, df, low, high):
+    """The marks of texts in plain Python: all its band terms, then those that each subset keeps, in order of their hashes."""
+    import struct
+
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    of_long = lambda x, seed: xxhash.xxh64_intdigest(struct.pack("<q", x), seed)
+
+    def mark(terms):
+        seed = 42
+        for t in terms:
+            seed = of_long(t, seed)
+        return seed >> 33 if terms else 0
+
+    out = []
+    for text in texts:
+        words = {w for w in re.split(r"[\W_]+", text.lower()) if w}
+        band = {w for w in words if max(2, low * n_docs) <= df[w] <= max(2, high * n_docs)} or words
+        one = sorted(signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in band)
+        two = sorted(signed(of_long(t, 42)) for t in one)
+        out.append([mark(one)] + [mark([t for t in terms if (t & (1 << 64) - 1) >> 10 * j & 1023 < share]) for terms in (one, two) for j in range(imatch.ORDERS // 2) for share in imatch.SHARES])
+    return out
+
+
+def brute_likeness(a, b):
+    n = len(imatch.SHARES)
+    return 1.0 if a[0] == b[0] else sum(any(x == y != 0 for x, y in zip(a[1 + j * n : 1 + (j + 1) * n], b[1 + j * n : 1 + (j + 1) * n])) for j in range(imatch.ORDERS)) / imatch.ORDERS
+
+
+def test_fingerprints_are_those_of_plain_python(spark):
+    rng = random.Random(3)
+    words = [f"term{k}" for k in range(150)]
+    texts = [" ".join(rng.choices(words, k=rng.choice((0, 1, 6, 60, 300)))) + rng.choice(("", " Alone", f" own{i}")) for i in range(40)]
+    df = collections.Counter(w for t in texts for w in set(re.split(r"[\W_]+", t.lower())))
+    edited = [t[: len(t) - len(t) // 4] + texts[(i + 1) % 40][: len(t) // 4] for i, t in enumerate(texts)]
+    marks, edited = (brute_marks(x, 40, df, 0.1, 0.5) for x in (texts, edited))
+    found = {r.doc_id: r for r in imatch.fingerprints(frame(spark, [(i, t, "s") for i, t in enumerate(texts)]), low=0.1, high=0.5).collect()}
+    for i, r in found.items():
+        assert r.marks == marks[i] and r.edited_marks == edited[i]
+        assert math.isclose(r.near_edited, brute_likeness(marks[i], edited[i])) and math.isclose(r.near_next, brute_likeness(marks[i], marks[(i + 1) % 40]))
+
+
 def test_likeness_orders_texts(spark):
     rng = random.Random(8)
     words = [f"term{k}" for k in range(300)]
