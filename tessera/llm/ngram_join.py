@@ -162,7 +162,7 @@ def _census(n_buckets: int):
             k, n, m = part[:3].tolist()
             names.append(part[3 : 3 + k])
             facts.append(np.column_stack((part[3 + k : 3 + 2 * k], part[3 + 2 * k : 3 + 3 * k])))
-            owners.append(np.repeat(np.arange(base, base + k), part[3 + 3 * k : 3 + 4 * k]))
+            owners.append(np.repeat(np.arange(base, base + k, dtype=np.int32), part[3 + 3 * k : 3 + 4 * k]))
             packed = part[3 + 4 * k :].view("<u4")[: n + m]
             keys.append(packed[:n])
             shared.append(packed[n:])
@@ -172,14 +172,20 @@ def _census(n_buckets: int):
         facts = np.concatenate(facts)
         pooled = np.zeros(len(classes), _I)
         np.maximum.at(pooled, index, facts[:, 1])
-        entries = np.concatenate(keys).astype(_U) << _U(32) | index[np.concatenate(owners)].astype(_U)
+        # Shared n-grams are entries of nobody, next to which a class's own entry isn't alone.
+        nobody = _U(0xFFFFFFFF)
+        entries = np.concatenate((np.concatenate(keys), *shared)).astype(_U)
+        entries <<= _U(32)
+        entries[: sum(map(len, keys))] |= index.astype("<u4")[np.concatenate(owners)]
+        entries[sum(map(len, keys)) :] |= nobody
+        del keys, owners, shared
         entries.sort()
-        entries = entries[_runs(entries)[0]]
+        entries = entries[np.r_[True, entries[1:] != entries[:-1]]] if len(entries) else entries
         key = (entries >> _U(32)).astype("<u4")
-        starts, lengths = _runs(key)
-        shared = np.concatenate((np.sort(np.concatenate(shared)).astype(_U), [_U(1 << 32)]))
-        common = (lengths > 1) | (shared[np.searchsorted(shared, key[starts].astype(_U))] == key[starts])
-        counts = np.bincount((entries & _U(0xFFFFFFFF))[np.repeat(common, lengths)].astype(_I), minlength=len(classes))
+        same = key[1:] == key[:-1]
+        entries &= nobody
+        common = (np.r_[False, same] | np.r_[same, False])[: len(key)] & (entries != nobody)
+        counts = np.bincount(entries[common].astype(_I), minlength=len(classes))
         some = np.flatnonzero((counts > 0) | (pooled > 0))
         rows = np.column_stack((classes[some], facts[first[some], 0], counts[some], pooled[some]))
         to = rows[:, 0] % n_buckets
@@ -408,7 +414,7 @@ def _cells(rows: DataFrame, percent: int, cell_rows: int) -> DataFrame:
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, block_entries: int = 4_000_000,
-               buffer: int = 2_000_000, cell_rows: int = 8_192, cell_entries: int = 1_000_000, hot_docs: int = 1_000, most_hot: int = 1 << 16, most_words: int = 1 << 22) -> DataFrame:
+               buffer: int = 1_000_000, cell_rows: int = 8_192, cell_entries: int = 1_000_000, hot_docs: int = 1_000, most_hot: int = 1 << 16, most_words: int = 1 << 22) -> DataFrame:
     """Documents by component of the links of Jaccard similarity of at least ``percent`` / 100 between their sets of
     ``width``-word shingles.
 
