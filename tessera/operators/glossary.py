@@ -97,13 +97,19 @@ def variant_hits(variants: Column, key: Column) -> Column:
 
 
 def only_in_names(term: Column, text: Column) -> Column:
-    """Whether a text has a term only inside names: each time capitalised, after a capitalised ASCII word."""
+    """Whether a text has a term only inside names: each time capitalised, and the word before (or the last piece of a
+    hyphened one), however far, a capitalised ASCII word.  Each match is looked at with what stands between it and the one before."""
     quoted = F.regexp_replace(term, r"([\\.\[\]{}()*+\-?^$|])", r"\\$1")
-    count = lambda pattern: F.call_function("regexp_count", text, pattern)
-    every = count(F.concat(F.lit(r"(?iU)(?<![\w-])"), quoted, F.lit(r"\w*")))
-    first = F.regexp_replace(F.left(term, F.lit(1)), r"([\\.\[\]{}()*+\-?^$|])", r"\\$1")
-    named = count(F.concat(F.lit(r"(?U)(?<=\b[A-Z][A-Za-z0-9_-]{0,40}[^\w-]{1,8})(?=\p{Lu})(?i:"), quoted, F.lit(r")\w*")))
-    return (every > 0) & (every == named) & first.isNotNull()
+    pattern = F.concat(F.lit(r"(?iU)(?<![\w-])"), quoted, F.lit(r"\w*"))
+    both = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("found"), F.call_function("split", text, pattern, F.lit(-1)).alias("between"))
+
+    def named(x: Column, i: Column) -> Column:
+        before = F.when(i == 0, x["between"][0]).otherwise(F.concat(x["found"][F.greatest(i - 1, F.lit(0))], x["between"][i]))
+        word = F.regexp_extract(before, r"(?U)([\w-]++)[^\w-]*+$", 1)
+        return x["found"][i].rlike(r"^\p{Lu}") & word.rlike(r"^[A-Z][A-Za-z0-9_-]*$")
+
+    every = lambda x: F.forall(F.sequence(F.lit(0), F.size(x["found"]) - 1), lambda i: named(x, i))
+    return F.element_at(F.transform(F.array(both), lambda x: F.when(F.size(x["found"]) > 0, every(x)).otherwise(F.lit(False))), 1)
 
 
 def is_generic() -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.glossary import PAPER, is_generic
+
 
 def by_chunk(planned: DataFrame, translations: DataFrame) -> DataFrame:
     """``doc_id, chunk_no, words, need, have, state, missing`` of blocks with ``chunk_no``; a state is keep-only, done,
@@ -30,9 +32,9 @@ def next_chunk(chunks: DataFrame) -> DataFrame:
 
 
 def panel_terms(found: DataFrame, glossary: DataFrame) -> DataFrame:
-    """Entries that were found, and all of the paper's own (with 0): the paper's first, then by term."""
+    """Entries that were found and aren't generic, and all of the paper's own (with 0): the paper's first, then by term."""
     counted = glossary.join(found.groupBy("key").agg(F.sum("n").alias("n")), "key", "left").withColumn("count", F.coalesce("n", F.lit(0)))
-    return counted.where((F.col("count") > 0) | (F.col("source") == "paper")).drop("n").orderBy(F.col("source") != "paper", F.lower("en"))
+    return counted.where((F.col("count") > 0) & ~is_generic() | (F.col("source") == PAPER)).drop("n").orderBy(F.col("source") != PAPER, F.lower("en"))
 
 
 def status_lines(chunks: DataFrame) -> DataFrame:

@@ -114,17 +114,17 @@ def term_uses(pairs: DataFrame, glossary: DataFrame, all_terms: bool = False) ->
     return keyed.withColumn("hits", G.variant_hits(F.col("vi"), F.col("target_key"))).withColumn("english", english).drop("target_key")
 
 
-def term_issues(uses: DataFrame) -> DataFrame:
+def term_issues(uses: DataFrame, glossary: DataFrame) -> DataFrame:
     """Terms that a translation lacks or keeps in English, first uses without the English term, and terms with several
-    variants in one document."""
+    variants in one document.  Where the glossary has entries of the paper's own, first uses of others aren't told."""
+    any_paper = not glossary.where(F.col("source") == G.PAPER).isEmpty()
     paper, none = F.col("layer") == G.PAPER, F.size("hits") == 0
     absent = uses.where(none & ~F.col("english")).select(
         "doc_id", "id", F.when(paper | F.col("en").rlike(r"\S\s+\S"), "warn").otherwise("info").alias("level"), F.lit("term").alias("code"), "en", F.array_join("vi", " | ").alias("detail"))
     kept = uses.where(none & F.col("english") & paper & ~G.only_in_names(F.col("en"), F.col("target"))).select("doc_id", "id", F.lit("warn").alias("level"), F.lit("kept-english").alias("code"), "en", F.col("vi")[0].alias("detail"))
     ranked = uses.where(~F.col("type").isin("title", "heading")).withColumn("use", F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("block_no")))
-    any_paper = F.coalesce(F.max(paper.cast("int")).over(Window.partitionBy("doc_id")), F.lit(0)) == 1
-    told = (paper | ~F.col("any_paper")) & (T.term_key(F.col("vi")[0], True) != T.term_key(F.col("en"), True)) & ~F.contains(F.lower("target"), F.lower("en")) & ~none
-    first = ranked.withColumn("any_paper", any_paper).where((F.col("use") == 1) & told).select(
+    told = (paper | F.lit(not any_paper)) & (T.term_key(F.col("vi")[0], True) != T.term_key(F.col("en"), True)) & ~F.contains(F.lower("target"), F.lower("en")) & ~none
+    first = ranked.where((F.col("use") == 1) & told).select(
         "doc_id", "id", F.lit("info").alias("level"), F.lit("first-use").alias("code"), "en", F.concat(F.expr("vi[hits[0]]"), F.lit(" ("), "en", F.lit(")")).alias("detail"))
     return absent.unionByName(kept).unionByName(first).unionByName(inconsistent(uses))
 
@@ -142,7 +142,7 @@ def check(blocks: DataFrame, translations: DataFrame, glossary: DataFrame, confl
     """All issues: ``doc_id, block, term, level, code, detail``."""
     pairs = align(blocks, translations)
     plain = pair_issues(pairs, "doc_id", "id").withColumn("en", F.lit(None).cast("string"))
-    found = plain.unionByName(term_issues(term_uses(pairs, glossary, all_terms)))
+    found = plain.unionByName(term_issues(term_uses(pairs, glossary, all_terms), glossary))
     if conflicts is not None:
         found = found.unionByName(conflicts.select("doc_id", F.col("block_id").alias("id"), F.lit("warn").alias("level"), F.lit("duplicate").alias("code"), F.lit(None).cast("string").alias("en"), F.concat_ws(" > ", "earlier_file", "file").alias("detail")))
     return found.select("doc_id", F.col("id").alias("block"), F.col("en").alias("term"), "level", "code", "detail")

@@ -22,32 +22,33 @@ URL = r"https?://[^\s<>()\]]+[^\s<>().,;:\]]"
 STRONG, EM = r"\*\*(?=\S)(.+?)(?<=\S)\*\*", r"(?<![\w*])\*(?=[^\s*])([^*\n]+?)(?<=[^\s*])\*(?![\w*])"
 CITED = r"\[(\d+(?:\s*[,–\-]\s*\d+)*)\]"
 MISSING, NOT_YET = "Chưa dịch", "*(chưa dịch)*"
-_VERBATIM = re.compile(f"(?P<code>{CODE})|(?P<maths>{MATHS})|(?P<url>{URL})")
+#: What is taken out, in this order, and how it is shown.
+_VERBATIM = (
+    (re.compile(CODE), lambda m: f"<code>{html.escape(m[1])}</code>"),
+    (re.compile(MATHS), lambda m: f'<span class="math">{html.escape(m[0])}</span>'),
+    (re.compile(URL), lambda m: f'<a href="{html.escape(m[0])}" rel="noopener noreferrer" target="_blank">{html.escape(m[0])}</a>'),
+)
+_HELD = re.compile("\0(\\d+)\0")
 _LIST = re.compile(r"^\s*(?:([-*+])|(\d+[.)]))\s+(.*)$")
 
 
-def _verbatim(match: re.Match) -> str:
-    whole = html.escape(match[0])
-    if match["code"]:
-        return f"<code>{html.escape(match[2])}</code>"
-    if match["maths"]:
-        return f'<span class="math">{whole}</span>'
-    return f'<a href="{whole}" rel="noopener noreferrer" target="_blank">{whole}</a>'
-
-
 def inline_html(text: str) -> str:
     """A safe subset of inline Markdown: code, formulas, links, strong, emphasis and citations; all else is escaped.
-    Code, formulas and links are taken out first and put back last, so nothing in them is marked up."""
+    Code is taken out first, then formulas, then links, and all are put back last, so nothing in them is marked up."""
     kept: list[str] = []
-
-    def take(match: re.Match) -> str:
-        kept.append(_verbatim(match))
-        return f"\0{len(kept) - 1}\0"
-
-    marked = html.escape(_VERBATIM.sub(take, text.replace("\0", "")), quote=False)
+    held = text.replace("\0", "")
+    for pattern, show in _VERBATIM:
+        def take(match: re.Match, show=show) -> str:
+            kept.append(show(match))
+            return f"\0{len(kept) - 1}\0"
+
+        held = pattern.sub(take, held)
+    marked = html.escape(held, quote=False)
     for pattern, shown in ((STRONG, r"<strong>\1</strong>"), (EM, r"<em>\1</em>"), (CITED, r'<span class="cite">[\1]</span>')):
         marked = re.sub(pattern, shown, marked)
-    return re.sub("\0(\\d+)\0", lambda m: kept[int(m[1])], marked)
+    while _HELD.search(marked):  # a formula may have code in it
+        marked = _HELD.sub(lambda m: kept[int(m[1])], marked)
+    return marked
 
 
 def paragraphs_html(text: str) -> str:
