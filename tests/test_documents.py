@@ -29,11 +29,11 @@ def test_furniture_hyphens_and_page_numbers(spark):
     pages = []
     for p, crop in enumerate(crops, 11):
         top = "Notes on Fields\nI. Okoro\n\n1 Weeds\n" if p == 11 else ""
-        pages.append(f"Farm Letters 7\n{top}On {crop} the under-\nground parts were counted by a self-\ntrained team.\n\n{p}\n")
+        pages.append(f"Farm Letters 7\n{top}On {crop} the under-\nground parts were counted by a self-\ntrained team of {crop} growers.\n\n{p}\n")
     found = blocks.build_blocks(layout.drop_furniture(text_lines(spark, "\f".join(pages)))).orderBy("block_no").collect()
     texts = [r.text for r in found]
     assert (found[0].type, texts[0]) == ("title", "Notes on Fields") and [r.text for r in found if r.type == "heading"] == ["1 Weeds"]
-    assert all(any(f"On {crop} the underground parts were counted by a self-trained team." in x for x in texts) for crop in crops)
+    assert all(any(f"On {crop} the underground parts were counted by a self-trained team of {crop} growers." in x for x in texts) for crop in crops)
     assert not any("Farm Letters" in x or x.strip() in ("11", "12", "13", "14") for x in texts)
 
 
