@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -9,11 +11,15 @@ from pyspark.sql.types import StringType
 
 #: White space as Unicode has it.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+NO_SPACE = r"[^\s\x1c-\x1f\x85\p{Z}]"
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85" or unicodedata.category(c)[0] == "Z")
 WORD = r"[\p{L}\p{N}_]"
 
 # Fixed values.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 DASHES_AND_BLANKS = (" ‐‑−­​", " ---")
+#: Holds for any text with a sign of the two above, and for some others; ranges are cheaper to test than lists.
+ODD = r"[\x{a0}\x{ad}\x{200b}-\x{2212}\x{fb00}-\x{fb06}]"
 TONES = {
     "oá": "óa", "oà": "òa", "oả": "ỏa", "oã": "õa", "oạ": "ọa", "oé": "óe", "oè": "òe", "oẻ": "ỏe", "oẽ": "õe", "oẹ": "ọe",
     "uý": "úy", "uỳ": "ùy", "uỷ": "ủy", "uỹ": "ũy", "uỵ": "ụy",
@@ -26,20 +32,32 @@ KEEP_HYPHEN_BEFORE = (
 
 
 @F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Unicode normal form C; Spark has no expression for it."""
+def _composed(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFC")
 
 
+def nfc(text: Column) -> Column:
+    """Unicode normal form C; Spark has no expression for it.  Texts without a sign from U+0300 on are in it already and
+    don't leave the JVM."""
+    return F.coalesce(_composed(F.when(text.rlike(r"[^\x{0}-\x{2ff}]"), text)), text)
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def plain_signs(text: Column) -> Column:
+    """Ligatures and odd dashes and blanks made plain, runs of blanks made one; line breaks stay.  Few texts have any of
+    those signs, and only they are rewritten."""
+    plain = text
+    for sign, letters in LIGATURES.items():
+        plain = F.replace(plain, F.lit(sign), F.lit(letters))
+    return F.regexp_replace(F.when(text.rlike(ODD), F.translate(plain, *DASHES_AND_BLANKS)).otherwise(text), "[ \t]{2,}+|\t", " ")
 
 
 def squeeze(text: Column) -> Column:
-    """Ligatures and odd dashes and blanks made plain, runs of blanks made one, ends stripped."""
-    for sign, plain in LIGATURES.items():
-        text = F.replace(text, F.lit(sign), F.lit(plain))
-    return strip(F.regexp_replace(F.translate(text, *DASHES_AND_BLANKS), "[ \t]+", " "))
+    """``plain_signs`` with the ends stripped."""
+    return strip(plain_signs(text))
 
 
 def clean_text(text: Column, composed: bool = False) -> Column:

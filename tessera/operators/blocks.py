@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,14 +25,14 @@ BLOCK = "doc_id {id}, block_no int, type string, page int, level int, parts arra
 def features(lines: DataFrame) -> DataFrame:
     """``lines`` (after ``mark_footnotes``) with everything that the fold asks of a line or a document."""
     text = F.col("text")
-    marked = lines.join(layout.body_size(lines), "doc_id", "left").join(layout.base_gap(lines), "doc_id").join(layout.typical_length(lines), "doc_id")
+    marked = layout.measured(lines)
     name = F.lower(F.regexp_replace(F.regexp_replace(text, C.NUMBERING, ""), "^[ .:]+|[ .:]+$", ""))
     body = F.col("body")
     first = F.min("page").over(Window.partitionBy("doc_id").orderBy("line_no"))
     right = F.max("x1").over(Window.partitionBy("doc_id", "page"))
     return marked.select(
         "*", F.col("y0").isNotNull().alias("placed"), C.heading_level(body).alias("level"), C.heading_level(body, in_refs=F.lit(True)).alias("level_in_refs"),
-        C.heading_level(body, in_front=F.lit(True)).alias("level_in_front"), name.alias("name"), F.size(C.tokens(text)).alias("n_words"), C.is_known_section(text).alias("known"),
+        C.heading_level(body, in_front=F.lit(True)).alias("level_in_front"), name.alias("name"), C.token_count(text).alias("n_words"), C.is_known_section(text).alias("known"),
         text.rlike(C.NUMBERED).alias("numbered"), C.is_caption(text).alias("caption"), C.is_equation(text).alias("equation"), C.is_table_line(text).alias("tabular"),
         C.starts_reference(text).alias("reference"), C.is_inline_abstract(text).alias("inline_abstract"), C.is_terminal(text).alias("terminal"), text.rlike("[.!?:;]$").alias("stopped"),
         text.rlike(r"[.\]]\s*$").alias("closed"), text.rlike(r"^\p{Ll}").alias("lower_start"), text.rlike(r"^(of|for|and|in|with|on|via|to|from)(?!\w)").alias("linking_start"),
@@ -198,27 +198,31 @@ class _Fold:
         self.previous = row
 
 
-def fold(frame: pd.DataFrame) -> pd.DataFrame:
+BLOCK_ARROW = [("block_no", pa.int32()), ("type", pa.string()), ("page", pa.int32()), ("level", pa.int32()), ("parts", pa.list_(pa.string())), ("section_parts", pa.list_(pa.string()))]
+
+
+def fold(table: pa.Table) -> pa.Table:
     """The blocks of one document's lines."""
-    rows = frame.sort_values("line_no").to_dict("records")
+    rows = table.sort_by("line_no").to_pylist()
     title = _title_lines(rows)
     sizes = [_number(r["size"]) for r in rows if r["line_no"] in title]
     state = _Fold(title, max(sizes, default=0.0))
     for k, row in enumerate(rows):
         state.take(row, rows[k + 1 : k + 3])
     state.close()
-    out = pd.DataFrame(state.done, columns=["type", "page", "level", "parts", "section_parts"])
-    out.insert(0, "doc_id", rows[0]["doc_id"])
-    out.insert(1, "block_no", range(1, len(out) + 1))
-    return out
+    schema = pa.schema([table.schema.field("doc_id"), *BLOCK_ARROW])
+    return pa.Table.from_pylist([block | {"doc_id": rows[0]["doc_id"], "block_no": k} for k, block in enumerate(state.done, 1)], schema)
 
 
 def build_blocks(lines: DataFrame) -> DataFrame:
     """``doc_id, block_no, id, type, page, level, keep, section, text``: titles, authors, abstracts, headings, paragraphs,
-    captions, equations, tables, references and footnotes in the order of the document."""
-    marked = features(layout.mark_footnotes(lines))
+    captions, equations, tables, references and footnotes in the order of the document.
+
+    Lines are dealt by document once; all that a document is measured by is windows over that partitioning, and the fold
+    needs no other.  Lines without an id are one document; an empty table gives an empty one."""
+    marked = features(layout.mark_footnotes(lines.repartition("doc_id")))
     schema = BLOCK.format(id=lines.schema["doc_id"].dataType.simpleString())
-    blocks = marked.groupBy("doc_id").applyInPandas(fold, schema)
+    blocks = marked.groupBy("doc_id").applyInArrow(fold, schema)
     text = F.when(F.col("type").isin(*BY_LINE), F.array_join("parts", "\n")).otherwise(T.join_lines(F.col("parts")))
     section = F.when(F.size("section_parts") == 1, F.col("section_parts")[0]).otherwise(T.join_lines(F.col("section_parts")))
     return blocks.select("doc_id", "block_no", F.concat(F.lit("b"), "block_no").alias("id"), "type", "page", "level", F.col("type").isin(*KEEP).alias("keep"), section.alias("section"), text.alias("text"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import SPACE, strip
+from tessera.functions.text import NO_SPACE, SPACE, strip
 
 # Section names and the patterns of headings, captions and references.
 SECTIONS = (
@@ -27,13 +27,15 @@ REFERENCE = r"^(\[\d+\]|\d{1,3}\.\s+[A-Z]|[A-Z][A-Za-z'’\-]+,\s+(?:[A-Z]\.|[A-
 INLINE_ABSTRACT = r"(?iu)^abstract\s*[—–:.\-]\s*\S"
 TERMINAL = r"[.!?:;]$"
 MATH = r"[=<>+*/^_∑∏∫√≤≥≈≠∈∀∃∂∇λθσμαβγδεπφψωΣΠ|{}→←×·]"
-NUMERIC = r"^[(\[]?[-+±]?\d[\d.,%]*[)\]]?%?$|^[±×–-]$"
+#: Holds for any text that has a sign of MATH; ranges are cheaper to test than lists.
+MATH_GUARD = r"[=<>+*/^_|{}×·\x{3a0}-\x{3c9}\x{2190}-\x{2265}]"
+NUMERIC = r"[(\[]?[-+±]?\d[\d.,%]*[)\]]?%?|[±×–-]"
 EQUATION_NUMBER = r"\(\d{1,3}[a-z]?\)\s*$"
 PAGE_NUMBER = r"(?iu)^(page\s*)?\d{1,4}(\s*(of|/)\s*\d{1,4})?$"
 
 
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(text, f"{SPACE}+", -1), lambda t: t != "")
+def token_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(f"{NO_SPACE}++"))
 
 
 def is_known_section(text: Column) -> Column:
@@ -57,21 +59,22 @@ def is_terminal(text: Column) -> Column:
 
 
 def is_equation(text: Column) -> Column:
-    """Few long words and many signs of formulas, or a formula's number at the end."""
+    """Few long words and many signs of formulas, or a formula's number at the end.  Most lines have no such sign, and
+    nothing is counted in them."""
     count = lambda pattern: F.regexp_count(text, F.lit(pattern))
     long_words, words, signs = count("[A-Za-z]{4,}"), count(r"(?U)\b[A-Za-z]{2,}\b"), count(MATH)
     equals = text.contains("=")
     numbered = text.rlike(EQUATION_NUMBER) & (equals | (signs >= 2)) & (long_words <= 6)
     plain = (words < 8) & ((equals & (signs >= 3) & (long_words <= 3)) | ((signs >= 5) & (long_words <= 2)))
-    return (F.char_length(text) <= 200) & (numbered | plain)
+    return F.when((F.char_length(text) <= 200) & text.rlike(MATH_GUARD), numbered | plain).otherwise(False)
 
 
 def is_table_line(text: Column) -> Column:
     """Three cells set apart by wide gaps, or mostly numbers."""
     cells = F.size(F.filter(F.split(text, r"\s{2,}", -1), lambda c: strip(c) != ""))
-    words = F.size(tokens(text))
-    numbers = F.size(F.filter(tokens(text), lambda t: t.rlike(NUMERIC)))
-    return (words > 0) & (((cells >= 3) & ((numbers >= 1) | (words <= 12))) | ((words >= 3) & (numbers / words >= 0.5)))
+    words, numbers = token_count(text), F.regexp_count(text, F.lit(f"(?<!{NO_SPACE})(?:{NUMERIC})(?!{NO_SPACE})"))
+    wide = text.rlike(r"\s\s") & (cells >= 3) & ((numbers >= 1) | (words <= 12))
+    return F.when(text.rlike(r"\s\s|\d|[±×–-]"), (words > 0) & (wide | ((words >= 3) & (numbers / F.greatest(words, F.lit(1)) >= 0.5)))).otherwise(False)
 
 
 def depth(text: Column) -> Column:
@@ -92,7 +95,7 @@ def heading_level(body: Column | None = None, in_refs: Column | None = None, in_
     body = F.lit(None).cast("double") if body is None else body
     in_refs, in_front = (F.lit(False) if x is None else x for x in (in_refs, in_front))
     text, placed = strip(F.col("text")), F.col("y0").isNotNull()
-    words, size = F.size(tokens(text)), F.coalesce("size", F.lit(0.0))
+    words, size = token_count(text), F.coalesce("size", F.lit(0.0))
     own, number = depth(text), F.regexp_extract(text, NUMBERED, 1)
     digits = number.rlike(r"^\d")
     marked = F.when(text.rlike(r"^\d+(?:\.\d+)*\.?\s"), own).otherwise(F.col("md_heading"))

@@ -26,8 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of all documents; the tables are in normal form C."""
-    return D.lines(table(spark, sf_dir, "documents"), composed=True)
+    """The lines of all documents."""
+    return D.lines(table(spark, sf_dir, "documents"))
 
 
 def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,7 +206,7 @@ def _term_sql(table_name: str, key: str) -> str:
 
 _MATHS = classify.MATH.replace("'", "''")
 _LONE_WORDS = r"len(list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[A-Za-z]{2,}')))"
-_NUMBERS = "len(list_filter(regexp_extract_all(text, '\\S+'), lambda x: regexp_matches(x, '" + classify.NUMERIC.replace(r"[(\[]?", r"[(\[]?") + "')))"
+_NUMBERS = "len(list_filter(regexp_extract_all(text, '\\S+'), lambda x: regexp_matches(x, '" + "^(" + classify.NUMERIC + ")$')))"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (clean_lines, word_counts, digit_masks, furniture_keys, furniture_removed, line_features, line_len_p85, chunk_plan, chunk_summary, term_counts, benchmark_phrases,

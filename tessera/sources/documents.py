@@ -21,6 +21,7 @@ LINES = ("page int, line_no int, text string, x0 double, y0 double, x1 double, y
 
 # Page breaks, heading marks, block markers.
 PAGE_BREAK = r"(?im)\f|^-{2,}\s*page\s+\d+\s*-{2,}\s*$"
+NEW_LINE = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 HEADING_MARK = r"^(#{1,6})\s+(.*)$"
 MARKER = r"^[ \t]*<!--\s*(b\d+)\b[^>]*-->[ \t]*$"
 COMMENT = r"(?s)<!--.*?-->"
@@ -55,11 +56,17 @@ def in_pages(page: Column, spec: str | None) -> Column:
     return chosen
 
 
+def _page_texts(text: Column) -> Column:
+    """A text cut at form feeds and page lines; an empty first page doesn't count."""
+    text = F.coalesce(text, F.lit(""))
+    text = F.when(text.startswith("\ufeff"), F.substr(text, F.lit(2))).otherwise(text)
+    parts = F.when(text.contains("\f") | text.contains("--"), F.split(text, PAGE_BREAK, -1)).otherwise(F.array(text))
+    return F.transform(F.array(parts), lambda p: F.when((F.size(p) > 1) & (T.strip(p[0]) == ""), F.slice(p, 2, F.size(p))).otherwise(p))[0]
+
+
 def pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, page, text``: texts cut at form feeds and page lines; an empty first page doesn't count."""
-    parts = F.split(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "^﻿", ""), PAGE_BREAK, -1)
-    parts = F.transform(F.array(parts), lambda p: F.when((F.size(p) > 1) & (T.strip(p[0]) == ""), F.slice(p, 2, F.size(p))).otherwise(p))[0]
-    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(parts).alias("page", "text")).withColumn("page", F.col("page") + 1)
+    """``doc_id, page, text``: pages numbered from 1.  A null text is one empty page; repeated rows and null ids stay."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(_page_texts(F.col(text_col))).alias("page", "text")).withColumn("page", F.col("page") + 1)
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", markdown: bool = False, spec: str | None = None, composed: bool = False) -> DataFrame:
@@ -67,24 +74,29 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", markd
 
     ``blank_before`` looks at the lines of the page before empty ones go.  With ``markdown``, heading marks become
     levels, and if the only level 1 is the first line, the others go up by one.
+
+    A row's lines are numbered within their array, so nothing is shuffled; each row is a document, also where ids repeat
+    or are null.  A null or empty text has no lines, an empty table gives an empty one; other columns aren't looked at.
     """
-    chosen = pages(docs, id_col, text_col).where(in_pages(F.col("page"), spec))
-    raw = chosen.select("doc_id", "page", F.posexplode(F.split("text", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]", -1)).alias("pos", "raw"))
-    cleaned = raw.select("doc_id", "page", "pos", T.clean_text(F.col("raw"), composed).alias("text"))
-    here = Window.partitionBy("doc_id", "page").orderBy("pos")
-    blank = F.coalesce(F.lag(F.col("text") == "").over(here), F.lit(False))
-    kept = cleaned.withColumn("blank_before", blank).where("text <> ''")
-    level = F.length(F.regexp_extract("text", HEADING_MARK, 1)) if markdown else F.lit(0)
-    text = F.when(level > 0, T.strip(F.regexp_extract("text", HEADING_MARK, 2))).otherwise(F.col("text"))
-    whole = Window.partitionBy("doc_id").orderBy("page", "pos")
-    numbered = kept.select("doc_id", "page", F.row_number().over(whole).alias("line_no"), "blank_before", level.alias("md_heading"), text.alias("text"))
-    if markdown:
-        doc = Window.partitionBy("doc_id")
-        shift = (F.first("md_heading").over(Window.partitionBy("doc_id").orderBy("line_no")) == 1) & (F.count_if(F.col("md_heading") == 1).over(doc) == 1)
-        numbered = numbered.withColumn("md_heading", F.when(shift & (F.col("line_no") > 1) & (F.col("md_heading") > 0), F.greatest(F.lit(1), F.col("md_heading") - 1)).otherwise(F.col("md_heading")))
+    whole = F.col(text_col) if composed else T.nfc(F.col(text_col))
+    texts = docs.select(F.col(id_col).alias("doc_id"), _page_texts(whole).alias("texts"))
+    split = lambda p: F.transform(F.split(T.plain_signs(p), NEW_LINE, -1), T.strip)
+    paged = texts.select("doc_id", F.transform("texts", lambda p, k: F.struct((k + 1).alias("page"), split(p).alias("rows"))).alias("pages"))
+    level = lambda text: F.length(F.regexp_extract(text, HEADING_MARK, 1)) if markdown else F.lit(0)
+
+    def kept(page: Column) -> Column:
+        entry = lambda text, k: F.struct(page["page"].alias("page"), text.alias("text"), ((k > 0) & (F.get(page["rows"], k - 1) == "")).alias("blank_before"), level(text).alias("level"))
+        return F.filter(F.transform(page["rows"], entry), lambda e: e["text"] != "")
+
+    listed = paged.select("doc_id", F.flatten(F.transform(F.filter("pages", lambda p: in_pages(p["page"], spec)), kept)).alias("entries"))
+    shift = (F.get("entries", F.lit(0))["level"] == 1) & (F.size(F.filter("entries", lambda e: e["level"] == 1)) == 1) if markdown else F.lit(False)
+    # Outer, for a filter on the size of the array would have it computed twice.
+    found = listed.select("doc_id", shift.alias("shift"), F.posexplode_outer("entries").alias("pos", "e")).where("pos is not null")
+    text = F.when(F.col("e.level") > 0, T.strip(F.regexp_extract("e.text", HEADING_MARK, 2))).otherwise(F.col("e.text")) if markdown else F.col("e.text")
+    raised = F.when(F.col("shift") & (F.col("pos") > 0) & (F.col("e.level") > 0), F.greatest(F.lit(1), F.col("e.level") - 1)).otherwise(F.col("e.level"))
     none = [F.lit(None).cast("double").alias(x) for x in ("x0", "y0", "x1", "y1", "size")]
-    return numbered.select("doc_id", "page", "line_no", "text", *none, F.lit(False).alias("bold"), F.lit(None).cast("double").alias("page_w"), F.lit(None).cast("double").alias("page_h"),
-                           "blank_before", F.col("md_heading").cast("int").alias("md_heading"), F.lit(False).alias("footnote"))
+    return found.select("doc_id", F.col("e.page").alias("page"), (F.col("pos") + 1).alias("line_no"), text.alias("text"), *none, F.lit(False).alias("bold"), F.lit(None).cast("double").alias("page_w"),
+                        F.lit(None).cast("double").alias("page_h"), F.col("e.blank_before").alias("blank_before"), raised.cast("int").alias("md_heading"), F.lit(False).alias("footnote"))
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
