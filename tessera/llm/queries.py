@@ -172,9 +172,9 @@ ORACLE_SQL: dict[str, str] = {
                      CASE WHEN speaker = 'system' THEN '<|system|>' WHEN speaker = participant THEN '<|assistant|>'
                           ELSE '<|user name=' || speaker || '|>' END || chr(10) AS head
               FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.of),
-        o AS (SELECT *, CAST(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, participant, part
-                     ORDER BY turn NULLS FIRST, speaker, text ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM r)
-        SELECT conv_id, participant, part, count(*) AS n_turns, count(*) FILTER (speaker = participant) AS n_own,
+        o AS (SELECT *, CAST(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, participant
+                     ORDER BY part, turn NULLS FIRST, speaker, text ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM r)
+        SELECT conv_id, participant, part, CAST(min(upto - length(head) - length(body)) AS BIGINT) AS at, count(*) AS n_turns, count(*) FILTER (speaker = participant) AS n_own,
                string_agg(head || body, '' ORDER BY turn NULLS FIRST, speaker, text) AS rendered,
                coalesce(string_agg(CAST(upto - length(body) AS VARCHAR) || ':' || CAST(upto AS VARCHAR), ','
                         ORDER BY turn NULLS FIRST, speaker, text) FILTER (speaker = participant), '') AS mask

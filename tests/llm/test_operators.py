@@ -264,6 +264,25 @@ def test_chat(spark):
     assert found[2, "ann", 0].mask == "" and chat.rotate(turns.where("false")).count() == 0
 
 
+def test_chat_parts_join_to_one_rendering(spark):
+    rows = [(c, t, ("ann", "bob", "system", None, "ann", "céd")[((t or 0) * 7 + (c or 0)) % 6], f"t{t}" * ((t or 0) % 4)) for c in (1, 2, None) for t in (None, *range(23), 5)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+
+    def joined(part_turns):
+        out = {}
+        for r in sorted(chat.rotate(turns, part_turns=part_turns).collect(), key=lambda r: r.part):
+            text, mask = out.get((r.conv_id, r.participant), ("", []))
+            assert r.at == len(text)
+            out[r.conv_id, r.participant] = (text + r.rendered, mask + [x for x in r.mask.split(",") if x])
+        return out
+
+    whole = joined(1000)
+    assert len(whole) == 12 and joined(4) == joined(1) == whole
+    for (conv, who), (text, mask) in whole.items():
+        own = [x or "" for c, t, role, x in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "unknown", r[3])) if c == conv and (role or "unknown") == who]
+        assert [text[slice(*map(int, m.split(":")))] for m in mask] == [x + chat.END for x in own]
+
+
 # ---- byte-level BPE
 
 
