@@ -1,8 +1,8 @@
 """Personal data in texts by weak supervision, in DataFrame functions.
 
 Patterns propose candidate spans; labelers (structure, gazetteers, words around a span, what it touches) vote on each;
-expectation-maximisation over the counts of vote patterns estimates how reliable each labeler is, and a logistic
-classifier is fitted to the posteriors it gives.  Both models are fitted on the driver from counts by vote pattern, of
+expectation-maximisation over the counts of vote patterns estimates how reliable each labeler is for each kind, and a
+logistic classifier on the votes and on traits of the span is fitted to the posteriors it gives.  Both models are fitted on the driver from counts by vote pattern, of
 which there is a fixed number whatever the corpus, and are applied as column expressions.
 """
 
@@ -71,6 +71,13 @@ def _luhn() -> Column:
         cast(substring(digits, length(digits) - i + 1, 1) as int) * 2 - if(substring(digits, length(digits) - i + 1, 1) >= '5', 9, 0))) % 10 = 0""")
 
 
+def _mod97() -> Column:
+    """Whether an account number's check digits fit: its first four signs put last, letters as 10 to 35, modulo 97."""
+    return F.expr("""aggregate(sequence(1, length(match)), 0L, (s, i) -> (
+        s * if(ascii(substring(concat(substring(match, 5), left(match, 4)), i, 1)) >= 65, 100, 10)
+        + ascii(substring(concat(substring(match, 5), left(match, 4)), i, 1)) - if(ascii(substring(concat(substring(match, 5), left(match, 4)), i, 1)) >= 65, 55, 48)) % 97) = 1""")
+
+
 def _vote(yes: Column, no: Column) -> Column:
     """1 for, 0 against, 2 for no opinion."""
     return F.when(yes, 1).when(no, 0).otherwise(2)
@@ -83,7 +90,7 @@ def _in_context(match: Column, i: Column) -> Column:
 
 
 def candidates(base: DataFrame) -> DataFrame:
-    """A row for each match in ``base(id, version, text)``: kind, start, stop, valid, votes and length class."""
+    """A row for each match in ``base(id, version, text)``: kind, start, stop, valid, votes, and what the classifier sees besides."""
     found = []
     for kind, (guard, pattern) in PATTERNS.items():
         text = F.regexp_replace("text", _LONE, "\x01") if kind == "card" else F.col("text")
@@ -104,7 +111,7 @@ def candidates(base: DataFrame) -> DataFrame:
     valid = {
         "email": F.lit(True), "ip": parts_fit, "card": F.col("n_digits").between(12, 19) & F.when(F.col("n_digits").between(12, 19), _luhn()).otherwise(False),
         "phone": F.col("n_digits").between(9, 15), "local": ~F.col("digits").rlike("^[01]"), "national": ~F.col("digits").rlike("^(?:000|666|9)"),
-        "iban": F.col("n_digits") >= 10, "person": F.col("match").contains(" "),
+        "iban": F.when(F.col("kind") == "iban", _mod97()).otherwise(False), "person": F.col("match").contains(" "),
     }
     known = {
         "email": F.lower("match").rlike(rf"\.(?:{_DOMAINS})$"), "ip": ~F.col("match").rlike(r"^(?:0|127|255|22[4-9]|2[34][0-9])\."), "card": F.col("digits").rlike(f"^(?:{_ISSUERS})"),
@@ -117,42 +124,55 @@ def candidates(base: DataFrame) -> DataFrame:
     none = F.lit(False)
     return placed.withColumn("valid", _by_kind(valid)).select(
         "id", "version", "kind", "start", "stop", "valid", (F.col("n_digits") >= 10).cast("int").alias("many_digits"),
+        F.least(F.lit(4), F.floor(F.char_length("match") / 6)).cast("int").alias("long"), F.col("before").rlike(r"[:=#]\s*$").cast("int").alias("led"),
+        F.when(F.col("before").rlike(r"\n\s*$") | (F.trim("before") == ""), 0).when(F.col("before").rlike(r"[.!?]\s*$"), 1).otherwise(2).alias("opens"),
         _vote(F.col("valid"), ~F.col("valid")).alias("v_structure"), _vote(_by_kind(known), ~_by_kind(known)).alias("v_gazetteer"),
         _vote(for_it, none).alias("v_context"), _vote(none, around.rlike(rf"(?<!\p{{L}})(?:{_AGAINST})")).alias("v_counter"), _vote(~glued, glued).alias("v_edge"),
     )
 
 
+#: Of a span and its surroundings, beside its kind and the votes: ten digits or more, its length in sixes, whether a colon,
+#: an equals sign or a number sign leads to it, and whether it opens a line, opens a sentence or stands within one.
+TRAITS = ("many_digits", "long", "led", "opens")
 VOTES = ("v_structure", "v_gazetteer", "v_context", "v_counter", "v_edge")
 
 
-def estimate(patterns: Sequence[Row], rounds: int = 50) -> list[float]:
-    """The posterior of each vote pattern (its kind, votes and count ``n``) by expectation-maximisation.  A labeler has
-    for either class one distribution over for, against and no opinion; each kind has a prior.  Starts from a majority
-    vote and adds one count to every cell, so nothing becomes certain."""
+def estimate(patterns: Sequence[Row], rounds: int = 50, weight: float = 10.0) -> list[float]:
+    """The posterior of each pattern (its kind, votes and count ``n``) by expectation-maximisation.
+
+    A labeler has for each kind and either class a distribution over for, against and no opinion, drawn towards its
+    distribution over all kinds by ``weight`` votes, so that rare kinds borrow and frequent ones go by their own; each
+    kind has a prior.  Starts from a majority vote and adds one count to every pooled cell, so nothing becomes certain.
+    """
     posterior = []
     for p in patterns:
         given = [p[v] for v in VOTES if p[v] != 2]
         posterior.append((sum(given) + 0.5) / (len(given) + 1.0))
+    kinds = sorted({p["kind"] for p in patterns})
     for _ in range(rounds):
-        tables = {v: [[1.0] * 3, [1.0] * 3] for v in VOTES}
-        prior: dict[str, list[float]] = {}
+        pooled = {v: [[1.0] * 3, [1.0] * 3] for v in VOTES}
+        own = {(k, v): [[0.0] * 3, [0.0] * 3] for k in kinds for v in VOTES}
+        prior = {k: [1.0, 1.0] for k in kinds}
         for p, q in zip(patterns, posterior):
-            for v in VOTES:
-                tables[v][1][p[v]] += q * p["n"]
-                tables[v][0][p[v]] += (1 - q) * p["n"]
-            mine = prior.setdefault(p["kind"], [1.0, 1.0])
-            mine[1] += q * p["n"]
-            mine[0] += (1 - q) * p["n"]
-        logs = {v: [[math.log(x / sum(row)) for x in row] for row in rows] for v, rows in tables.items()}
+            for of, share in enumerate((1 - q, q)):
+                prior[p["kind"]][of] += share * p["n"]
+                for v in VOTES:
+                    pooled[v][of][p[v]] += share * p["n"]
+                    own[p["kind"], v][of][p[v]] += share * p["n"]
+
+        def log(kind: str, v: str, of: int, vote: int) -> float:
+            row, every = own[kind, v][of], pooled[v][of]
+            return math.log((row[vote] + weight * every[vote] / sum(every)) / (sum(row) + weight))
+
         posterior = []
         for p in patterns:
-            odds = math.log(prior[p["kind"]][1] / prior[p["kind"]][0]) + sum(logs[v][1][p[v]] - logs[v][0][p[v]] for v in VOTES)
+            odds = math.log(prior[p["kind"]][1] / prior[p["kind"]][0]) + sum(log(p["kind"], v, 1, p[v]) - log(p["kind"], v, 0, p[v]) for v in VOTES)
             posterior.append(1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))))
     return posterior
 
 
 def features(p: Row) -> list[str]:
-    return ["bias", f"kind={p['kind']}", f"many_digits={p['many_digits']}", *(f"{v}={p[v]}" for v in VOTES)]
+    return ["bias", f"kind={p['kind']}", *(f"{x}={p[x]}" for x in (*TRAITS, *VOTES))]
 
 
 def fit(patterns: Sequence[Row], posterior: Sequence[float], rounds: int = 300, rate: float = 1.0, decay: float = 1e-3) -> dict[str, float]:
@@ -186,10 +206,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     text = text_of(text_col)
     base = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("version"))
     proposed = held(candidates(base))
-    patterns = proposed.groupBy("kind", "many_digits", *VOTES).agg(F.count(F.lit(1)).alias("n")).orderBy("kind", "many_digits", *VOTES).collect()
+    patterns = proposed.groupBy("kind", *TRAITS, *VOTES).agg(F.count(F.lit(1)).alias("n")).orderBy("kind", *TRAITS, *VOTES).collect()
     weights = fit(patterns, estimate(patterns))
     total = F.lit(weights.get("bias", 0.0))
-    for name in ("kind", "many_digits", *VOTES):
+    for name in ("kind", *TRAITS, *VOTES):
         for key, weight in weights.items():
             if key.startswith(f"{name}="):
                 total = total + F.when(F.col(name).cast("string") == key.split("=", 1)[1], F.lit(weight)).otherwise(0.0)

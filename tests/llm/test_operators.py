@@ -6,6 +6,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -437,7 +438,7 @@ def test_pii_awkward(docs, empty):
 def test_reliabilities():
     from pyspark.sql import Row
 
-    make = lambda n, *v: Row(kind="phone", many_digits=1, n=n, **dict(zip(pii.VOTES, v)))
+    make = lambda n, *v: Row(kind="phone", n=n, **dict.fromkeys(pii.TRAITS, 1), **dict(zip(pii.VOTES, v)))
     rows = [make(90, 1, 1, 1, 2, 1), make(10, 1, 1, 2, 2, 1), make(80, 0, 0, 2, 0, 1), make(5, 0, 1, 2, 2, 1)]
     posterior = pii.estimate(rows)
     assert posterior[0] > 0.95 and posterior[1] > 0.8 and posterior[2] < 0.05
@@ -446,6 +447,33 @@ def test_reliabilities():
     assert score(rows[0]) > 0 > score(rows[2]) and pii.estimate([]) == [] and pii.fit([], []) == {}
 
 
+def test_reliabilities_equal_a_plain_form():
+    """The same estimate over single spans, each cell summed anew, in place of counts by pattern."""
+    from pyspark.sql import Row
+
+    rng = random.Random(5)
+    rows = [Row(kind=rng.choice(["phone", "card", "iban"]), n=rng.randrange(1, 6), **dict.fromkeys(pii.TRAITS, 0), **{v: rng.randrange(3) for v in pii.VOTES}) for _ in range(25)]
+    spans = [k for k, r in enumerate(rows) for _ in range(r.n)]
+    belief = [(sum(r[v] == 1 for v in pii.VOTES) + 0.5) / (sum(r[v] < 2 for v in pii.VOTES) + 1) for r in rows]
+    for _ in range(12):
+        sure = lambda k, c: belief[k] if c else 1 - belief[k]
+
+        def chance(kind, v, c, vote):
+            every = [1.0 + sum(sure(k, c) for k in spans if rows[k][v] == x) for x in range(3)]
+            mine = [sum(sure(k, c) for k in spans if rows[k].kind == kind and rows[k][v] == x) for x in range(3)]
+            return (mine[vote] + 10 * every[vote] / sum(every)) / (sum(mine) + 10)
+
+        likely = [[(1 + sum(sure(k, c) for k in spans if rows[k].kind == r.kind)) * np.prod([chance(r.kind, v, c, r[v]) for v in pii.VOTES]) for c in (0, 1)] for r in rows]
+        belief = [b / (a + b) for a, b in likely]
+    assert np.allclose(pii.estimate(rows, rounds=12), belief)
+
+
+def test_account_numbers_by_their_check_digits(spark):
+    texts = ["iban: DE89370400440532013000 now", "iban: DE88370400440532013000 now", "iban: GB82WEST12345698765432.", "iban: GB82WEST12345698765423.", "account FR1420041010050500013M02606"]
+    whole = frame(spark, [(k, t, "s") for k, t in enumerate(texts)]).selectExpr("doc_id as id", "0L as version", "text")
+    assert {r.id: r.valid for r in pii.candidates(whole).where("kind = 'iban'").collect()} == {0: True, 1: False, 2: True, 3: False, 4: True}
+
+
 # ---- toxicity
 
 
