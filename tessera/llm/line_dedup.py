@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, SPACE, UPPER, digest, text_of
+from tessera.llm.common import LOWER, SPACE, UPPER, digest, held, text_of
 
 
 def line_key(line: Column) -> Column:
@@ -17,7 +17,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Drop lines whose key of at least ``min_chars`` code points occurs in at least ``min_docs`` documents, except in the
     document with the largest id that holds it.
 
-    Lines are exploded and hashed (128 bits of SHA-256); distinct documents are counted for each hash; the positions of
+    Lines are exploded and hashed (128 bits of SHA-256) once, into the shared checkpoint folder; distinct documents are counted for each hash; the positions of
     dropped lines come back by document, and a document is put together from the stretches between them.  Only hashes,
     ids and positions move until that last join, which moves each text once.  A hash that very many lines share is
     counted by partial aggregates and then joined, where adaptive execution splits it.
@@ -28,21 +28,22 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     base = base.withColumn("version", F.xxhash64("text"))
-    lines = (
+    lines = held(
         base.where(F.col("id").isNotNull())
         .select("id", "version", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
         .select("id", "version", "pos", line_key(F.col("line")).alias("key"))
         .where(F.char_length("key") >= min_chars)
-        .select("id", "version", "pos", digest(F.col("key")).alias("hash"))
+        .select("id", "version", "pos", F.unhex(digest(F.col("key"))).alias("hash"))
     )
+    # The counts are dealt anew for the join: its left side is then a shuffle of its own, which adaptive execution can split.
     common = (
         lines.select("hash", "id").distinct()
         .groupBy("hash").agg(F.count(F.lit(1)).alias("n_docs"), F.max("id").alias("keeper"))
         .where(F.col("n_docs") >= min_docs)
-        .select(F.unhex("hash").alias("common_hash"), "keeper")
+        .select(F.unhex(F.hex("hash")).alias("common_hash"), "keeper")
     )
     dropped = (
-        lines.select("id", "version", "pos", F.unhex("hash").alias("line_hash"))
+        lines.withColumnRenamed("hash", "line_hash")
         .join(common, (F.col("line_hash") == F.col("common_hash")) & (F.col("id") != F.col("keeper")))
         .groupBy(F.col("id").alias("drop_id"), F.col("version").alias("drop_version"))
         .agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
