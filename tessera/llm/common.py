@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,18 @@ def held(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path for ``name`` below the shared checkpoint folder."""
+    return f"{shared(spark).sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def written(frame: DataFrame) -> DataFrame:
+    """``frame`` written as a compressed table to the shared checkpoint folder, and read from there."""
+    path = folder(frame.sparkSession, "table")
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def text_of(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, exact_dedup, imatch, line_dedup, mixing, ngram_join, pii, secret_scan, toxicity
+from tessera.llm import bpe, chat, exact_dedup, imatch, line_dedup, mixing, ngram_join, pii, secret_scan, token_alignment, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,7 +76,7 @@ def op7_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranks(name: str = "byte_bpe_50k.tiktoken") -> bytes:
-    """The content of a public rank file."""
+    """The content of a public tokenizer's file."""
     import public_tokenizers
 
     with open(public_tokenizers.path(name), "rb") as file:
@@ -108,6 +108,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[_count(kind) for kind in pii.BASE], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers grouped by shared byte cuts, with corpus-wide counts of their links."""
+    return token_alignment.weigh(table(spark, sf_dir, "documents"), ranks("byte_bpe_50k.json"), ranks("piece_bpe_32k.model"), pattern())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
@@ -119,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_imatch": op9_imatch,
     "op10_pii": op10_pii,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
