@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, exact_dedup, imatch, line_dedup, mixing, ngram_join, pii, secret_scan, token_alignment, toxicity
+from tessera.llm import bpe, chat, exact_dedup, fill_middle, imatch, line_dedup, mixing, ngram_join, pii, secret_scan, token_alignment, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,6 +108,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[_count(kind) for kind in pii.BASE], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document rearranged between its lines, and restored."""
+    made = fill_middle.fill_middle(table(spark, sf_dir, "documents"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of two tokenizers grouped by shared byte cuts, with corpus-wide counts of their links."""
     return token_alignment.weigh(table(spark, sf_dir, "documents"), ranks("byte_bpe_50k.json"), ranks("piece_bpe_32k.model"), pattern())
@@ -124,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_imatch": op9_imatch,
     "op10_pii": op10_pii,
+    "op12_fill_middle": op12_fill_middle,
     "op13_token_alignment": op13_token_alignment,
 }
 
@@ -185,4 +193,15 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(string_agg(CAST(upto - length(body) AS VARCHAR) || ':' || CAST(upto AS VARCHAR), ','
                         ORDER BY turn NULLS FIRST, speaker, text) FILTER (speaker = participant), '') AS mask
         FROM o GROUP BY conv_id, participant, part""",
+    "op12_fill_middle": r"""
+        WITH cut AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units,
+                            sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        drawn AS (SELECT *, len(units) AS n, list_transform(range(4), lambda k: CAST('0x' || substr(h, CAST(8 * k + 1 AS BIGINT), 8) AS BIGINT)) AS d FROM cut),
+        formed AS (SELECT *, CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR d[3] % 100 >= 100 THEN 'plain' WHEN d[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+                          least(d[1] % (n + 1), d[2] % (n + 1)) AS a, greatest(d[1] % (n + 1), d[2] % (n + 1)) AS b FROM drawn),
+        parts AS (SELECT *, array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m, array_to_string(units[b + 1:], '') AS s FROM formed)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM parts""",
 }
