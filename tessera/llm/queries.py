@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, exact_dedup, fill_middle, imatch, line_dedup, mixing, ngram_join, pii, secret_scan, token_alignment, toxicity
+from tessera.llm import arc, bpe, chat, exact_dedup, fill_middle, imatch, line_dedup, mixing, ngram_join, pii, secret_scan, token_alignment, toxicity
+from tessera.llm.common import folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,6 +109,15 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[_count(kind) for kind in pii.BASE], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
+def op11_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as ARC files, converted to WARC files, and read back from these."""
+    arcs, warcs = folder(spark, "arc"), folder(spark, "warc")
+    arc.write_arc(table(spark, sf_dir, "pages"), arcs, "page_id", "url", "html")
+    arc.convert(spark, arcs, warcs)
+    read = arc.read_warc(spark, warcs).where(F.col("type").isin("response", "revisit"))
+    return read.select(F.col("source_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to_source_id").cast("long").alias("refers_to"))
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document rearranged between its lines, and restored."""
     made = fill_middle.fill_middle(table(spark, sf_dir, "documents"))
@@ -131,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_imatch": op9_imatch,
     "op10_pii": op10_pii,
+    "op11_arc_to_warc": op11_arc_to_warc,
     "op12_fill_middle": op12_fill_middle,
     "op13_token_alignment": op13_token_alignment,
 }
@@ -193,6 +204,16 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(string_agg(CAST(upto - length(body) AS VARCHAR) || ':' || CAST(upto AS VARCHAR), ','
                         ORDER BY turn NULLS FIRST, speaker, text) FILTER (speaker = participant), '') AS mask
         FROM o GROUP BY conv_id, participant, part""",
+    "op11_arc_to_warc": """
+        WITH sums AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+        named AS (
+            SELECT page_id, strlen(payload) AS payload_bytes, max(page_id) OVER (PARTITION BY payload) AS keeper,
+                   array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                       ((CAST('0x' || substr(h, 5 * k // 4 + 1, 2) AS INTEGER) >> CAST(3 - 5 * k % 4 AS INTEGER)) & 31) + 1, 1)), '') AS payload_digest
+            FROM sums)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+        FROM named""",
     "op12_fill_middle": r"""
         WITH cut AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units,
                             sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
