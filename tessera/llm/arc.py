@@ -51,12 +51,15 @@ def unpacked(content: bytes) -> bytes:
     """The bytes of an archive, packed or not; of a damaged or cut one, those before the damage."""
     if content[:2] != b"\x1f\x8b":
         return content.rstrip(b"\0")
-    out, rest = io.BytesIO(), content
+    out, pos = io.BytesIO(), 0
     try:
-        while rest[:2] == b"\x1f\x8b":
-            opened = zlib.decompressobj(31)
-            out.write(opened.decompress(rest))
-            rest = opened.unused_data
+        while content[pos : pos + 2] == b"\x1f\x8b":
+            # A member is fed in growing pieces, for what is left of a piece behind its end is copied.
+            opened, step = zlib.decompressobj(31), 1 << 11
+            while not opened.eof and pos < len(content):
+                out.write(opened.decompress(content[pos : pos + step]))
+                pos, step = min(pos + step, len(content)), min(2 * step, 1 << 18)
+            pos -= len(opened.unused_data)
     except zlib.error:
         pass
     return out.getvalue()
@@ -155,7 +158,7 @@ def arc_records(content: bytes) -> Iterator[ArcRecord]:
         number, pos = number + 1, stop
 
 
-def write_arc(rows: DataFrame, path: str, id_col: str, url_col: str, payload_col: str, captured: str = "20000101000000", size: int = 1 << 24, level: int = 2) -> str:
+def write_arc(rows: DataFrame, path: str, id_col: str, url_col: str, payload_col: str, captured: str = "20000101000000", size: int = 1 << 24, level: int = 4) -> str:
     """The rows as ARC files below ``path``, of versions 1 and 2 in turn, about ``size`` packed bytes each; gives ``path``.
 
     A row's block is an HTTP response with the text of ``payload_col`` in UTF-8 (null: empty); its header carries the id,
@@ -270,7 +273,7 @@ def revisits(records: DataFrame, rank: Column, least: int = 0) -> DataFrame:
     return both.where((F.col("archive") != F.col("best.archive")) | (F.col("number") != F.col("best.number")))
 
 
-def to_warc(name: str, records: list[ArcRecord], repeats: dict[int, dict], level: int = 2) -> bytes:
+def to_warc(name: str, records: list[ArcRecord], repeats: dict[int, dict], level: int = 4) -> bytes:
     """The WARC archive of an ARC archive's records. ``repeats``: what the revisits among them refer to, by number.
     Stretches that are no record aren't carried over."""
     def made(r: ArcRecord, kind: str, more: dict[str, str], content_type: str, block: bytes) -> bytes:
@@ -302,7 +305,7 @@ def to_warc(name: str, records: list[ArcRecord], repeats: dict[int, dict], level
     return b"".join(parts)
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, rank: Column | None = None, least: int = 0, level: int = 2) -> DataFrame:
+def convert(spark: SparkSession, arc_path: str, warc_path: str, rank: Column | None = None, least: int = 0, level: int = 4) -> DataFrame:
     """Writes the ARC files below ``arc_path`` as WARC files below ``warc_path``, and gives ``describe_arc`` of the former.
 
     Records are response, resource or warcinfo records; ids follow from the archive's own name and the record's place in
