@@ -94,7 +94,8 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", markd
     found = listed.select("doc_id", shift.alias("shift"), F.posexplode_outer("entries").alias("pos", "e")).where("pos is not null")
     text = F.when(F.col("e.level") > 0, T.strip(F.regexp_extract("e.text", HEADING_MARK, 2))).otherwise(F.col("e.text")) if markdown else F.col("e.text")
     raised = F.when(F.col("shift") & (F.col("pos") > 0) & (F.col("e.level") > 0), F.greatest(F.lit(1), F.col("e.level") - 1)).otherwise(F.col("e.level"))
-    none = [F.lit(None).cast("double").alias(x) for x in ("x0", "y0", "x1", "y1", "size")]
+    # The mark tells later steps that no line has a place, so they needn't look for any.
+    none = [F.lit(None).cast("double").alias(x, metadata={"unplaced": True}) for x in ("x0", "y0", "x1", "y1", "size")]
     return found.select("doc_id", F.col("e.page").alias("page"), (F.col("pos") + 1).alias("line_no"), text.alias("text"), *none, F.lit(False).alias("bold"), F.lit(None).cast("double").alias("page_w"),
                         F.lit(None).cast("double").alias("page_h"), F.col("e.blank_before").alias("blank_before"), raised.cast("int").alias("md_heading"), F.lit(False).alias("footnote"))
 
