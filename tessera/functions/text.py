@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -31,6 +33,15 @@ KEEP_HYPHEN_BEFORE = (
 ).split()
 
 
+def has_any(text: Column, parts: Iterable[str]) -> Column:
+    """Whether any of ``parts`` occurs, by literal search."""
+    return reduce(Column.__or__, [text.contains(part) for part in parts])
+
+
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
 @F.pandas_udf(StringType())
 def _composed(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFC")
@@ -39,7 +50,7 @@ def _composed(text: pd.Series) -> pd.Series:
 def nfc(text: Column) -> Column:
     """Unicode normal form C; Spark has no expression for it.  Texts without a sign from U+0300 on are in it already and
     don't leave the JVM."""
-    return F.coalesce(_composed(F.when(text.rlike(r"[^\x{0}-\x{2ff}]"), text)), text)
+    return F.coalesce(_composed(F.when(~is_ascii(text) & text.rlike(r"[^\x{0}-\x{2ff}]"), text)), text)
 
 
 def strip(text: Column) -> Column:
@@ -52,7 +63,10 @@ def plain_signs(text: Column) -> Column:
     plain = text
     for sign, letters in LIGATURES.items():
         plain = F.replace(plain, F.lit(sign), F.lit(letters))
-    return F.regexp_replace(F.when(text.rlike(ODD), F.translate(plain, *DASHES_AND_BLANKS)).otherwise(text), "[ \t]{2,}+|\t", " ")
+    blanks = lambda t: F.regexp_replace(t, "[ \t]{2,}+|\t", " ")
+    # Literal searches and lengths are much cheaper than patterns.
+    odd = ~is_ascii(text) & text.rlike(ODD)
+    return F.when(odd, blanks(F.translate(plain, *DASHES_AND_BLANKS))).when(has_any(text, ("  ", "\t")), blanks(text)).otherwise(text)
 
 
 def squeeze(text: Column) -> Column:

@@ -38,8 +38,8 @@ def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with a source as the document and a document as its page."""
-    sources = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return corpus_lines(spark, sf_dir).join(sources, "doc_id").withColumn("page", F.col("doc_id")).withColumn("doc_id", F.col("source")).drop("source")
+    docs = table(spark, sf_dir, "documents").withColumn("both", F.struct("source", "doc_id"))
+    return D.lines(docs, "both", paged=False).withColumn("page", F.col("doc_id.doc_id")).withColumn("doc_id", F.col("doc_id.source"))
 
 
 def clean_lines(spark, sf_dir):

@@ -22,6 +22,7 @@ LINES = ("page int, line_no int, text string, x0 double, y0 double, x1 double, y
 # Page breaks, heading marks, block markers.
 PAGE_BREAK = r"(?im)\f|^-{2,}\s*page\s+\d+\s*-{2,}\s*$"
 NEW_LINE = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+ODD_LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 HEADING_MARK = r"^(#{1,6})\s+(.*)$"
 MARKER = r"^[ \t]*<!--\s*(b\d+)\b[^>]*-->[ \t]*$"
 COMMENT = r"(?s)<!--.*?-->"
@@ -64,13 +65,21 @@ def _page_texts(text: Column) -> Column:
     return F.transform(F.array(parts), lambda p: F.when((F.size(p) > 1) & (T.strip(p[0]) == ""), F.slice(p, 2, F.size(p))).otherwise(p))[0]
 
 
+def _rows(text: Column) -> Column:
+    """A text cut at line ends of any kind; where only line feeds occur, no pattern is needed."""
+    # Bound by a lambda, for an expression that stands in many places would be computed in each.
+    cut = lambda t: F.split(F.when(T.has_any(t, ODD_LINE_ENDS), F.regexp_replace(t, NEW_LINE, "\n")).otherwise(t), "\n", -1)
+    return F.transform(F.array(text), cut)[0]
+
+
 def pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, page, text``: pages numbered from 1.  A null text is one empty page; repeated rows and null ids stay."""
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(_page_texts(F.col(text_col))).alias("page", "text")).withColumn("page", F.col("page") + 1)
 
 
-def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", markdown: bool = False, spec: str | None = None, composed: bool = False) -> DataFrame:
-    """``doc_id`` and the columns of ``LINES``: cleaned lines that aren't empty, numbered from 1 in their document.
+def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", markdown: bool = False, spec: str | None = None, composed: bool = False, paged: bool = True) -> DataFrame:
+    """``doc_id`` and the columns of ``LINES``: cleaned lines that aren't empty, numbered from 1 in their document; and ``up`` and
+    ``down``, their numbers from either end of their page.  Without ``paged`` a text is one page.
 
     ``blank_before`` looks at the lines of the page before empty ones go.  With ``markdown``, heading marks become
     levels, and if the only level 1 is the first line, the others go up by one.
@@ -79,14 +88,16 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", markd
     or are null.  A null or empty text has no lines, an empty table gives an empty one; other columns aren't looked at.
     """
     whole = F.col(text_col) if composed else T.nfc(F.col(text_col))
-    texts = docs.select(F.col(id_col).alias("doc_id"), _page_texts(whole).alias("texts"))
-    split = lambda p: F.transform(F.split(T.plain_signs(p), NEW_LINE, -1), T.strip)
+    texts = docs.select(F.col(id_col).alias("doc_id"), (_page_texts(whole) if paged else F.array(F.coalesce(whole, F.lit("")))).alias("texts"))
+    split = lambda p: F.transform(_rows(T.plain_signs(p)), T.strip)
     paged = texts.select("doc_id", F.transform("texts", lambda p, k: F.struct((k + 1).alias("page"), split(p).alias("rows"))).alias("pages"))
     level = lambda text: F.length(F.regexp_extract(text, HEADING_MARK, 1)) if markdown else F.lit(0)
 
     def kept(page: Column) -> Column:
         entry = lambda text, k: F.struct(page["page"].alias("page"), text.alias("text"), ((k > 0) & (F.get(page["rows"], k - 1) == "")).alias("blank_before"), level(text).alias("level"))
-        return F.filter(F.transform(page["rows"], entry), lambda e: e["text"] != "")
+        rows = F.filter(F.transform(page["rows"], entry), lambda e: e["text"] != "")
+        counted = lambda r: F.transform(r, lambda e, k: F.struct(*[e[x].alias(x) for x in ("page", "text", "blank_before", "level")], (k + 1).alias("up"), (F.size(r) - k).alias("down")))
+        return F.transform(F.array(rows), counted)[0]
 
     listed = paged.select("doc_id", F.flatten(F.transform(F.filter("pages", lambda p: in_pages(p["page"], spec)), kept)).alias("entries"))
     shift = (F.get("entries", F.lit(0))["level"] == 1) & (F.size(F.filter("entries", lambda e: e["level"] == 1)) == 1) if markdown else F.lit(False)
@@ -97,7 +108,7 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", markd
     # The mark tells later steps that no line has a place, so they needn't look for any.
     none = [F.lit(None).cast("double").alias(x, metadata={"unplaced": True}) for x in ("x0", "y0", "x1", "y1", "size")]
     return found.select("doc_id", F.col("e.page").alias("page"), (F.col("pos") + 1).alias("line_no"), text.alias("text"), *none, F.lit(False).alias("bold"), F.lit(None).cast("double").alias("page_w"),
-                        F.lit(None).cast("double").alias("page_h"), F.col("e.blank_before").alias("blank_before"), raised.cast("int").alias("md_heading"), F.lit(False).alias("footnote"))
+                        F.lit(None).cast("double").alias("page_h"), F.col("e.blank_before").alias("blank_before"), raised.cast("int").alias("md_heading"), F.lit(False).alias("footnote"), F.col("e.up").alias("up"), F.col("e.down").alias("down"))
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
