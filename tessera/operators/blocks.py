@@ -9,34 +9,21 @@ where each stretch is entered; then the stretches are read again from there.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from tessera.functions import text as T
 from tessera.operators import classify as C
 from tessera.operators import fold, layout
 from tessera.sources.documents import LINES
-from tessera.sources.shared import held
+from tessera.sources.shared import held, in_arrow, joined
 
 KEEP = ("authors", "equation", "table", "reference", "code")
 BY_LINE = ("table", "equation", "code", "authors")
 STRETCH = 4096
 
 
-def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """A join by ``keys`` in which nulls are equal; the columns of ``left`` and the others of ``right``."""
-    named = right.select(*[F.col(k).alias(f"{k}_of") for k in keys], *[c for c in right.columns if c not in keys])
-    test = F.lit(True)
-    for k in keys:
-        test = test & F.col(k).eqNullSafe(F.col(f"{k}_of"))
-    return left.join(named, test, how).drop(*[f"{k}_of" for k in keys])
-
-
 # ---- what is known of a document
 
 
@@ -71,26 +58,26 @@ def short_documents(lines: DataFrame, placed: bool) -> DataFrame:
     """``lines`` with their document's ``body, gap, typical, first_page``, title and ``footnote``, by windows over a document."""
     doc = Window.partitionBy("doc_id")
     marked = layout.measured(layout.mark_footnotes(lines, placed), placed).withColumn("first_page", F.min("page").over(doc))
-    return _joined(marked, placed_titles(marked), ["doc_id"]) if placed else _without_titles(marked)
+    return joined(marked, placed_titles(marked), ["doc_id"]) if placed else _without_titles(marked)
 
 
 def long_documents(lines: DataFrame, placed: bool) -> DataFrame:
     """The same for documents that are too long for a window: what is measured are aggregates, and joined by stretch."""
     measures = lines.groupBy("doc_id").agg(F.min("page").alias("first_page"))
     for found in (layout.typical_length(lines), layout.body_size(lines), layout.base_gap(lines)):
-        measures = _joined(measures, found, ["doc_id"])
+        measures = joined(measures, found, ["doc_id"])
     page = Window.partitionBy("doc_id", "page").orderBy(F.desc("line_no"))
     tails = lines.where("y0 is null").select("doc_id", "page", "stretch", "line_no", layout.note_sign().alias("sign")).withColumn("down", F.row_number().over(page)).where("down <= 4")
     after = F.max("sign").over(Window.partitionBy("doc_id", "page").orderBy("line_no"))
     notes = tails.withColumn("note", after).where("note").groupBy("doc_id", "stretch").agg(F.collect_set("line_no").alias("notes"))
-    stretches = _joined(lines.select("doc_id", "stretch").distinct(), measures, ["doc_id"])
-    marked = _joined(lines, _joined(stretches, notes, ["doc_id", "stretch"]), ["doc_id", "stretch"])
+    stretches = joined(lines.select("doc_id", "stretch").distinct(), measures, ["doc_id"])
+    marked = joined(lines, joined(stretches, notes, ["doc_id", "stretch"]), ["doc_id", "stretch"])
     footnote = F.when(F.col("y0").isNotNull(), layout.small_print()).otherwise(F.coalesce(F.array_contains("notes", F.col("line_no")), F.lit(False)))
     marked = marked.withColumn("footnote", F.coalesce(footnote, F.lit(False))).drop("notes")
     if not placed:
         return _without_titles(marked)
-    stretches = _joined(lines.select("doc_id", "stretch").distinct(), placed_titles(marked), ["doc_id"])
-    return _joined(marked, stretches, ["doc_id", "stretch"])
+    stretches = joined(lines.select("doc_id", "stretch").distinct(), placed_titles(marked), ["doc_id"])
+    return joined(marked, stretches, ["doc_id", "stretch"])
 
 
 # ---- letters
@@ -177,17 +164,12 @@ def letters(lines: DataFrame, keys: list[str], placed: bool) -> DataFrame:
 # ---- blocks
 
 
-def _arrow(frame: DataFrame, run: Callable, schema: str) -> DataFrame:
-    fields = to_arrow_schema(StructType.fromDDL(schema))
-    return frame.mapInArrow(lambda batches: run(batches, fields), schema)
-
-
 POSITION = "state int, n int, block int, note int, section array<string>"
 
 
 def _numbered(lines: DataFrame, kind: str) -> DataFrame:
     columns = ("doc_id", "stretch", "line_no", "page", "letter", "text", "state", "n", "block", "note", "section")
-    return _arrow(lines.select(*columns), fold.number, f"doc_id {kind}, line_no int, text string, block_no int, type string, page int, level int, section_parts array<string>")
+    return in_arrow(lines.select(*columns), fold.number, f"doc_id {kind}, line_no int, text string, block_no int, type string, page int, level int, section_parts array<string>")
 
 
 def build_blocks(lines: DataFrame, stretch: int = STRETCH) -> DataFrame:
@@ -208,17 +190,17 @@ def build_blocks(lines: DataFrame, stretch: int = STRETCH) -> DataFrame:
     if long.isEmpty():
         short = cut
     else:
-        short = _joined(cut, long, ["doc_id"], "left_anti")
+        short = joined(cut, long, ["doc_id"], "left_anti")
     one = letters(short_documents(short.repartition("doc_id"), placed), ["doc_id"], placed).sortWithinPartitions("doc_id", "line_no")
     numbered = _numbered(one.select("*", F.lit(0).alias("stretch"), *start), kind)
     if not long.isEmpty():
         keys = ["doc_id", "stretch"]
-        found = held(_joined(cut, long, ["doc_id"], "left_semi").repartition(*keys))
+        found = held(joined(cut, long, ["doc_id"], "left_semi").repartition(*keys))
         known = long_documents(found, placed)
-        lettered = held(letters(_joined(known, borders(known), keys), keys, placed).repartition(*keys).sortWithinPartitions(*keys, "line_no"))
-        tables = _arrow(lettered.select(*keys, "letter", "text"), fold.summarise, f"doc_id {kind}, stretch int, steps binary, goes_on array<boolean>, heads array<array<string>>")
-        entered = held(_arrow(tables.repartition("doc_id").sortWithinPartitions(*keys), fold.carry, f"doc_id {kind}, stretch int, {POSITION}"))
-        numbered = numbered.unionByName(_numbered(_joined(lettered, entered, keys).sortWithinPartitions(*keys, "line_no"), kind))
+        lettered = held(letters(joined(known, borders(known), keys), keys, placed).repartition(*keys).sortWithinPartitions(*keys, "line_no"))
+        tables = in_arrow(lettered.select(*keys, "letter", "text"), fold.summarise, f"doc_id {kind}, stretch int, steps binary, goes_on array<boolean>, heads array<array<string>>")
+        entered = held(in_arrow(tables.repartition("doc_id").sortWithinPartitions(*keys), fold.carry, f"doc_id {kind}, stretch int, {POSITION}"))
+        numbered = numbered.unionByName(_numbered(joined(lettered, entered, keys).sortWithinPartitions(*keys, "line_no"), kind))
     first = F.struct("type", "page", "level")
     grouped = numbered.groupBy("doc_id", "block_no").agg(
         F.min_by(first, F.when(F.col("type").isNotNull(), F.col("line_no"))).alias("first"), F.max_by("section_parts", F.when(F.col("section_parts").isNotNull(), F.col("line_no"))).alias("section_parts"),

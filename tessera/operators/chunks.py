@@ -7,29 +7,42 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.text import word_count
+from tessera.operators import greedy
+from tessera.sources.shared import held, in_arrow, joined
 
 
-def plan_chunks(blocks: DataFrame, target: int = 1200) -> DataFrame:
+def plan_chunks(blocks: DataFrame, target: int = 1200, stretch: int = 4096) -> DataFrame:
     """``blocks`` with ``words`` and ``chunk_no``: in order, a chunk is closed before a heading once it holds half of
     ``target`` words, before a block that would take it above five quarters, and where references begin.  Kept blocks
-    weigh nothing.  The running total starts anew at each chunk, so a document's weights are folded as one array."""
-    weighed = blocks.withColumn("words", F.when(F.col("keep"), 0).otherwise(word_count(F.col("text"))))
-    # A block in the array: its number, its weight, and whether it is a heading or a reference.
-    items = weighed.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("block_no", "words", (F.col("type") == "heading").alias("head"), (F.col("type") == "reference").alias("ref")))).alias("items"))
-    half, most = F.lit(0.5 * target), F.lit(1.25 * target)
-
-    def place(state, x):
-        full = (x["head"] & (state["held"] >= half)) | (state["held"] + x["words"] > most) | (x["ref"] & ~state["ref"])
-        opens = (F.size(state["starts"]) == 0) | full
-        held = F.when(opens, x["words"]).otherwise(state["held"] + x["words"])
-        starts = F.when(opens, F.concat(state["starts"], F.array(x["block_no"]))).otherwise(state["starts"])
-        return F.struct(held.alias("held"), x["ref"].alias("ref"), starts.alias("starts"))
-
-    start = F.struct(F.lit(0).alias("held"), F.lit(False).alias("ref"), F.array().cast("array<int>").alias("starts"))
-    opened = items.select(F.col("doc_id").alias("of"), F.explode(F.aggregate("items", start, place, lambda s: s["starts"])).alias("start"))
-    marked = weighed.join(opened, (F.col("doc_id") == F.col("of")) & (F.col("block_no") == F.col("start")), "left")
-    number = F.count("start").over(Window.partitionBy("doc_id").orderBy("block_no")).cast("int")
-    return marked.withColumn("chunk_no", number).drop("of", "start")
+    weigh nothing, and so do null texts.  A null ``doc_id`` is a document of its own; blocks that repeat a number follow
+    each other in any order; an empty table gives an empty one.
+
+    A document is read in order with nothing held but the running weight (``tessera.operators.greedy``).  Documents with
+    block numbers of ``stretch`` or more, which are counted first, are cut into stretches that are dealt to all tasks; a
+    row for each tells what it does to any weight held before it.  ``blocks`` is computed twice, so hold what is costly.
+    """
+    taken = {"held0", "chunk0", "referred0", "stretch", "head", "reference"} & set(blocks.columns)
+    if taken:
+        raise ValueError(f"blocks may not have columns {sorted(taken)}")
+    columns, kind = [c for c in blocks.columns if c not in ("words", "chunk_no")], blocks.schema["doc_id"].dataType.simpleString()
+    keys = ["doc_id", "stretch"]
+    words = F.when(F.col("keep"), 0).otherwise(F.coalesce(word_count(F.col("text")), F.lit(0))).cast("int")
+    known = lambda test: F.coalesce(test, F.lit(False))
+    cut = blocks.select(F.floor(F.col("block_no") / stretch).cast("bigint").alias("stretch"), words.alias("words"), known(F.col("type") == "heading").alias("head"), known(F.col("type") == "reference").alias("reference"), *columns)
+    long = held(blocks.groupBy("doc_id").agg(F.max("block_no").alias("most")).where(F.col("most") >= stretch).select("doc_id"))
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.select(*columns).schema], "words int, chunk_no int"])
+
+    def numbered(frame: DataFrame) -> DataFrame:
+        return in_arrow(frame.select(F.col("doc_id").alias("of"), "stretch", "words", "head", "reference", "held0", "chunk0", "referred0", *columns), greedy.number, schema, target)
+
+    start = {"held0": F.lit(0).cast("bigint"), "chunk0": F.lit(0).cast("bigint"), "referred0": F.lit(False)}
+    if long.isEmpty():
+        return numbered(cut.withColumn("stretch", F.lit(0).cast("bigint")).repartition("doc_id").sortWithinPartitions("doc_id", "block_no").withColumns(start))
+    short = joined(cut, long, ["doc_id"], "left_anti").withColumn("stretch", F.lit(0).cast("bigint")).repartition("doc_id").sortWithinPartitions("doc_id", "block_no").withColumns(start)
+    dealt = held(joined(cut, long, ["doc_id"], "left_semi").repartition(*keys).sortWithinPartitions(*keys, "block_no"))
+    summaries = in_arrow(dealt.select(*keys, "words", "head", "reference"), greedy.summarise, f"doc_id {kind}, stretch bigint, {greedy.SUMMARY}", target)
+    entered = held(in_arrow(summaries.repartition("doc_id").sortWithinPartitions(*keys), greedy.carry, f"doc_id {kind}, stretch bigint, {greedy.ENTERED}", target))
+    return numbered(short).unionByName(numbered(joined(dealt, entered, keys).sortWithinPartitions(*keys, "block_no")))
 
 
 def summarise(planned: DataFrame) -> DataFrame:
