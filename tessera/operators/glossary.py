@@ -1,18 +1,19 @@
 """Glossaries of terms, and where texts use them.
 
-Terms are matched by one regular expression that stays in the JVM; which term a match is comes from an equality join of
-the few distinct matched strings with the terms' written forms.
+A few terms are matched by one regular expression that stays in the JVM; which term a match is comes from an equality join
+of the few distinct matched strings with the terms' written forms.  Thousands are matched by an automaton.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import text as T
+from tessera.operators.automaton import count_terms
+from tessera.operators.terms import ranked_keys, term_pattern, written_forms
+from tessera.sources.shared import in_arrow
 
 # Words too common to be checked or suggested unless a paper's own glossary lists them.
 GENERIC = (
@@ -27,6 +28,8 @@ GENERIC = (
     "incentive equilibrium inequality convergence liability"
 ).split()
 PAPER = "paper"
+#: Terms up to which one pattern serves, and signs of all terms that may be sent to every task.
+FEW, MOST_SIGNS = 64, 1 << 26
 
 
 def merge_layers(layers: DataFrame) -> DataFrame:
@@ -36,49 +39,38 @@ def merge_layers(layers: DataFrame) -> DataFrame:
     return keyed.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n", "row", "prec")
 
 
-def _plurals(word: str) -> tuple[str, list[str]]:
-    """A word without what its plural changes, and the endings of the two."""
-    if not (word.isalpha() and word.islower() and len(word) > 2):
-        return word, [""]
-    if re.search("[^aeiou]y$", word):
-        return word[:-1], ["y", "ies"]
-    if re.search("(?:s|x|ch|sh)$", word):
-        return word, ["", "es"]
-    return word, ["", "s", "es"]
-
+def matcher(terms: list[str]) -> str:
+    return r"(?iU)(?<![\w-])(?:" + "|".join(map(term_pattern, ranked_keys(terms))) + r")(?![\w-])"
 
-def term_pattern(term: str) -> str:
-    """A regular expression for a term: any blanks or hyphens between words, a hyphen optional, plurals of a last word in
-    lower case; a term in capitals alone keeps its case."""
-    pieces = re.split(r"(\s+|-)", term)
-    stem, endings = _plurals(pieces[-1])
-    body = "".join(r"[\s\-]+" if p.isspace() else r"[\s\-]?" if p == "-" else re.escape(p) for p in (*pieces[:-1], stem))
-    tail = "" if endings == [""] else f"(?:{'|'.join(endings[::-1])})" if endings[0] else f"(?:{'|'.join(endings[1:])})?"
-    whole = body + tail
-    return f"(?-i:{whole})" if term.upper() == term and term.lower() != term else whole
 
+def listed(glossary: DataFrame) -> list[str]:
+    """The terms of a glossary on the driver, after their number and length were checked there."""
+    size = glossary.agg(F.sum(F.char_length("en")).alias("n")).first()["n"] or 0
+    if size > MOST_SIGNS:
+        raise ValueError(f"the glossary's terms have {size} signs; at most {MOST_SIGNS} can be sent to every task")
+    return [r.en for r in glossary.select("en").distinct().collect()]
 
-def written_forms(term: str) -> list[str]:
-    """A term's singular and plural in lower case without blanks and hyphens."""
-    stem, endings = _plurals(re.split(r"[\s-]+", term)[-1])
-    head = term[: len(term) - len(re.split(r"[\s-]+", term)[-1])]
-    return sorted({re.sub(r"[\s-]+", "", head + stem + x).lower() for x in endings})
 
+def find_terms(texts: DataFrame, terms: list[str], *ids: str, text_col: str = "text") -> DataFrame:
+    """``*ids, key, n, first_pos``: how often each text has each term, counting leftmost matches without overlaps, so a
+    longer term hides a shorter one in it; ``first_pos``: the number of its first match among all of the text's, from 0.
 
-def ranked_keys(terms: list[str]) -> list[str]:
-    """Longest first, then by code point; the first alternative that fits a place is the match."""
-    return sorted(terms, key=lambda t: (-len(t), t.lower()))
+    Up to ``FEW`` terms are one pattern in the JVM; more are an automaton that is broadcast (``listed`` checks the size).
+    Both give the same.  Texts that repeat their ids are counted together; null texts have no terms."""
+    if not ranked_keys(terms):
+        return texts.select(*ids, F.lit("").alias("key"), F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("first_pos")).where("false")
+    return _by_pattern(texts, terms, *ids, text_col=text_col) if len(terms) <= FEW else by_automaton(texts, terms, *ids, text_col=text_col)
 
 
-def matcher(terms: list[str]) -> str:
-    return r"(?iU)(?<![\w-])(?:" + "|".join(map(term_pattern, ranked_keys(terms))) + r")(?![\w-])"
+def by_automaton(texts: DataFrame, terms: list[str], *ids: str, text_col: str = "text") -> DataFrame:
+    """``find_terms`` by ``tessera.operators.automaton``: counted where the texts are; only counts are shuffled."""
+    shared = texts.sparkSession.sparkContext.broadcast(terms)
+    named = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select(*ids).schema)
+    counted = in_arrow(texts.select(*ids, F.col(text_col)), count_terms, f"{named}, key string, n bigint, first_pos int", shared)
+    return counted.groupBy(*ids, "key").agg(F.sum("n").alias("n"), F.min("first_pos").alias("first_pos"))
 
 
-def find_terms(texts: DataFrame, terms: list[str], *ids: str, text_col: str = "text") -> DataFrame:
-    """``*ids, key, n, first_pos``: how often each text has each term, counting leftmost matches without overlaps, so a
-    longer term hides a shorter one in it.  ``terms``: a glossary's terms, which fit the driver."""
-    if not terms:
-        return texts.select(*ids, F.lit("").alias("key"), F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("first_pos")).where("false")
+def _by_pattern(texts: DataFrame, terms: list[str], *ids: str, text_col: str) -> DataFrame:
     spark = texts.sparkSession
     rows = [(t.lower(), k, form, f"(?iU)^(?:{term_pattern(t)})$") for k, t in enumerate(ranked_keys(terms)) for form in written_forms(t)]
     forms = spark.createDataFrame(rows, "key string, rank int, form string, pattern string")
@@ -88,12 +80,31 @@ def find_terms(texts: DataFrame, terms: list[str], *ids: str, text_col: str = "t
     return found.join(named, "match").groupBy(*ids, "key").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"))
 
 
+def _marked(text: Column) -> Column:
+    """Every word between two signs, of its start and of its end."""
+    return F.regexp_replace(text, r"(?U)(\w+)", "\x01$1\x02")
+
+
 def variant_hits(variants: Column, key: Column) -> Column:
-    """Which variants (by index) a text has, as whole words of the normalised forms; ``key``: ``term_key`` of the text."""
-    quoted = lambda v: F.regexp_replace(T.term_key(v, True), r"([\\.\[\]{}()*+\-?^$|])", r"\\$1")
-    hit = lambda v: F.call_function("rlike", key, F.concat(F.lit(r"(?U)(?<!\w)"), quoted(v), F.lit(r"(?!\w)")))
-    places = F.transform(variants, lambda v, i: F.when(hit(v), i))
-    return F.filter(places, lambda i: i.isNotNull())
+    """Which variants (by index) a text has, as whole words of the normalised forms; ``key``: ``term_key`` of the text.
+
+    Words of both are marked by one fixed pattern, and a variant is searched for literally: no pattern is made for a row.
+    Where a variant starts or ends with a sign that is no word, places beside a word don't count."""
+    def hit(v: Column, text: Column) -> Column:
+        part = _marked(T.term_key(v, True))
+        open_start = F.when(part.startswith("\x01"), text).otherwise(F.replace(text, F.concat(F.lit("\x02"), part), F.lit("\x03")))
+        open_end = F.when(part.endswith("\x02"), open_start).otherwise(F.replace(open_start, F.concat(part, F.lit("\x01")), F.lit("\x03")))
+        return F.contains(open_end, part)
+
+    places = F.transform(F.array(_marked(key)), lambda text: F.filter(F.transform(variants, lambda v, i: F.when(hit(v, text), i)), lambda i: i.isNotNull()))
+    return places[0]
+
+
+def has_term(term: Column, text: Column) -> Column:
+    """Whether a text has a term in any case, not behind a sign of a word or a hyphen; what follows is open.  Both are marked
+    by one fixed pattern at all such places."""
+    marked = lambda x: F.regexp_replace(F.lower(x), r"(?U)(?<![\w-])", "\x01")
+    return F.contains(marked(text), F.rtrim(marked(term), F.lit("\x01")))
 
 
 def only_in_names(term: Column, text: Column) -> Column:
@@ -118,8 +129,7 @@ def is_generic() -> Column:
 
 def lookup(texts: DataFrame, glossary: DataFrame, *ids: str, include_generic: bool = False, domains: set[str] | None = None) -> DataFrame:
     """The glossary's entries that each text has, with counts: commonest first, then by first place."""
-    terms = [r.en for r in glossary.select("en").collect()]
-    found = find_terms(texts, terms, *ids).join(glossary, "key")
+    found = find_terms(texts, listed(glossary), *ids).join(glossary, "key")
     if not include_generic:
         found = found.where(~is_generic())
     if domains:

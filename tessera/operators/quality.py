@@ -103,12 +103,10 @@ def pair_issues(pairs: DataFrame, *ids: str) -> DataFrame:
 def term_uses(pairs: DataFrame, glossary: DataFrame, all_terms: bool = False) -> DataFrame:
     """A row for each aligned block and term of its source: the entry, ``hits`` (variants in the target by index) and
     ``english`` (whether the target has the term itself)."""
-    terms = [r.en for r in glossary.select("en").collect()]
-    uses = G.find_terms(pairs.withColumnRenamed("source", "text"), terms, "doc_id", "id").join(glossary, "key")
+    uses = G.find_terms(pairs.withColumnRenamed("source", "text"), G.listed(glossary), "doc_id", "id").join(glossary, "key")
     if not all_terms:
         uses = uses.where(~G.is_generic())
-    quoted = F.regexp_replace("en", r"([\\.\[\]{}()*+\-?^$|])", r"\\$1")
-    english = F.call_function("rlike", F.col("target"), F.concat(F.lit(r"(?iU)(?<![\w-])"), quoted))
+    english = G.has_term(F.col("en"), F.col("target"))
     joined = uses.withColumnRenamed("source", "layer").join(pairs.select("doc_id", "id", "block_no", "type", "target"), ["doc_id", "id"])
     keyed = joined.withColumn("target_key", T.term_key(F.col("target")))
     return keyed.withColumn("hits", G.variant_hits(F.col("vi"), F.col("target_key"))).withColumn("english", english).drop("target_key")
