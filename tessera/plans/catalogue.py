@@ -1,7 +1,7 @@
 """The catalogue of queries over the document operators, with their SQL for DuckDB.
 
-Corpus queries read whole tables.  Where the corpus has no such texts (citations, headings, translations), a query runs
-over the rows of ``tessera.plans.samples``.
+All queries read whole tables.  Where the corpus has no such texts (citations, headings, translations), ``tessera.plans.derived``
+makes them from its rows.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import blocks, chunks, classify, glossary, layout, progress, quality, render
-from tessera.plans import samples
+from tessera.plans import block_sql, derived
 from tessera.sources import documents as D
 
 TARGET = 300
@@ -126,19 +126,23 @@ def progress_totals(spark, sf_dir):
 
 
 def corpus_blocks(spark, sf_dir):
-    """Typed blocks of all documents; the fold has no SQL."""
+    """Typed blocks of all documents."""
+    return derived.shown(typed_blocks(spark, sf_dir))
+
+
+def typed_blocks(spark, sf_dir) -> DataFrame:
     return blocks.build_blocks(layout.drop_furniture(corpus_lines(spark, sf_dir)))
 
 
 def corpus_markdown(spark, sf_dir):
     """Markdown of all documents, labelled ones standing in for translated; rendering has no SQL."""
-    found = corpus_blocks(spark, sf_dir)
+    found = typed_blocks(spark, sf_dir)
     done = table(spark, sf_dir, "labels").select("doc_id", F.lit("b1").alias("block_id"), F.lit("x").alias("text")).distinct()
     return render.markdown_documents(found, done, bilingual=True)
 
 
 def corpus_html(spark, sf_dir):
-    found = corpus_blocks(spark, sf_dir)
+    found = typed_blocks(spark, sf_dir)
     done = table(spark, sf_dir, "labels").select("doc_id", F.lit("b1").alias("block_id"), F.lit("x").alias("text")).distinct()
     return render.html_documents(found, done)
 
@@ -211,7 +215,7 @@ _NUMBERS = "len(list_filter(regexp_extract_all(text, '\\S+'), lambda x: regexp_m
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (clean_lines, word_counts, digit_masks, furniture_keys, furniture_removed, line_features, line_len_p85, chunk_plan, chunk_summary, term_counts, benchmark_phrases,
                             align_turns, untranslated, progress_by_chunk, next_chunk, progress_totals, corpus_blocks, corpus_markdown, corpus_html)
-} | samples.QUERIES
+} | derived.QUERIES
 
 ORACLE_SQL: dict[str, str] = {
     "clean_lines": f"WITH {_LINES} SELECT doc_id, page, line_no, blank_before, text FROM lines",
@@ -253,7 +257,15 @@ ORACLE_SQL: dict[str, str] = {
     "next_chunk": f"WITH RECURSIVE {_PROGRESS} SELECT source, min(chunk_no) AS chunk_no FROM stated WHERE state IN ('todo', 'partial') GROUP BY source",
     "progress_totals": f"""WITH RECURSIVE {_PROGRESS} SELECT source, CAST(sum(need) AS BIGINT) AS total, CAST(sum(have) AS BIGINT) AS done, CAST(sum(words) AS BIGINT) AS words_total,
         CAST(coalesce(sum(words) FILTER (state = 'done'), 0) AS BIGINT) AS words_done FROM stated GROUP BY source""",
-} | samples.ORACLE_SQL
+    "corpus_blocks": block_sql.blocks_sql("documents", bare=True),
+    "paper_blocks": block_sql.blocks_sql("shaped", f"{derived.SHAPED},", bare=True),
+    "headings": f"WITH {derived.SHAPED}, {block_sql.lines_sql('shaped')} SELECT doc_id, line_no, level FROM levelled WHERE level > 0",
+    "shape_features": f"""WITH {derived.SHAPED}, {block_sql.lines_sql('shaped')} SELECT doc_id, count(*) AS n_lines, count(*) FILTER (equation) AS n_equation, count(*) FILTER (tabular) AS n_table, count(*) FILTER (terminal) AS n_terminal,
+        count(*) FILTER (caption) AS n_caption, count(*) FILTER (reference) AS n_reference, count(*) FILTER (known) AS n_known, count(*) FILTER (inline) AS n_abstract FROM levelled GROUP BY doc_id""",
+    "state_fill": f"""WITH {derived.SHAPED}, {block_sql.lines_sql('shaped')},
+        turned AS (SELECT *, CASE WHEN known THEN CASE WHEN name = 'abstract' THEN 'abstract' WHEN name IN ('references', 'bibliography', 'literature cited') THEN 'refs' ELSE 'body' END END AS turn FROM levelled)
+        SELECT doc_id, line_no, coalesce(last_value(turn IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no), 'start') AS state FROM turned""",
+} | derived.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

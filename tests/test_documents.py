@@ -1,9 +1,12 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import blocks, chunks, classify, layout, progress, quality, render
-from tessera.plans import samples
+from tessera.operators import blocks, chunks, classify, glossary, layout, progress, quality, render
 from tessera.sources import documents as D
+from tests import rows as R
 
 
 def text_lines(spark, text, markdown=False):
@@ -11,30 +14,31 @@ def text_lines(spark, text, markdown=False):
 
 
 @pytest.fixture(scope="module")
-def paper(spark):
-    return blocks.build_blocks(layout.drop_furniture(samples.paper_lines(spark))).cache()
+def log(spark):
+    return blocks.build_blocks(layout.drop_furniture(text_lines(spark, R.LOG))).cache()
 
 
-def test_paper_blocks(paper):
-    rows = paper.orderBy("block_no").collect()
-    assert [r.type for r in rows] == ["title", "authors", "heading", "abstract", "heading", "paragraph", "heading", "paragraph", "equation", "table", "heading", "reference"]
-    assert rows[0].text == "Watering Beds Before Sunrise" and rows[1].text == "Ines Okoro and Pavel Dvorak\nGarden Research Station"
-    assert "by underground pipes and by hand-driven pumps alone." in rows[5].text
-    assert rows[2].section == "" and rows[3].section == "Abstract" and rows[5].section == "1 Aim"
-    assert [r.keep for r in rows if r.type in ("authors", "equation", "table", "reference")] == [True] * 4
+def test_kinds_of_a_log(log):
+    rows = log.orderBy("block_no").collect()
+    assert [r.type for r in rows] == ["title", "heading", "paragraph", "heading", "paragraph", "heading", "paragraph", "equation", "table", "heading", "reference"]
+    assert rows[1].text == "Setup" and rows[2].section == "Setup" and rows[6].section == "2 Wet weeks" and rows[8].text == "Week 21 22 23\nRain 40 52 61"
+    assert [r.type for r in rows if r.keep] == ["equation", "table", "reference"]
 
 
-def test_furniture_hyphens_and_page_numbers(spark):
-    crops = ("winter barley", "broad beans", "sugar beet", "red clover")
-    pages = []
-    for p, crop in enumerate(crops, 11):
-        top = "Notes on Fields\nI. Okoro\n\n1 Weeds\n" if p == 11 else ""
-        pages.append(f"Farm Letters 7\n{top}On {crop} the under-\nground parts were counted by a self-\ntrained team of {crop} growers.\n\n{p}\n")
-    found = blocks.build_blocks(layout.drop_furniture(text_lines(spark, "\f".join(pages)))).orderBy("block_no").collect()
-    texts = [r.text for r in found]
-    assert (found[0].type, texts[0]) == ("title", "Notes on Fields") and [r.text for r in found if r.type == "heading"] == ["1 Weeds"]
-    assert all(any(f"On {crop} the underground parts were counted by a self-trained team of {crop} growers." in x for x in texts) for crop in crops)
-    assert not any("Farm Letters" in x or x.strip() in ("11", "12", "13", "14") for x in texts)
+def test_running_lines_by_a_plain_rule(spark):
+    """Random pages: what stands at the edges of half of the pages, numbers aside, goes; so do page numbers there."""
+    rng, edges = random.Random(21), ["Vol. 3, No. 4", "Meadow and Pasture", "p. 12", "a line of its own", "Vol. 9, No. 8", "17", "page 3 of 9", "one line more than ten words long would be left alone as it is"]
+    mask = lambda t: re.sub(r"\d+", "#", t.lower())
+    for _ in range(6):
+        pages = [[rng.choice(edges) for _ in range(rng.randrange(1, 9))] for _ in range(rng.randrange(2, 7))]
+        edge = lambda page, k: (k < 2 or k >= len(page) - 2) and len(page[k].split()) <= 10
+        masks = [{mask(t) for k, t in enumerate(page) if edge(page, k)} for page in pages]
+        running = {m for m in set().union(*masks) if sum(m in x for x in masks) >= max(2, len(pages) / 2)}
+        want = [(p, t) for p, page in enumerate(pages, 1) for k, t in enumerate(page) if not (edge(page, k) and (mask(t) in running or re.fullmatch(r"(page )?\d{1,4}( of \d+)?", t)))]
+        lines = text_lines(spark, "\f".join("\n".join(page) for page in pages))
+        found = [(r.page, r.text) for r in layout.drop_furniture(lines).orderBy("line_no").collect()]
+        by_window = [(r.page, r.text) for r in layout.drop_furniture(lines.drop("up", "down")).orderBy("line_no").collect()]
+        assert found == want and by_window == want
 
 
 def test_markdown_headings(spark):
@@ -97,49 +101,49 @@ def test_footnotes(spark):
     assert [r.footnote for r in found] == [False, False, False, True, True]
 
 
-def test_chunks_cover_blocks_in_order(spark, paper):
-    planned = chunks.plan_chunks(paper, 30)
+def test_chunks_cover_blocks_in_order(spark, log):
+    planned = chunks.plan_chunks(log, 30)
     rows = planned.orderBy("block_no").collect()
     numbers = [r.chunk_no for r in rows]
-    assert numbers == sorted(numbers) and numbers[0] == 1 and len(rows) == paper.count()
+    assert numbers == sorted(numbers) and numbers[0] == 1 and len(rows) == log.count()
     listed = [x for r in chunks.summarise(planned).orderBy("chunk_no").collect() for x in r.blocks]
     assert listed == [r.id for r in rows]
     content = chunks.chunk_files(planned).orderBy("file").first().content
-    assert content.startswith("<!-- chunk-01 | ") and "<!-- b1 | title | p1 -->\nWatering Beds Before Sunrise\n" in content
+    assert content.startswith("<!-- chunk-01 | ") and "<!-- b1 | title | p1 -->\nRain Gauge Log of the Upper Meadow\n" in content
 
 
-def test_work_folder_and_resume(spark, paper, tmp_path):
-    planned = chunks.plan_chunks(paper, 30)
-    chunks.write_work(paper, planned, str(tmp_path))
+def test_work_folder_and_resume(spark, log, tmp_path):
+    planned = chunks.plan_chunks(log, 30)
+    chunks.write_work(log, planned, str(tmp_path))
     done = spark.read.parquet(str(tmp_path / "blocks"))
     docs = spark.createDataFrame([(1,), (2,)], "doc_id long")
     assert [r.doc_id for r in chunks.not_done(docs, done).collect()] == [2]
 
 
 def test_seeded_errors(spark):
-    codes = {(r.id, r.code) for r in quality.pair_issues(spark.createDataFrame(samples.PAIRS, "id long, source string, target string"), "id").collect()}
+    codes = {(r.id, r.code) for r in quality.pair_issues(spark.createDataFrame(R.PAIRS, "id long, source string, target string"), "id").collect()}
     assert {(1, "number"), (1, "citation"), (1, "pronoun"), (2, "verbatim"), (2, "we"), (3, "calque"), (3, "passive"), (5, "untranslated"), (6, "citation")} <= codes
     assert (2, "citation") not in codes and not [c for c in codes if c[0] == 4]
 
 
-def test_check_and_summary(spark, paper):
-    glossary = samples.glossary.merge_layers(samples._layers(spark))
-    done = spark.createDataFrame([(1, "b4", "Chúng ta đo mùa gặt một cách tốt."), (1, "b6", "")], "doc_id long, block_id string, text string")
-    issues = quality.check(paper, done, glossary)
+def test_check_and_summary(spark, log):
+    merged = glossary.merge_layers(R.layers(spark))
+    done = spark.createDataFrame([(1, "b3", "Chúng ta đo mùa gặt một cách tốt."), (1, "b5", "")], "doc_id long, block_id string, text string")
+    issues = quality.check(log, done, merged)
     codes = {r.code for r in issues.collect()}
     assert {"number", "citation", "calque", "we"} <= codes
-    row = quality.summary(paper, done, issues).first()
+    row = quality.summary(log, done, issues).first()
     assert row.to_translate == 8 and row.translated == 1 and row.warnings >= 2
     assert quality.ordered(issues).first().level == "warn"
 
 
-def test_progress(spark, paper):
-    planned = chunks.plan_chunks(paper, 30)
+def test_progress(spark, log):
+    planned = chunks.plan_chunks(log, 30)
     done = spark.createDataFrame([(1, r.id, "x") for r in planned.where("chunk_no = 1 and not keep").collect()], "doc_id long, block_id string, text string")
     states = {r.chunk_no: r.state for r in progress.by_chunk(planned, done).collect()}
     assert states[1] == "done" and set(states.values()) <= {"done", "todo", "keep-only"}
     assert progress.next_chunk(progress.by_chunk(planned, done)).first().chunk_no == min(k for k, s in states.items() if s == "todo")
-    assert [r.block_id for r in D.unknown_ids(spark.createDataFrame([(1, "b1", "x"), (1, "b99", "y")], "doc_id long, block_id string, text string"), paper).collect()] == ["b99"]
+    assert [r.block_id for r in D.unknown_ids(spark.createDataFrame([(1, "b1", "x"), (1, "b99", "y")], "doc_id long, block_id string, text string"), log).collect()] == ["b99"]
 
 
 def test_inline():
@@ -155,14 +159,14 @@ def test_inline_takes_code_before_formulas():
 def test_first_uses_of_other_terms_with_a_paper_glossary(spark):
     """What counts is whether the glossary has entries of the paper's own, also where the document uses none."""
     pairs = spark.createDataFrame([(1, "b1", 1, "paragraph", "each sensor", "mỗi cảm biến")], "doc_id long, id string, block_no int, type string, source string, target string")
-    layers = samples._layers(spark)
-    for glossary, told in ((layers.where("prec = 0"), 1), (layers, 0)):
-        merged = samples.glossary.merge_layers(glossary)
+    layers = R.layers(spark)
+    for chosen, told in ((layers.where("prec = 0"), 1), (layers, 0)):
+        merged = glossary.merge_layers(chosen)
         assert quality.term_issues(quality.term_uses(pairs, merged), merged).where("code = 'first-use'").count() == told
 
 
 def test_panel_leaves_out_generic_terms(spark):
-    merged = samples.glossary.merge_layers(samples._layers(spark))
+    merged = glossary.merge_layers(R.layers(spark))
     found = spark.createDataFrame([("token", 4), ("harvest", 2)], "key string, n long")
     assert [(r.en, r["count"]) for r in progress.panel_terms(found, merged).collect()] == [("mulch", 0), ("Soil Moisture", 0), ("harvest", 2)]
 
@@ -173,19 +177,19 @@ def test_mini_markdown():
         assert part in shown
 
 
-def test_render(spark, paper):
-    done = spark.createDataFrame([(1, "b1", "Một <b>"), (1, "b4", "Tóm tắt")], "doc_id long, block_id string, text string")
-    page = render.html_documents(paper, done).first()
-    assert page.title == "Một &lt;b&gt;" and "Chưa dịch" in page.body and '<li class="l1"><a href="#b3">Abstract</a></li>' in page.toc and "Tóm tắt" in page.body
-    assert render.html_documents(paper, done, summary_only=True).first().body == ""
-    text = render.markdown_documents(paper, done, bilingual=True).first().markdown
-    assert text.startswith("# Một <b>\n\n*Watering Beds Before Sunrise*") and "> We water beds early" in text and "*(chưa dịch)*" in text and "\n\n\n" not in text
+def test_render(spark, log):
+    done = spark.createDataFrame([(1, "b1", "Một <b>"), (1, "b3", "Tóm tắt")], "doc_id long, block_id string, text string")
+    page = render.html_documents(log, done).first()
+    assert page.title == "Một &lt;b&gt;" and "Chưa dịch" in page.body and '<li class="l1"><a href="#b2">Setup</a></li>' in page.toc and "Tóm tắt" in page.body
+    assert render.html_documents(log, done, summary_only=True).first().body == ""
+    text = render.markdown_documents(log, done, bilingual=True).first().markdown
+    assert text.startswith("# Một <b>\n\n*Rain Gauge Log of the Upper Meadow*") and "> The gauge stands on a post." in text and "*(chưa dịch)*" in text and "\n\n\n" not in text
 
 
 def test_streaming(spark, tmp_path):
     from tessera.streaming import incremental
 
-    rows = [(k, samples.PAPER, "en", "s", 1) for k in range(2)]
+    rows = [(k, R.LOG, "en", "s", 1) for k in range(2)]
     spark.createDataFrame(rows, incremental.DOCS).write.parquet(str(tmp_path / "in"))
     for _ in range(2):
         incremental.start(incremental.stream_documents(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"), 30).awaitTermination()
