@@ -48,7 +48,18 @@ _STEPS = {(a, b): side for a, (r, c) in _PLACES.items() for b, (q, d) in _PLACES
 _ORDER = {(a, b): side for x, y in zip("abcdefghijklmnopqrstuvwxyz", "bcdefghijklmnopqrstuvwxyz") for side, (a, b) in enumerate(((x, y), (y, x)))}
 #: A walk's guesses: a first key and direction, then a choice for each further key, straight on or with a turn.
 WALKS = ((_STEPS, math.log10(47 * 6), 0.1, math.log10(6)), (_ORDER, math.log10(26 * 2), 0.1, math.inf))
-_DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d", re.A)
+_MONTH, _DAY, _MARK = "(?:0?[1-9]|1[0-2])", "(?:0?[1-9]|[12]\\d|3[01])", "[-/._]?"
+
+
+def _dates(year: str) -> re.Pattern:
+    """A date with a year first or last, and then month and day in either order; the same sign, or none, twice."""
+    orders = ((year, _MONTH, _DAY), (_DAY, _MONTH, year), (_MONTH, _DAY, year))
+    return re.compile("|".join(f"{x}(?P<s{k}>{_MARK}){y}(?P=s{k}){z}" for k, (x, y, z) in enumerate(orders)), re.A)
+
+
+#: How many years a year may be, and dates with such years: with all four digits or with the last two.
+_YEAR = re.compile(r"(?:19|20)\d\d", re.A)
+_DATES = ((100, _dates(r"\d\d")), (120, _dates(_YEAR.pattern)))
 
 
 def _char_cost(c: str) -> float:
@@ -61,9 +72,14 @@ def _lowered(value: str) -> str:
 
 
 def date_cost(part: str) -> float | None:
-    """Of a whole string that is a date or a year: a year of 120, a day of 372, and signs between them."""
-    found = _DATE.fullmatch(part)
-    return found and math.log10(120) + (0 if len(part) == 4 else math.log10(372) + (0.6 if found[1] or found[2] else 0))
+    """Of a whole string that is a date or a year: a year of 120 or, of two digits, of 100, a day of 372, and signs between
+    them.  Months and days go in either order."""
+    if _YEAR.fullmatch(part):
+        return math.log10(120)
+    for years, pattern in _DATES:
+        if found := pattern.fullmatch(part):
+            return math.log10(years * 372) + (0.6 if any(found.groupdict().values()) else 0)
+    return None
 
 
 def _repeats(value: str, i: int, known: dict[int, tuple[int, int]]) -> Iterator[tuple[int, int]]:

@@ -135,12 +135,36 @@ def test_guesses_behind_aligned_signs():
     assert secret_scan.spans("pwd\n=\nXk9vQ2mZr7Lw " + "pwd" + " " * 300_000 + "pwd" + "\t" * 300_000, 8.0, GUESSER) == []
 
 
+def brute_date(value):
+    """The least cost of a value as a date or a year, by trying all splits, orders and signs."""
+    costs = [math.log10(120)] if len(value) == 4 and value.isdigit() and value[:2] in ("19", "20") else []
+    for sign in ("", "-", "/", ".", "_"):
+        splits = [value.split(sign)] if sign else [[value[:a], value[a:b], value[b:]] for a in range(1, 5) for b in range(a + 1, a + 5)]
+        for x in splits:
+            if len(x) == 3 and all(p.isdigit() and p.isascii() for p in x):
+                for y, m, d in ((x[0], x[1], x[2]), (x[2], x[1], x[0]), (x[2], x[0], x[1])):
+                    if len(m) <= 2 and len(d) <= 2 and 1 <= int(m) <= 12 and 1 <= int(d) <= 31 and (len(y) == 2 or len(y) == 4 and y[:2] in ("19", "20")):
+                        costs.append(math.log10((120 if len(y) == 4 else 100) * 372) + (0.6 if sign else 0))
+    return min(costs, default=None)
+
+
+def test_dates():
+    rng = random.Random(7)
+    for value in ("12/31/1999", "31/12/1999", "1999-12-31", "12/31/99", "31.12.99", "99_12_31", "123199", "1/2/2003", "1999", "13/13/1999", "12-31/1999", "0/1/1999", "12/31/1899", "1/1/1"):
+        assert (secret_scan.date_cost(value) is None) == (brute_date(value) is None), value
+    for _ in range(20000):
+        value = "".join(rng.choice("0123199" + "-/.") for _ in range(rng.randrange(4, 11)))
+        one, other = secret_scan.date_cost(value), brute_date(value)
+        assert one == other or math.isclose(one, other), value
+    assert all(GUESSER.cost(x) < 6 for x in ("12/31/1999", "31/12/1999", "12/31/99", "12311999"))
+
+
 def brute_cost(value, memo):
     """Every segmentation, by the kinds of parts as they are defined."""
     if value not in memo:
         low, n = value.lower(), len(value)
         parts = [math.log10(10 if value.isdigit() else 26 if value.isalpha() else 33)] if n == 1 else []
-        parts += [x for x in (GUESSER.word_cost(value) if n > 2 else None, secret_scan.date_cost(value)) if x is not None]
+        parts += [x for x in (GUESSER.word_cost(value) if n > 2 else None, brute_date(value)) if x is not None]
         for steps, start, straight, turn in secret_scan.WALKS:
             sides = [steps.get(pair) for pair in zip(low, low[1:])]
             if n > 2 and None not in sides:
@@ -155,7 +179,7 @@ def brute_cost(value, memo):
 
 def test_guess_costs_are_least():
     rng, memo = random.Random(8), {}
-    parts = ["pass", "word", "a", "b", "ab", "aab", "love", "L0ve", "qaz", "wsx", "1q", "rfv", "abcd", "dcb", "2019", "19", "-04-", "05", "5", "!", "X", "ana", "ABAB"]
+    parts = ["pass", "word", "a", "b", "ab", "aab", "love", "L0ve", "qaz", "wsx", "1q", "rfv", "abcd", "dcb", "2019", "19", "-04-", "05", "12/31/", "/", "5", "!", "X", "ana", "ABAB"]
     for _ in range(400):
         value = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 7)))[:16]
         assert math.isclose(GUESSER.cost(value), brute_cost(value, memo)), value
