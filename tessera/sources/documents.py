@@ -5,7 +5,6 @@ Every reader is a ``spark.read`` with a fixed schema, so files can be in any sto
 
 from __future__ import annotations
 
-import csv
 import io
 from collections.abc import Iterator, Sequence
 
@@ -155,25 +154,20 @@ def read_pdf_pages(spark: SparkSession, path: str, engine: str = "auto") -> Data
 
 
 def read_glossary(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """``en, vi, domain, note, source, row`` of a glossary file.  Empty lines and lines that start with a # don't count; the
-    first other line names the columns, in any order; rows without a term or without a variant don't count.  A file
-    without lines gives no rows.  Only the header comes to the driver."""
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "^\ufeff", ""), "\r\n|\r|\n", -1)).alias("pos", "line"))
-    lines = whole.where(~F.col("line").rlike(r"^\s*(?:#|$)"))
-    header = lines.orderBy("pos").first()
-    names = next(csv.reader([header.line])) if header else []
-    cells = F.from_csv("line", ", ".join(f"c{k} string" for k in range(len(names) or 1)), {"escape": '"'}).alias("cells")
-    named = lambda name: (F.col(f"cells.c{names.index(name)}") if name in names else F.lit(None).cast("string")).alias(name)
-    rows = lines.where(F.col("pos") > (header.pos if header else 0)).select("pos", cells)
-    return parse_glossary(rows.select(*map(named, ("en", "vi", "domain", "note"))), source)
-
-
-def parse_glossary(raw: DataFrame, source: str) -> DataFrame:
+    """``en, vi, domain, note, source, row`` of a glossary file or of a folder of such files, each with a header of its own
+    (``folders.read_glossaries``)."""
+    from tessera.sources import folders
+
+    return folders.read_glossaries(spark, path, source)[0]
+
+
+def parse_glossary(raw: DataFrame, source: str | None, *more: str) -> DataFrame:
+    """Cells of glossary files (``en, vi, domain, note`` and ``more``) as entries; without ``source``, that is the column ``file``."""
     variants = F.filter(F.transform(F.split(F.coalesce(F.col("vi"), F.lit("")), r"\|", -1), T.strip), lambda v: v != "")
     plain = lambda name: T.strip(F.coalesce(F.col(name), F.lit("")))
-    rows = raw.select(T.strip(T.nfc(plain("en"))).alias("en"), T.nfc(F.array_join(variants, "|")).alias("joined"), plain("domain").alias("domain"), plain("note").alias("note"))
+    rows = raw.select(T.strip(T.nfc(plain("en"))).alias("en"), T.nfc(F.array_join(variants, "|")).alias("joined"), plain("domain").alias("domain"), plain("note").alias("note"), *more)
     return rows.where((F.col("en") != "") & (F.col("joined") != "")).select(
-        "en", F.split("joined", r"\|").alias("vi"), "domain", "note", F.lit(source).alias("source"), F.monotonically_increasing_id().alias("row"))
+        "en", F.split("joined", r"\|").alias("vi"), "domain", "note", (F.col("file") if source is None else F.lit(source)).alias("source"), *(more or [F.monotonically_increasing_id().alias("row")]))
 
 
 def parse_marked(files: DataFrame) -> DataFrame:
