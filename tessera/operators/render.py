@@ -21,6 +21,7 @@ CODE, MATHS = r"`([^`\n]+)`", r"\$\$[^$]+\$\$|\$[^$\n]+\$"
 URL = r"https?://[^\s<>()\]]+[^\s<>().,;:\]]"
 STRONG, EM = r"\*\*(?=\S)(.+?)(?<=\S)\*\*", r"(?<![\w*])\*(?=[^\s*])([^*\n]+?)(?<=[^\s*])\*(?![\w*])"
 CITED = r"\[(\d+(?:\s*[,–\-]\s*\d+)*)\]"
+LABELS = {"equation": "Công thức", "table": "Bảng", "reference": "Tài liệu tham khảo", "authors": "Tác giả", "code": "Mã"}
 MISSING, NOT_YET = "Chưa dịch", "*(chưa dịch)*"
 #: What is taken out, in this order, and how it is shown.
 _VERBATIM = (
@@ -157,7 +158,11 @@ def with_translations(blocks: DataFrame, translations: DataFrame) -> DataFrame:
 
 def render_blocks(blocks: DataFrame, translations: DataFrame) -> DataFrame:
     """``blocks`` with ``vi`` and ``html``: source and translation side by side, kept blocks as they are."""
-    both = with_translations(blocks, translations)
+    return rendered(with_translations(blocks, translations))
+
+
+def rendered(both: DataFrame) -> DataFrame:
+    """Blocks with ``vi``, and with ``html``."""
     pre = lambda c: F.concat(F.lit('<pre class="verbatim">'), T.escape_html(c), F.lit("</pre>"))
     kind, text, vi = F.col("type"), F.col("text"), F.col("vi")
     level = F.least(F.lit(4), F.greatest(F.lit(2), F.col("level") + 1)).cast("string")
@@ -170,7 +175,9 @@ def render_blocks(blocks: DataFrame, translations: DataFrame) -> DataFrame:
     right = F.when(kind == "heading", F.concat(F.lit("<h"), level, F.lit(' class="vi" lang="vi">'), F.coalesce(inline(T.strip_heading_marks(vi)), missing), F.lit("</h"), level, F.lit(">"))).otherwise(
         F.concat(F.lit('<div class="vi" lang="vi">'), F.coalesce(own, F.concat(F.lit("<p>"), missing, F.lit("</p>"))), F.lit("</div>")))
     row = lambda extra, inner: F.concat(F.lit('<div class="row t-'), kind, F.lit(f'{extra}" id="'), F.col("id"), F.lit('">'), inner, F.lit("</div>"))
-    whole = F.when(F.col("keep") & vi.isNull(), row(" full", F.concat(F.lit('<div class="both">'), as_is, F.lit("</div>")))).otherwise(row("", F.concat(left, right)))
+    label = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair]), kind), F.lit(""))
+    full = F.concat(F.lit('<div class="row t-'), kind, F.lit(' full" id="'), F.col("id"), F.lit('" title="'), label, F.lit('"><div class="both">'), as_is, F.lit("</div></div>"))
+    whole = F.when(F.col("keep") & vi.isNull(), full).otherwise(row("", F.concat(left, right)))
     return both.withColumn("html", whole)
 
 
@@ -188,6 +195,13 @@ def html_documents(blocks: DataFrame, translations: DataFrame, summary_only: boo
 def markdown_documents(blocks: DataFrame, translations: DataFrame, bilingual: bool = False, summary_only: bool = False) -> DataFrame:
     """``doc_id, markdown``: the translation, or where there is none the source with a note; ``bilingual`` adds sources."""
     both = with_translations(blocks, translations)
+    rows = as_markdown(both, bilingual).where(F.lit(not summary_only) | (F.col("type") == "title"))
+    parts = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("block_no", "shown"))).alias("b"))
+    return parts.select("doc_id", F.concat(T.strip(F.regexp_replace(F.array_join("b.shown", "\n\n"), r"\n{3,}", "\n\n")), F.lit("\n")).alias("markdown"))
+
+
+def as_markdown(both: DataFrame, bilingual: bool = False) -> DataFrame:
+    """Blocks with ``vi``, and with ``shown``, their Markdown."""
     kind, text, vi = F.col("type"), F.col("text"), F.col("vi")
     hashes = F.repeat(F.lit("#"), F.least(F.lit(5), F.col("level") + 1))
     fenced = lambda c: F.concat(F.lit("```text\n"), c, F.lit("\n```"))
@@ -201,6 +215,4 @@ def markdown_documents(blocks: DataFrame, translations: DataFrame, bilingual: bo
     if bilingual:
         again = F.when(kind == "heading", F.concat(F.lit("\n\n<sub>"), text, F.lit("</sub>"))).when(~F.col("keep") & (kind != "title"), F.concat(F.lit("\n\n> "), F.replace(text, F.lit("\n"), F.lit("\n> "))))
         shown = F.concat(shown, F.coalesce(F.when(vi.isNotNull(), again), F.lit("")))
-    rows = both.withColumn("shown", shown).where(F.lit(not summary_only) | (kind == "title"))
-    parts = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("block_no", "shown"))).alias("b"))
-    return parts.select("doc_id", F.concat(T.strip(F.regexp_replace(F.array_join("b.shown", "\n\n"), r"\n{3,}", "\n\n")), F.lit("\n")).alias("markdown"))
+    return both.withColumn("shown", shown)

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import blocks, chunks, classify, glossary, layout, progress, quality, render
+from tessera.operators import blocks, chunks, classify, glossary, layout, progress, quality, render, whole
 from tessera.plans import block_sql, derived
 from tessera.sources import documents as D
+from tessera.sources.shared import held
 
 TARGET = 300
 TERMS = ["of", "tion", "the and", "is the", "the", "of the", "deren", "les"]
@@ -147,6 +148,15 @@ def corpus_html(spark, sf_dir):
     return render.html_documents(found, done)
 
 
+def whole_markdown(spark, sf_dir):
+    """Whole Markdown documents with how much of them is translated, the first block of labelled ones standing in for translated."""
+    docs = table(spark, sf_dir, "documents")
+    done = table(spark, sf_dir, "labels").select("doc_id", F.lit("b1").alias("block_id"), F.lit("x").alias("text")).distinct()
+    none = F.lit(None).cast("string")
+    meta = docs.select("doc_id", "source", none.alias("title"), F.lit(1).alias("pages"), F.concat(F.lit("# "), "lang").alias("summary"), none.alias("notes"))
+    return whole.files(whole.markdown_parts(held(typed_blocks(spark, sf_dir)), done, meta))
+
+
 def benchmark_phrases(spark, sf_dir):
     """Terms of benchmark items, as a lookup."""
     found = glossary.find_terms(table(spark, sf_dir, "benchmark"), TERMS, "item_id")
@@ -214,7 +224,7 @@ _NUMBERS = "len(list_filter(regexp_extract_all(text, '\\S+'), lambda x: regexp_m
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (clean_lines, word_counts, digit_masks, furniture_keys, furniture_removed, line_features, line_len_p85, chunk_plan, chunk_summary, term_counts, benchmark_phrases,
-                            align_turns, untranslated, progress_by_chunk, next_chunk, progress_totals, corpus_blocks, corpus_markdown, corpus_html)
+                            align_turns, untranslated, progress_by_chunk, next_chunk, progress_totals, corpus_blocks, corpus_markdown, corpus_html, whole_markdown)
 } | derived.QUERIES
 
 ORACLE_SQL: dict[str, str] = {
@@ -257,6 +267,21 @@ ORACLE_SQL: dict[str, str] = {
     "next_chunk": f"WITH RECURSIVE {_PROGRESS} SELECT source, min(chunk_no) AS chunk_no FROM stated WHERE state IN ('todo', 'partial') GROUP BY source",
     "progress_totals": f"""WITH RECURSIVE {_PROGRESS} SELECT source, CAST(sum(need) AS BIGINT) AS total, CAST(sum(have) AS BIGINT) AS done, CAST(sum(words) AS BIGINT) AS words_total,
         CAST(coalesce(sum(words) FILTER (state = 'done'), 0) AS BIGINT) AS words_done FROM stated GROUP BY source""",
+    "whole_markdown": f"""WITH built AS ({block_sql.blocks_sql("documents", bare=True)}), known AS (SELECT DISTINCT doc_id FROM labels),
+        joint AS (SELECT b.*, CASE WHEN b.block_no = 1 AND k.doc_id IS NOT NULL THEN 'x' END AS vi FROM built b LEFT JOIN known k USING (doc_id)),
+        facts AS (SELECT doc_id, count(*) FILTER (NOT keep) AS total, count(*) FILTER (NOT keep AND vi IS NOT NULL) AS done, arg_min(text, block_no) FILTER (type = 'title') AS title, arg_min(vi, block_no) FILTER (type = 'title') AS title_vi,
+                         min(block_no) FILTER (type = 'title') AS title_no, arg_min(text, block_no) FILTER (type = 'authors' AND block_no <= 4) AS authors, min(block_no) FILTER (type = 'authors' AND block_no <= 4) AS authors_no FROM joint GROUP BY doc_id),
+        shown AS (SELECT doc_id, block_no, CASE WHEN type = 'heading' THEN repeat('#', least(5, level + 1)) || ' ' || coalesce(vi, text)
+                         WHEN keep AND type IN ('equation', 'table', 'code') THEN '```text' || chr(10) || coalesce(vi, text) || chr(10) || '```' WHEN keep AND vi IS NULL THEN CASE type WHEN 'reference' THEN '- ' || text ELSE replace(text, chr(10), '  ' || chr(10)) END
+                         WHEN type = 'caption' THEN '*' || coalesce(vi, text || ' *(chưa dịch)*') || '*' WHEN type = 'footnote' THEN '<small>' || coalesce(vi, text || ' *(chưa dịch)*') || '</small>'
+                         WHEN type = 'title' THEN '# ' || coalesce(vi, text) || CASE WHEN vi IS NULL THEN '' ELSE chr(10) || chr(10) || '*' || text || '*' END ELSE coalesce(vi, text || ' *(chưa dịch)*') END || chr(10) || chr(10) AS t
+                  FROM joint JOIN facts USING (doc_id) WHERE block_no <> coalesce(title_no, -1) AND block_no <> coalesce(authors_no, -1)),
+        bodies AS (SELECT doc_id, string_agg(t, '' ORDER BY block_no) AS body FROM shown GROUP BY doc_id)
+        SELECT d.doc_id, '# ' || coalesce(title_vi, title, source, '') || chr(10) || chr(10) || CASE WHEN title_vi IS NULL THEN '' ELSE '*' || title || '*' || chr(10) || chr(10) END
+               || CASE WHEN authors IS NULL THEN '' ELSE replace(authors, chr(10), '  ' || chr(10)) || chr(10) || chr(10) END
+               || '> Bản dịch tiếng Việt của `' || coalesce(source, '') || '` (' || coalesce(done, 0) || '/' || coalesce(total, 0) || ' khối đã dịch). Hãy đối chiếu bản gốc khi trích dẫn.' || chr(10) || chr(10)
+               || '## Đọc nhanh' || chr(10) || chr(10) || '## ' || lang || chr(10) || chr(10) || coalesce(body, '') AS text
+        FROM documents d LEFT JOIN facts USING (doc_id) LEFT JOIN bodies USING (doc_id)""",
     "corpus_blocks": block_sql.blocks_sql("documents", bare=True),
     "paper_blocks": block_sql.blocks_sql("shaped", f"{derived.SHAPED},", bare=True),
     "headings": f"WITH {derived.SHAPED}, {block_sql.lines_sql('shaped')} SELECT doc_id, line_no, level FROM levelled WHERE level > 0",
