@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import text as T
 from tessera.operators import glossary as G
+from tessera.operators.lists import first_few
 
 # What must stay as it is, and rules of style.
 NUMBER = r"(?U)(?<![\w.])[-+]?\d+(?:[.,]\d+)*(?:[eE][-+]?\d+)?%?"
@@ -128,10 +129,12 @@ def term_issues(uses: DataFrame, glossary: DataFrame) -> DataFrame:
 
 
 def inconsistent(uses: DataFrame) -> DataFrame:
-    """Terms for which a document uses more than one variant, with the first six blocks of each."""
-    by_variant = uses.select("doc_id", "key", "en", "vi", "block_no", "id", F.explode("hits").alias("variant")).groupBy("doc_id", "key", "en", "vi", "variant").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct("block_no", "id"))), 1, 6).alias("b"))
-    shown = F.concat(F.element_at("vi", F.col("variant") + 1), F.lit(" ("), F.array_join("b.id", ", "), F.lit(")"))
+    """Terms for which a document uses more than one variant, with the first six blocks of each, by block number and id.
+    No more than six blocks of a variant are ever gathered."""
+    keys = ["doc_id", "key", "en", "vi", "variant"]
+    each = uses.select("doc_id", "key", "en", "vi", "block_no", "id", F.explode("hits").alias("variant"))
+    by_variant = first_few(each, keys, ["block_no"], F.col("id"), 6, "blocks")
+    shown = F.concat(F.element_at("vi", F.col("variant") + 1), F.lit(" ("), F.array_join("blocks", ", "), F.lit(")"))
     grouped = by_variant.withColumn("shown", shown).groupBy("doc_id", "key", "en").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("variant", "shown"))).alias("v"))
     return grouped.where("n > 1").select("doc_id", F.lit(None).cast("string").alias("id"), F.lit("warn").alias("level"), F.lit("inconsistent").alias("code"), "en", F.array_join("v.shown", " vs ").alias("detail"))
 

@@ -114,7 +114,7 @@ def source_chunks(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 def progress_by_chunk(spark, sf_dir):
     found = progress.by_chunk(*source_chunks(spark, sf_dir))
-    return found.select(F.col("doc_id").alias("source"), F.col("chunk_no").cast("bigint").alias("chunk_no"), "words", "need", "have", "state", F.size("missing").cast("bigint").alias("n_missing"))
+    return found.select(F.col("doc_id").alias("source"), F.col("chunk_no").cast("bigint").alias("chunk_no"), "words", "need", "have", "state", F.col("n_missing").cast("bigint").alias("n_missing"))
 
 
 def next_chunk(spark, sf_dir):
@@ -126,6 +126,17 @@ def progress_totals(spark, sf_dir):
     return progress.totals(progress.by_chunk(*source_chunks(spark, sf_dir))).withColumnRenamed("doc_id", "source")
 
 
+def missing_blocks(spark, sf_dir):
+    """The first ten untranslated blocks of each chunk."""
+    found = progress.by_chunk(*source_chunks(spark, sf_dir))
+    return found.select(F.col("doc_id").alias("source"), F.col("chunk_no").cast("bigint").alias("chunk_no"), F.array_join("missing", ",").alias("missing"))
+
+
+def status_report(spark, sf_dir):
+    """Header and next line of each source's status."""
+    return progress.status(progress.by_chunk(*source_chunks(spark, sf_dir))).select(F.col("doc_id").alias("source"), "header", "next")
+
+
 def corpus_blocks(spark, sf_dir):
     """Typed blocks of all documents."""
     return derived.shown(typed_blocks(spark, sf_dir))
@@ -224,7 +235,7 @@ _NUMBERS = "len(list_filter(regexp_extract_all(text, '\\S+'), lambda x: regexp_m
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (clean_lines, word_counts, digit_masks, furniture_keys, furniture_removed, line_features, line_len_p85, chunk_plan, chunk_summary, term_counts, benchmark_phrases,
-                            align_turns, untranslated, progress_by_chunk, next_chunk, progress_totals, corpus_blocks, corpus_markdown, corpus_html, whole_markdown)
+                            align_turns, untranslated, progress_by_chunk, next_chunk, progress_totals, missing_blocks, status_report, corpus_blocks, corpus_markdown, corpus_html, whole_markdown)
 } | derived.QUERIES
 
 ORACLE_SQL: dict[str, str] = {
@@ -265,6 +276,13 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, english, english >= 3 AND english > 0.08 * words AS untranslated FROM counted""",
     "progress_by_chunk": f"WITH RECURSIVE {_PROGRESS} SELECT source, chunk_no, words, need, have, state, n_missing FROM stated",
     "next_chunk": f"WITH RECURSIVE {_PROGRESS} SELECT source, min(chunk_no) AS chunk_no FROM stated WHERE state IN ('todo', 'partial') GROUP BY source",
+    "missing_blocks": f"""WITH RECURSIVE {_PROGRESS}, lacking AS (SELECT p.source, p.chunk_no, p.doc_id FROM plan p LEFT JOIN known USING (doc_id) WHERE known.doc_id IS NULL)
+        SELECT s.source, s.chunk_no, coalesce(array_to_string(list('b' || l.doc_id ORDER BY l.doc_id) FILTER (l.doc_id IS NOT NULL)[1:10], ','), '') AS missing
+        FROM stated s LEFT JOIN lacking l ON l.source = s.source AND l.chunk_no = s.chunk_no GROUP BY s.source, s.chunk_no""",
+    "status_report": f"""WITH RECURSIVE {_PROGRESS}, summed AS (SELECT source, sum(have) AS done, sum(need) AS total, min(chunk_no) FILTER (state IN ('todo', 'partial')) AS n FROM stated GROUP BY source),
+        named AS (SELECT *, CASE WHEN n < 10 THEN '0' || n ELSE CAST(n AS VARCHAR) END AS k FROM summed)
+        SELECT source, 'translated blocks: ' || done || '/' || total || ' (' || CAST(round_even(100 * done / greatest(total, 1), 0) AS INTEGER) || '%)' AS header,
+               CASE WHEN n IS NULL THEN 'All chunks are translated.' ELSE 'Next: translate chunks/chunk-' || k || '.en.md -> translations/chunk-' || k || '.vi.md' END AS next FROM named""",
     "progress_totals": f"""WITH RECURSIVE {_PROGRESS} SELECT source, CAST(sum(need) AS BIGINT) AS total, CAST(sum(have) AS BIGINT) AS done, CAST(sum(words) AS BIGINT) AS words_total,
         CAST(coalesce(sum(words) FILTER (state = 'done'), 0) AS BIGINT) AS words_done FROM stated GROUP BY source""",
     "whole_markdown": f"""WITH built AS ({block_sql.blocks_sql("documents", bare=True)}), known AS (SELECT DISTINCT doc_id FROM labels),
