@@ -47,7 +47,8 @@ def plan_chunks(blocks: DataFrame, target: int = 1200, stretch: int = 4096) -> D
 
 def summarise(planned: DataFrame) -> DataFrame:
     """A row for each chunk: ``id, file, translation, blocks, words, keep_only, heading``; the heading is the chunk's
-    first, or else the section that its first block stands in."""
+    first, or else the section that its first block stands in.  A null ``doc_id`` is a document of its own; repeated blocks are
+    listed as often; an empty plan gives no chunk."""
     number = F.lpad(F.col("chunk_no").cast("string"), 2, "0")
     number = F.when(F.col("chunk_no") > 99, F.col("chunk_no").cast("string")).otherwise(number)
     heading = F.min_by(F.when(F.col("type") == "heading", F.col("text")), F.when(F.col("type") == "heading", F.col("block_no")))
@@ -66,28 +67,17 @@ def block_markdown(blocks: DataFrame) -> DataFrame:
 
 
 def chunk_files(planned: DataFrame) -> DataFrame:
-    """``doc_id, file, content`` of every chunk: a header comment and the blocks' Markdown."""
+    """``doc_id, file, content`` of every chunk: a header comment and the blocks' Markdown, of those with a text.  Null ids,
+    repeats and empty plans as for ``summarise``."""
     chunks = summarise(planned)
     bodies = block_markdown(planned).groupBy("doc_id", "chunk_no").agg(F.sort_array(F.collect_list(F.struct("block_no", "markdown"))).alias("b"))
     header = F.concat(F.lit("<!-- "), "id", F.lit(" | "), F.size("blocks").cast("string"), F.lit(" blocks | ~"), F.col("words").cast("string"), F.lit(" words to translate | "),
                       F.replace(F.left("heading", F.lit(80)), F.lit("--"), F.lit("-")), F.lit(" -->\n"))
-    return chunks.join(bodies, ["doc_id", "chunk_no"]).select("doc_id", "file", F.concat(header, F.lit("\n"), F.array_join("b.markdown", "\n")).alias("content"))
-
-
-def write_work(blocks: DataFrame, planned: DataFrame, path: str) -> None:
-    """Blocks, chunks and chunk files as tables below ``path``; translations aren't touched."""
-    blocks.write.mode("overwrite").parquet(f"{path}/blocks")
-    summarise(planned).write.mode("overwrite").parquet(f"{path}/chunks")
-    chunk_files(planned).write.mode("overwrite").parquet(f"{path}/chunk_files")
-
-
-def not_done(docs: DataFrame, done: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents that a work folder doesn't hold yet."""
-    return docs.join(done.select(id_col).distinct(), id_col, "left_anti")
+    return joined(chunks, bodies, ["doc_id", "chunk_no"], "inner").select("doc_id", "file", F.concat(header, F.lit("\n"), F.array_join("b.markdown", "\n")).alias("content"))
 
 
 def report(blocks: DataFrame) -> DataFrame:
-    """Blocks and words by type, commonest first."""
+    """Blocks and words by type, commonest first; null texts have no words, a null id is a document."""
     return blocks.groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n"), F.sum(word_count(F.col("text"))).alias("words")).orderBy("doc_id", F.desc("n"), "type")
 
 

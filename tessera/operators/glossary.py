@@ -128,7 +128,8 @@ def is_generic() -> Column:
 
 
 def lookup(texts: DataFrame, glossary: DataFrame, *ids: str, include_generic: bool = False, domains: set[str] | None = None) -> DataFrame:
-    """The glossary's entries that each text has, with counts: commonest first, then by first place."""
+    """The glossary's entries that each text has, with counts: commonest first, then by first place.  Null texts have none;
+    texts that repeat their ids are one; an empty glossary or table gives no row."""
     found = find_terms(texts, listed(glossary), *ids).join(glossary, "key")
     if not include_generic:
         found = found.where(~is_generic())
@@ -143,7 +144,8 @@ def new_terms(found: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def show(glossary: DataFrame, query: str, most: int = 40) -> DataFrame:
-    """Entries that have a text in the term or in a variant: the term itself first, then shorter ones."""
+    """Entries that have a text in the term or in a variant: the term itself first, then shorter ones; of
+    equal length by term.  At most ``most`` rows are kept in any task; an empty query fits every entry."""
     asked = T.term_key(F.lit(query), True)
     hit = F.lower("en").contains(asked) | F.exists("vi", lambda v: T.term_key(v, True).contains(asked))
     return glossary.where(hit).orderBy(F.lower("en") != asked, F.char_length("en"), "en").limit(most)

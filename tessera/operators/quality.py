@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tessera.functions import text as T
 from tessera.operators import glossary as G
 from tessera.operators.lists import first_few
+from tessera.sources.shared import joined
 
 # What must stay as it is, and rules of style.
 NUMBER = r"(?U)(?<![\w.])[-+]?\d+(?:[.,]\d+)*(?:[eE][-+]?\d+)?%?"
@@ -77,9 +78,10 @@ def wrong_we(source: Column, target: Column) -> Column:
 
 
 def align(blocks: DataFrame, translations: DataFrame) -> DataFrame:
-    """Blocks that need translation with the translation they have: ``source`` and ``target``."""
-    done = translations.where("text <> ''").select("doc_id", F.col("block_id").alias("id"), F.col("text").alias("target"))
-    return blocks.where(~F.col("keep")).withColumnRenamed("text", "source").join(done, ["doc_id", "id"])
+    """Blocks that need translation with the translation they have: ``source`` and ``target``.  Blocks without one, and those
+    with an empty or null one, are left out; of repeated ones the greatest is taken; null ids are equal."""
+    done = translations.where("text <> ''").groupBy("doc_id", F.col("block_id").alias("id")).agg(F.max("text").alias("target"))
+    return joined(blocks.where(~F.col("keep")).withColumnRenamed("text", "source"), done, ["doc_id", "id"], "inner")
 
 
 def _issue(level: str, code: str, detail: Column) -> Column:
@@ -87,7 +89,8 @@ def _issue(level: str, code: str, detail: Column) -> Column:
 
 
 def pair_issues(pairs: DataFrame, *ids: str) -> DataFrame:
-    """``*ids, level, code, detail`` for what pairs of ``source`` and ``target`` show by themselves."""
+    """``*ids, level, code, detail`` for what pairs of ``source`` and ``target`` show by themselves.  A pair with a null side shows
+    nothing that needs both; each row is looked at alone, so repeated rows give repeated issues, and null ids stay."""
     source, target = F.col("source"), F.col("target")
     some = lambda level, code, lost: F.when(F.size(lost) > 0, _issue(level, code, F.array_join(lost, ", ")))
     when = lambda test, code, detail="": F.when(test, _issue("info", code, F.lit(detail)))
@@ -108,8 +111,8 @@ def term_uses(pairs: DataFrame, glossary: DataFrame, all_terms: bool = False) ->
     if not all_terms:
         uses = uses.where(~G.is_generic())
     english = G.has_term(F.col("en"), F.col("target"))
-    joined = uses.withColumnRenamed("source", "layer").join(pairs.select("doc_id", "id", "block_no", "type", "target"), ["doc_id", "id"])
-    keyed = joined.withColumn("target_key", T.term_key(F.col("target")))
+    found = joined(uses.withColumnRenamed("source", "layer"), pairs.select("doc_id", "id", "block_no", "type", "target"), ["doc_id", "id"], "inner")
+    keyed = found.withColumn("target_key", T.term_key(F.col("target")))
     return keyed.withColumn("hits", G.variant_hits(F.col("vi"), F.col("target_key"))).withColumn("english", english).drop("target_key")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tessera.functions import text as T
+from tessera.sources.shared import joined
 
 # Marks of inline Markdown, and labels.
 CODE, MATHS = r"`([^`\n]+)`", r"\$\$[^$]+\$\$|\$[^$\n]+\$"
@@ -152,8 +153,10 @@ def table_html(text: Column) -> Column:
 
 
 def with_translations(blocks: DataFrame, translations: DataFrame) -> DataFrame:
-    done = translations.where("text <> ''").select("doc_id", F.col("block_id").alias("id"), F.col("text").alias("vi"))
-    return blocks.join(done, ["doc_id", "id"], "left")
+    """``blocks`` with ``vi``, their translation or null.  Empty and null translations don't count; of repeated ones for a block
+    the greatest is taken; null ids are equal; translations of other blocks don't matter."""
+    done = translations.where("text <> ''").groupBy("doc_id", F.col("block_id").alias("id")).agg(F.max("text").alias("vi"))
+    return joined(blocks, done, ["doc_id", "id"])
 
 
 def render_blocks(blocks: DataFrame, translations: DataFrame) -> DataFrame:
@@ -182,7 +185,8 @@ def rendered(both: DataFrame) -> DataFrame:
 
 
 def html_documents(blocks: DataFrame, translations: DataFrame, summary_only: bool = False) -> DataFrame:
-    """``doc_id, title, toc, body``: what a page template puts together."""
+    """``doc_id, title, toc, body``: what a page template puts together, of documents that fit a row (``whole`` serves others).
+    Null ids, repeated and missing translations as for ``with_translations``; an empty table gives an empty one."""
     rendered = render_blocks(blocks, translations)
     title = F.min_by(F.when(F.col("type") == "title", F.coalesce("vi", "text")), F.when(F.col("type") == "title", F.col("block_no")))
     shown = F.lit(not summary_only) & ~F.col("type").isin("title")
@@ -193,7 +197,8 @@ def html_documents(blocks: DataFrame, translations: DataFrame, summary_only: boo
 
 
 def markdown_documents(blocks: DataFrame, translations: DataFrame, bilingual: bool = False, summary_only: bool = False) -> DataFrame:
-    """``doc_id, markdown``: the translation, or where there is none the source with a note; ``bilingual`` adds sources."""
+    """``doc_id, markdown``: the translation, or where there is none the source with a note; ``bilingual`` adds sources.  Of
+    documents that fit a row; nulls, repeats and empty tables as for ``html_documents``."""
     both = with_translations(blocks, translations)
     rows = as_markdown(both, bilingual).where(F.lit(not summary_only) | (F.col("type") == "title"))
     parts = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("block_no", "shown"))).alias("b"))

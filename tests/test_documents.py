@@ -112,14 +112,6 @@ def test_chunks_cover_blocks_in_order(spark, log):
     assert content.startswith("<!-- chunk-01 | ") and "<!-- b1 | title | p1 -->\nRain Gauge Log of the Upper Meadow\n" in content
 
 
-def test_work_folder_and_resume(spark, log, tmp_path):
-    planned = chunks.plan_chunks(log, 30)
-    chunks.write_work(log, planned, str(tmp_path))
-    done = spark.read.parquet(str(tmp_path / "blocks"))
-    docs = spark.createDataFrame([(1,), (2,)], "doc_id long")
-    assert [r.doc_id for r in chunks.not_done(docs, done).collect()] == [2]
-
-
 def test_seeded_errors(spark):
     codes = {(r.id, r.code) for r in quality.pair_issues(spark.createDataFrame(R.PAIRS, "id long, source string, target string"), "id").collect()}
     assert {(1, "number"), (1, "citation"), (1, "pronoun"), (2, "verbatim"), (2, "we"), (3, "calque"), (3, "passive"), (5, "untranslated"), (6, "citation")} <= codes
