@@ -233,6 +233,12 @@ _MATHS = classify.MATH.replace("'", "''")
 _LONE_WORDS = r"len(list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[A-Za-z]{2,}')))"
 _NUMBERS = "len(list_filter(regexp_extract_all(text, '\\S+'), lambda x: regexp_matches(x, '" + "^(" + classify.NUMERIC + ")$')))"
 
+#: A block's Markdown.
+_SHOWN = """CASE WHEN type = 'heading' THEN repeat('#', least(5, level + 1)) || ' ' || coalesce(vi, text)
+                             WHEN keep AND type IN ('equation', 'table', 'code') THEN '```text' || chr(10) || coalesce(vi, text) || chr(10) || '```' WHEN keep AND vi IS NULL THEN CASE type WHEN 'reference' THEN '- ' || text ELSE replace(text, chr(10), '  ' || chr(10)) END
+                             WHEN type = 'caption' THEN '*' || coalesce(vi, text || ' *(chưa dịch)*') || '*' WHEN type = 'footnote' THEN '<small>' || coalesce(vi, text || ' *(chưa dịch)*') || '</small>'
+                             WHEN type = 'title' THEN '# ' || coalesce(vi, text) || CASE WHEN vi IS NULL THEN '' ELSE chr(10) || chr(10) || '*' || text || '*' END ELSE coalesce(vi, text || ' *(chưa dịch)*') END"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (clean_lines, word_counts, digit_masks, furniture_keys, furniture_removed, line_features, line_len_p85, chunk_plan, chunk_summary, term_counts, benchmark_phrases,
                             align_turns, untranslated, progress_by_chunk, next_chunk, progress_totals, missing_blocks, status_report, corpus_blocks, corpus_markdown, corpus_html, whole_markdown)
@@ -285,14 +291,16 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN n IS NULL THEN 'All chunks are translated.' ELSE 'Next: translate chunks/chunk-' || k || '.en.md -> translations/chunk-' || k || '.vi.md' END AS next FROM named""",
     "progress_totals": f"""WITH RECURSIVE {_PROGRESS} SELECT source, CAST(sum(need) AS BIGINT) AS total, CAST(sum(have) AS BIGINT) AS done, CAST(sum(words) AS BIGINT) AS words_total,
         CAST(coalesce(sum(words) FILTER (state = 'done'), 0) AS BIGINT) AS words_done FROM stated GROUP BY source""",
+    "corpus_markdown": f"""WITH built AS ({block_sql.blocks_sql("documents", bare=True)}), known AS (SELECT DISTINCT doc_id FROM labels),
+        joint AS (SELECT b.*, CASE WHEN b.block_no = 1 AND k.doc_id IS NOT NULL THEN 'x' END AS vi FROM built b LEFT JOIN known k USING (doc_id)),
+        shown AS (SELECT doc_id, block_no, {_SHOWN} || CASE WHEN vi IS NULL OR type = 'title' THEN '' WHEN type = 'heading' THEN chr(10) || chr(10) || '<sub>' || text || '</sub>'
+                         WHEN NOT keep THEN chr(10) || chr(10) || '> ' || replace(text, chr(10), chr(10) || '> ') ELSE '' END AS t FROM joint)
+        SELECT doc_id, trim(regexp_replace(string_agg(t, chr(10) || chr(10) ORDER BY block_no), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) || chr(10) AS markdown FROM shown GROUP BY doc_id""",
     "whole_markdown": f"""WITH built AS ({block_sql.blocks_sql("documents", bare=True)}), known AS (SELECT DISTINCT doc_id FROM labels),
         joint AS (SELECT b.*, CASE WHEN b.block_no = 1 AND k.doc_id IS NOT NULL THEN 'x' END AS vi FROM built b LEFT JOIN known k USING (doc_id)),
         facts AS (SELECT doc_id, count(*) FILTER (NOT keep) AS total, count(*) FILTER (NOT keep AND vi IS NOT NULL) AS done, arg_min(text, block_no) FILTER (type = 'title') AS title, arg_min(vi, block_no) FILTER (type = 'title') AS title_vi,
                          min(block_no) FILTER (type = 'title') AS title_no, arg_min(text, block_no) FILTER (type = 'authors' AND block_no <= 4) AS authors, min(block_no) FILTER (type = 'authors' AND block_no <= 4) AS authors_no FROM joint GROUP BY doc_id),
-        shown AS (SELECT doc_id, block_no, CASE WHEN type = 'heading' THEN repeat('#', least(5, level + 1)) || ' ' || coalesce(vi, text)
-                         WHEN keep AND type IN ('equation', 'table', 'code') THEN '```text' || chr(10) || coalesce(vi, text) || chr(10) || '```' WHEN keep AND vi IS NULL THEN CASE type WHEN 'reference' THEN '- ' || text ELSE replace(text, chr(10), '  ' || chr(10)) END
-                         WHEN type = 'caption' THEN '*' || coalesce(vi, text || ' *(chưa dịch)*') || '*' WHEN type = 'footnote' THEN '<small>' || coalesce(vi, text || ' *(chưa dịch)*') || '</small>'
-                         WHEN type = 'title' THEN '# ' || coalesce(vi, text) || CASE WHEN vi IS NULL THEN '' ELSE chr(10) || chr(10) || '*' || text || '*' END ELSE coalesce(vi, text || ' *(chưa dịch)*') END || chr(10) || chr(10) AS t
+        shown AS (SELECT doc_id, block_no, {_SHOWN} || chr(10) || chr(10) AS t
                   FROM joint JOIN facts USING (doc_id) WHERE block_no <> coalesce(title_no, -1) AND block_no <> coalesce(authors_no, -1)),
         bodies AS (SELECT doc_id, string_agg(t, '' ORDER BY block_no) AS body FROM shown GROUP BY doc_id)
         SELECT d.doc_id, '# ' || coalesce(title_vi, title, source, '') || chr(10) || chr(10) || CASE WHEN title_vi IS NULL THEN '' ELSE '*' || title || '*' || chr(10) || chr(10) END

@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions import text as T
 from tessera.sources import documents as D
 from tessera.sources.shared import in_arrow
 
