@@ -164,3 +164,10 @@ def summary(blocks: DataFrame, translations: DataFrame, issues: DataFrame) -> Da
     levels = issues.groupBy("doc_id").agg(F.count_if(F.col("level") == "warn").alias("warnings"), F.count_if(F.col("level") == "info").alias("infos"))
     zero = lambda name: F.coalesce(name, F.lit(0)).alias(name)
     return todo.join(done, "doc_id", "left").join(levels, "doc_id", "left").select("doc_id", "to_translate", zero("translated"), zero("warnings"), zero("infos"))
+
+
+def exit_codes(issues: DataFrame, strict: bool = True) -> DataFrame:
+    """``doc_id, code``: what a check of each document with issues ends with: 1 if it is ``strict`` and there is a warning, else
+    0.  Documents without issues, which have no row, end with 0; a null id is a document; no issues give no row."""
+    warned = F.bool_or(F.col("level") == "warn")
+    return issues.groupBy("doc_id").agg(F.when(F.lit(strict) & F.coalesce(warned, F.lit(False)), 1).otherwise(0).alias("code"))

@@ -137,6 +137,32 @@ def status_report(spark, sf_dir):
     return progress.status(progress.by_chunk(*source_chunks(spark, sf_dir))).select(F.col("doc_id").alias("source"), "header", "next")
 
 
+def sent_back(spark, sf_dir) -> DataFrame:
+    """A translation of one line of each labelled document, empty for some, of lines that don't exist for others."""
+    line = F.concat(F.lit("b"), (F.col("doc_id") % 9 + 1).cast("string"))
+    return table(spark, sf_dir, "labels").select("doc_id", line.alias("block_id"), F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.concat(F.lit("x"), F.col("doc_id").cast("string"))).alias("text")).distinct()
+
+
+def aligned_blocks(spark, sf_dir):
+    """Lines with their translations."""
+    return quality.align(line_blocks(spark, sf_dir), sent_back(spark, sf_dir)).select("doc_id", "id", "source", "target")
+
+
+def unknown_translations(spark, sf_dir):
+    return D.unknown_ids(sent_back(spark, sf_dir), line_blocks(spark, sf_dir)).select("doc_id", "block_id")
+
+
+def chunk_contents(spark, sf_dir):
+    """The files of all chunks."""
+    blocks_ = line_blocks(spark, sf_dir).withColumns({"page": F.lit(1), "level": F.lit(2)})
+    return chunks.chunk_files(chunks.plan_chunks(blocks_, TARGET)).select("doc_id", "file", "content")
+
+
+def block_report(spark, sf_dir):
+    """Blocks and words of the shaped documents by type."""
+    return chunks.report(blocks.build_blocks(layout.drop_furniture(derived.shaped_lines(spark, sf_dir)))).select("doc_id", "type", "n", F.col("words").cast("bigint").alias("words"))
+
+
 def corpus_blocks(spark, sf_dir):
     """Typed blocks of all documents."""
     return derived.shown(typed_blocks(spark, sf_dir))
@@ -216,6 +242,9 @@ _PROGRESS = rf"""
     stated AS (SELECT *, CASE WHEN have = need THEN 'done' WHEN have > 0 THEN 'partial' ELSE 'todo' END AS state, need - have AS n_missing FROM chunked)"""
 
 
+_SENT = "sent AS (SELECT DISTINCT doc_id, 'b' || (doc_id % 9 + 1) AS block_id, CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'x' || doc_id END AS text FROM labels)"
+
+
 def _term_sql(table_name: str, key: str) -> str:
     """Leftmost matches without overlaps: signs that aren't word characters are doubled so that neighbours can share
     one, and a match has one at either end."""
@@ -241,7 +270,7 @@ _SHOWN = """CASE WHEN type = 'heading' THEN repeat('#', least(5, level + 1)) ||
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (clean_lines, word_counts, digit_masks, furniture_keys, furniture_removed, line_features, line_len_p85, chunk_plan, chunk_summary, term_counts, benchmark_phrases,
-                            align_turns, untranslated, progress_by_chunk, next_chunk, progress_totals, missing_blocks, status_report, corpus_blocks, corpus_markdown, corpus_html, whole_markdown)
+                            align_turns, untranslated, progress_by_chunk, next_chunk, progress_totals, missing_blocks, status_report, aligned_blocks, unknown_translations, chunk_contents, block_report, corpus_blocks, corpus_markdown, corpus_html, whole_markdown)
 } | derived.QUERIES
 
 ORACLE_SQL: dict[str, str] = {
@@ -308,6 +337,15 @@ ORACLE_SQL: dict[str, str] = {
                || '> Bản dịch tiếng Việt của `' || coalesce(source, '') || '` (' || coalesce(done, 0) || '/' || coalesce(total, 0) || ' khối đã dịch). Hãy đối chiếu bản gốc khi trích dẫn.' || chr(10) || chr(10)
                || '## Đọc nhanh' || chr(10) || chr(10) || '## ' || lang || chr(10) || chr(10) || coalesce(body, '') AS text
         FROM documents d LEFT JOIN facts USING (doc_id) LEFT JOIN bodies USING (doc_id)""",
+    "aligned_blocks": f"WITH {_LINES}, {_SENT} SELECT l.doc_id, 'b' || l.line_no AS id, l.text AS source, s.text AS target FROM lines l JOIN sent s ON s.doc_id = l.doc_id AND s.block_id = 'b' || l.line_no WHERE s.text <> ''",
+    "unknown_translations": f"WITH {_LINES}, {_SENT} SELECT doc_id, block_id FROM sent s WHERE NOT EXISTS (SELECT 1 FROM lines l WHERE l.doc_id = s.doc_id AND 'b' || l.line_no = s.block_id)",
+    "chunk_contents": f"""WITH RECURSIVE {_LINES}, {_PLAN},
+        joint AS (SELECT p.doc_id, p.n, p.chunk_no, i.w, i.text, i.head, CASE WHEN p.chunk_no > 99 THEN CAST(p.chunk_no AS VARCHAR) ELSE lpad(CAST(p.chunk_no AS VARCHAR), 2, '0') END AS k FROM plan p JOIN items i ON i.doc_id = p.doc_id AND i.n = p.n)
+        SELECT doc_id, 'chunks/chunk-' || k || '.en.md' AS file, '<!-- chunk-' || k || ' | ' || count(*) || ' blocks | ~' || CAST(sum(w) AS BIGINT) || ' words to translate | '
+               || replace(left(coalesce(min_by(text, n) FILTER (head), ''), 80), '--', '-') || ' -->' || chr(10) || chr(10)
+               || string_agg('<!-- b' || n || ' | ' || CASE WHEN head THEN 'heading 2' ELSE 'paragraph' END || ' | p1 -->' || chr(10) || text || chr(10), chr(10) ORDER BY n) AS content
+        FROM joint GROUP BY doc_id, chunk_no, k""",
+    "block_report": f"SELECT doc_id, type, count(*) AS n, CAST(sum({_words('text')}) AS BIGINT) AS words FROM ({block_sql.blocks_sql('shaped', derived.SHAPED + ',', bare=True)}) GROUP BY doc_id, type",
     "corpus_blocks": block_sql.blocks_sql("documents", bare=True),
     "paper_blocks": block_sql.blocks_sql("shaped", f"{derived.SHAPED},", bare=True),
     "headings": f"WITH {derived.SHAPED}, {block_sql.lines_sql('shaped')} SELECT doc_id, line_no, level FROM levelled WHERE level > 0",

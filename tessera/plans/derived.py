@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import blocks, classify, glossary, layout, quality, render
+from tessera.operators import blocks, classify, glossary, layout, progress, quality, render
 from tessera.sources import documents as D
 
 
@@ -177,6 +177,17 @@ _CHECKS = rf"""checked AS (
            len(regexp_extract_all(regexp_replace(regexp_replace(target, '\([^)]*\)', '', 'g'), '([^\p{{L}}\p{{N}}_])', '\1\1', 'g'), '(?i){_WORD_START}(?:the|and|of|to|is|are|with|that|this|which|we|our|from){_WORD_END}')) AS english
     FROM pairs)"""
 
+def strict_exits(spark, sf_dir):
+    """What a strict check of each pair with issues ends with."""
+    return quality.exit_codes(quality.pair_issues(pairs(spark, sf_dir), "doc_id")).select("doc_id", F.col("code").cast("bigint").alias("code"))
+
+
+def text_keys(spark, sf_dir):
+    """Marked texts as keys for comparing, without heading marks, and escaped."""
+    text = F.col("text")
+    return marked(spark, sf_dir).select("doc_id", T.term_key(text).alias("key"), T.strip_heading_marks(F.concat(F.lit("## "), text)).alias("bare"), T.escape_html(F.concat(F.lit("<a href='x'> & \""), text)).alias("escaped"))
+
+
 # ---- glossaries
 
 
@@ -227,6 +238,26 @@ def mined_terms(spark, sf_dir):
     return glossary.by_automaton(table(spark, sf_dir, "documents"), terms, "doc_id").select("doc_id", "key", "n")
 
 
+def term_lookup(spark, sf_dir):
+    """The entries of the glossary that each benchmark item has."""
+    return glossary.lookup(table(spark, sf_dir, "benchmark"), _merged(spark, sf_dir), "item_id").select("item_id", "key", "n")
+
+
+def panel_entries(spark, sf_dir):
+    """Entries for a page's panel of terms, by how often benchmark items have them."""
+    merged = _merged(spark, sf_dir)
+    found = glossary.find_terms(table(spark, sf_dir, "benchmark"), glossary.listed(merged), "item_id")
+    return progress.panel_terms(found, merged).select("key", "en", F.col("count").cast("bigint").alias("n"))
+
+
+def glossary_export(spark, sf_dir):
+    return glossary.export(_merged(spark, sf_dir))
+
+
+def glossary_table(spark, sf_dir):
+    return glossary.as_table(_merged(spark, sf_dir))
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of users as sources and the answers as targets."""
     said = table(spark, sf_dir, "conversations")
@@ -306,8 +337,8 @@ def page_range_filter(spark, sf_dir):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (paper_blocks, headings, state_fill, shape_features, dehyphenate, page_range_filter, missing_numbers, lost_citations, verbatim_loss, style_hits, issue_report, glossary_merge, generic_filtered, term_search,
-                            new_terms, mined_terms, term_uses, inconsistent_terms, translation_conflicts, marked_text, translation_json, html_table_shape)
+    f.__name__: f for f in (paper_blocks, headings, state_fill, shape_features, dehyphenate, page_range_filter, missing_numbers, lost_citations, verbatim_loss, style_hits, issue_report, strict_exits, text_keys, glossary_merge, generic_filtered, term_search,
+                            new_terms, mined_terms, term_lookup, panel_entries, glossary_export, glossary_table, term_uses, inconsistent_terms, translation_conflicts, marked_text, translation_json, html_table_shape)
 }
 
 
@@ -318,6 +349,16 @@ def join_sql(lines: str) -> str:
         THEN CASE WHEN list_contains({keep}, regexp_extract(y, '^[a-z]+')) THEN x ELSE left(x, length(x) - 1) END || y ELSE x || ' ' || y END))"""
 
 
+def _toned(text: str) -> str:
+    for new, old in T.TONES.items():
+        text = f"replace({text}, '{new}', '{old}')"
+    return text
+
+
+#: Terms of the merged glossary in benchmark items.
+_FOUND = rf"""forms AS ({_FORMS.format('merged')}),
+    tokens AS (SELECT item_id, unnest(range(len(t))) AS pos, unnest(t) AS token FROM (SELECT item_id, {_TOKENS.format('text')} AS t FROM benchmark)),
+    named AS (SELECT item_id, key, source FROM (SELECT item_id, key, source, row_number() OVER (PARTITION BY item_id, pos ORDER BY length(en) DESC, key) AS n FROM tokens JOIN forms ON token = form JOIN merged USING (key, en)) WHERE n = 1)"""
 _PAIRED = f"WITH {_MARKED}, {_CHECKS}"
 _TERMS = f"WITH {_LAYERS.replace(' AS source FROM (', ' AS source_layer FROM (')}, {_USES}"
 
@@ -329,6 +370,15 @@ ORACLE_SQL: dict[str, str] = {
     "lost_citations": f"{_PAIRED} SELECT doc_id, brackets, authors FROM checked",
     "verbatim_loss": f"{_PAIRED} SELECT doc_id, formula, code, url FROM checked",
     "style_hits": f"{_PAIRED} SELECT doc_id, calque, passive, pronoun, article, nominal, we, english >= 3 AND english > 0.08 * words AS untranslated FROM checked",
+    "strict_exits": f"""{_PAIRED} SELECT doc_id, CAST(CASE WHEN lost <> '' OR brackets <> '' OR authors <> '' OR formula <> '' OR code <> '' OR url <> '' THEN 1 ELSE 0 END AS BIGINT) AS code FROM checked
+        WHERE lost <> '' OR brackets <> '' OR authors <> '' OR formula <> '' OR code <> '' OR url <> '' OR calque OR passive OR pronoun OR article OR (nominal >= 3 AND nominal * 30 > words) OR we OR (english >= 3 AND english > 0.08 * words)""",
+    "text_keys": rf"""WITH {_MARKED} SELECT doc_id, regexp_replace(translate({_toned("lower(text)")}, '‐‑–', '---'), '[\s\p{{Z}}]+', ' ', 'g') AS key, text AS bare,
+        '&lt;a href=&#x27;x&#x27;&gt; &amp; &quot;' || replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS escaped FROM marked""",
+    "term_lookup": f"""WITH {_LAYERS}, {_FOUND} SELECT item_id, key, count(*) AS n FROM named WHERE NOT (list_contains({list(glossary.GENERIC)}, key) AND source <> 'paper') GROUP BY item_id, key""",
+    "panel_entries": f"""WITH {_LAYERS}, {_FOUND}, counted AS (SELECT key, count(*) AS n FROM named GROUP BY key)
+        SELECT key, en, coalesce(n, 0) AS n FROM merged LEFT JOIN counted USING (key) WHERE (n > 0 AND NOT (list_contains({list(glossary.GENERIC)}, key) AND source <> 'paper')) OR source = 'paper'""",
+    "glossary_export": f"WITH {_LAYERS} SELECT en, array_to_string(vi, '|') AS vi, 'general' AS domain, '' AS note FROM merged",
+    "glossary_table": f"WITH {_LAYERS} SELECT en, '| ' || en || ' | ' || vi[1] || ' | ' || array_to_string(vi[2:], ', ') || ' | general' || CASE WHEN source = 'paper' THEN ' (paper)' ELSE '' END || ' |' AS line FROM merged",
     "issue_report": f"""{_PAIRED}, told AS (
         SELECT unnest([CASE WHEN lost <> '' THEN 'warn number' END, CASE WHEN brackets <> '' THEN 'warn citation' END, CASE WHEN authors <> '' THEN 'warn citation' END, CASE WHEN formula <> '' THEN 'warn verbatim' END,
             CASE WHEN code <> '' THEN 'warn verbatim' END, CASE WHEN url <> '' THEN 'warn verbatim' END, CASE WHEN calque THEN 'info calque' END, CASE WHEN passive THEN 'info passive' END, CASE WHEN pronoun THEN 'info pronoun' END,
