@@ -16,6 +16,8 @@ from tessera.operators import render
 from tessera.sources.shared import joined
 
 # Headings of sections and labels.
+PAGES, DONE_BEFORE, DONE_AFTER = " trang", "đã dịch ", " khối ("
+LINE_BEFORE, LINE_AFTER = "> Bản dịch tiếng Việt của `", " khối đã dịch). Hãy đối chiếu bản gốc khi trích dẫn."
 QUICK, NOTES, TERMS, NO_ENTRY, NO_TERM = "Đọc nhanh", "Ghi chú & giải thích", "Thuật ngữ", "(không có mục)", "(chưa có thuật ngữ)"
 HEAD, CONTENTS, BETWEEN, BLOCKS, NOTE, TERM_HEAD, TERM, TAIL = range(8)
 
@@ -60,8 +62,8 @@ def html_parts(blocks: DataFrame, translations: DataFrame, meta: DataFrame, term
     esc, inline = T.escape_html, render.inline
     shown = body.where(F.lit(not summary_only))
     percent = F.bround(100 * F.col("done") / F.greatest(F.col("total"), F.lit(1))).cast("int").cast("string")
-    told = F.concat_ws(" · ", F.nullif(esc(F.col("source")), F.lit("")), F.when(F.col("pages") > 0, F.concat(F.col("pages").cast("string"), F.lit(" trang"))),
-                       F.concat(F.lit("đã dịch "), F.col("done").cast("string"), F.lit("/"), F.col("total").cast("string"), F.lit(" khối ("), percent, F.lit("%)")))
+    told = F.concat_ws(" · ", F.nullif(esc(F.col("source")), F.lit("")), F.when(F.col("pages") > 0, F.concat(F.col("pages").cast("string"), F.lit(PAGES))),
+                       F.concat(F.lit(DONE_BEFORE), F.col("done").cast("string"), F.lit("/"), F.col("total").cast("string"), F.lit(DONE_AFTER), percent, F.lit("%)")))
     names = F.array_join(F.transform(F.filter(F.split("authors", "\n", -1), lambda x: x != ""), lambda x: F.concat(F.lit("<span>"), esc(x), F.lit("</span>"))), "")
     vi = F.col("title_vi")
     head = F.concat(
@@ -102,7 +104,7 @@ def markdown_parts(blocks: DataFrame, translations: DataFrame, meta: DataFrame,
     vi, end = F.col("title_vi"), F.lit("\n\n")
     deeper = lambda c: F.regexp_replace(c, r"(?m)^(#{1,5})\s", "#$1 ")
     head = F.concat(F.lit("# "), F.coalesce(vi, "title"), end, F.when(vi.isNotNull(), F.concat(F.lit("*"), "title", F.lit("*"), end)).otherwise(F.lit("")), F.when(F.col("authors") != "", F.concat(F.replace("authors", F.lit("\n"), F.lit("  \n")), end)).otherwise(F.lit("")),
-                    F.lit("> Bản dịch tiếng Việt của `"), "source", F.lit("` ("), F.col("done").cast("string"), F.lit("/"), F.col("total").cast("string"), F.lit(" khối đã dịch). Hãy đối chiếu bản gốc khi trích dẫn."), end)
+                    F.lit(LINE_BEFORE), "source", F.lit("` ("), F.col("done").cast("string"), F.lit("/"), F.col("total").cast("string"), F.lit(LINE_AFTER), end)
     section = lambda name, column: F.when(F.col(column) != "", F.concat(F.lit(f"## {name}\n\n"), deeper(F.col(column)), end))
     parts = [_parts(docs, HEAD, head), _parts(docs, BETWEEN, section(QUICK, "summary")), _parts(render.as_markdown(body.where(F.lit(not summary_only)), bilingual), BLOCKS, F.concat("shown", end), F.col("block_no")), _parts(docs, NOTE, section(NOTES, "notes"))]
     if terms is not None:
