@@ -15,6 +15,8 @@ from pyspark.sql.types import StringType
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 NO_SPACE = r"[^\s\x1c-\x1f\x85\p{Z}]"
 BLANKS = "".join(c for c in map(chr, range(0x3001)) if c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85" or unicodedata.category(c)[0] == "Z")
+#: The blanks that are neither controls nor ends of lines.
+SPACES = "".join(c for c in BLANKS if unicodedata.category(c) == "Zs")
 WORD = r"[\p{L}\p{N}_]"
 
 # Fixed values.
@@ -113,17 +115,22 @@ def escape_html(text: Column, quotes: bool = True) -> Column:
     return text
 
 
-def join_lines(lines: Column) -> Column:
-    """Lines of a paragraph as one: a word broken at a line end is joined, with its hyphen if the next line goes on with
-    a word that such compounds have; other lines are joined by a blank."""
+def glue_lines(lines: Column) -> Column:
+    """Lines as one text: a word broken at a line end is joined, with its hyphen if the next line goes on with a word that
+    such compounds have; other lines are joined by a blank."""
 
     def add(text: Column, line: Column) -> Column:
-        broken = text.rlike("[A-Za-z]-$") & line.rlike(r"^\p{Ll}")
+        broken = text.rlike(r"[A-Za-z]-\z") & line.rlike(r"^\p{Ll}")
         compound = F.regexp_extract(line, "^[a-z]+", 0).isin(*KEEP_HYPHEN_BEFORE)
         glued = F.concat(F.when(compound, text).otherwise(F.left(text, F.char_length(text) - 1)), line)
         return F.when(text == "", line).when(broken, glued).otherwise(F.concat(text, F.lit(" "), line))
 
-    return strip(F.aggregate(lines, F.lit(""), add))
+    return F.aggregate(lines, F.lit(""), add)
+
+
+def join_lines(lines: Column) -> Column:
+    """Lines of a paragraph as ``glue_lines`` joins them, with the ends stripped."""
+    return strip(glue_lines(lines))
 
 
 def paragraphs(text: Column) -> Column:

@@ -328,7 +328,10 @@ def html_table_shape(spark, sf_dir):
 def dehyphenate(spark, sf_dir):
     """Documents whose long words were broken at line ends, joined again."""
     broken = F.regexp_replace(F.coalesce("text", F.lit("")), "([a-z]{3})([a-z]{5,})", "$1-\n$2")
-    return table(spark, sf_dir, "documents").select("doc_id", T.join_lines(F.filter(F.transform(F.split(broken, "\n", -1), F.trim), lambda x: x != "")).alias("text"))
+    spaced = lambda x: F.btrim(x, F.lit(T.SPACES))
+    # A function that takes a second argument would be given each line's number as well.
+    lines = F.filter(F.transform(F.split(broken, "\n", -1), lambda x: spaced(x)), lambda x: x != "")
+    return table(spark, sf_dir, "documents").select("doc_id", spaced(T.glue_lines(lines)).alias("text"))
 
 
 def page_range_filter(spark, sf_dir):
