@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Iterable
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -18,6 +18,12 @@ BLANKS = "".join(c for c in map(chr, range(0x3001)) if c in "\t\n\x0b\x0c\r\x1c\
 #: The blanks that are neither controls nor ends of lines.
 SPACES = "".join(c for c in BLANKS if unicodedata.category(c) == "Zs")
 WORD = r"[\p{L}\p{N}_]"
+#: Holds for any sign that normal form C may change, reorder or join with the one before, and for some others; letters with
+#: their marks in one sign aren't among them.
+UNSETTLED = (
+    r"[[^\x{0}-\x{2ff}]&&[\p{M}\p{Cn}\x{374}\x{37e}\x{387}\x{958}-\x{95f}\x{9dc}-\x{9df}\x{a33}-\x{a36}\x{a59}-\x{a5e}\x{b5c}\x{b5d}\x{f43}-\x{f69}\x{1160}-\x{11ff}\x{1f71}-\x{2001}"
+    r"\x{2126}-\x{212b}\x{2329}\x{232a}\x{2adc}\x{f900}-\x{fadf}\x{fb1d}-\x{fb4f}\x{1d15e}-\x{1d1c0}\x{2f800}-\x{2fa1f}]]"
+)
 
 # Fixed values.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
@@ -44,15 +50,17 @@ def is_ascii(text: Column) -> Column:
     return F.octet_length(text) == F.char_length(text)
 
 
-@F.pandas_udf(StringType())
-def _composed(text: pd.Series) -> pd.Series:
-    return text.str.normalize("NFC")
+@F.arrow_udf(StringType())
+def _composed(text: pa.Array) -> pa.Array:
+    # Few texts at a time are Python's strings.
+    few = [text.slice(at, 64) for at in range(0, len(text), 64)]
+    return pa.concat_arrays([x if x.null_count == len(x) else pa.array([t and unicodedata.normalize("NFC", t) for t in x.to_pylist()], text.type) for x in few]) if few else text
 
 
 def nfc(text: Column) -> Column:
-    """Unicode normal form C; Spark has no expression for it.  Texts without a sign from U+0300 on are in it already and
-    don't leave the JVM."""
-    return F.coalesce(_composed(F.when(~is_ascii(text) & text.rlike(r"[^\x{0}-\x{2ff}]"), text)), text)
+    """Unicode normal form C; Spark has no expression for it.  Texts without a sign that the form may change or join are in
+    it already and don't leave the JVM."""
+    return F.coalesce(_composed(F.when(~is_ascii(text) & text.rlike(UNSETTLED), text)), text)
 
 
 def strip(text: Column) -> Column:
