@@ -29,6 +29,18 @@ class Signs(dict):
         return self[c]
 
 
+def _compiled(term: str) -> re.Pattern:
+    pattern = term_pattern(term)
+    return re.compile(pattern.removeprefix("(?-i:").removesuffix(")") if pattern.startswith("(?-i:") else f"(?i:{pattern})")
+
+
+def fits(term: str, written: str) -> bool:
+    """Whether a term's pattern fits a string whose letters are those of one of its forms."""
+    if term.isascii() and written.isascii() and not re.search(r"[\s-]", term + written):
+        return written == term or not (term.upper() == term and term.lower() != term)
+    return _compiled(term).fullmatch(written) is not None
+
+
 class TermAutomaton:
     def __init__(self, terms: list[str]):
         import ahocorasick
@@ -36,7 +48,7 @@ class TermAutomaton:
         self.keys, self.signs, self.fits = [], Signs(), {}
         forms: dict[str, list[int]] = {}
         for rank, term in enumerate(ranked_keys(terms)):
-            self.keys.append((term.lower(), re.compile(term_pattern(term).removeprefix("(?-i:").removesuffix(")") if term_pattern(term).startswith("(?-i:") else f"(?i:{term_pattern(term)})")))
+            self.keys.append((term.lower(), _compiled(term)))
             for form in written_forms(term):
                 forms.setdefault(form, []).append(rank)
         self.machine = ahocorasick.Automaton()

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import text as T
 from tessera.operators.automaton import count_terms
+from tessera.operators.spread import by_join
 from tessera.operators.terms import ranked_keys, term_pattern, written_forms
 from tessera.sources.shared import in_arrow
 
@@ -30,6 +31,8 @@ GENERIC = (
 PAPER = "paper"
 #: Terms up to which one pattern serves, and signs of all terms that may be sent to every task.
 FEW, MOST_SIGNS = 64, 1 << 26
+#: Signs of all terms up to which tasks hold an automaton of them; it takes about 100 bytes a sign.
+HELD_SIGNS = 1 << 18
 
 
 def merge_layers(layers: DataFrame) -> DataFrame:
@@ -62,6 +65,14 @@ def find_terms(texts: DataFrame, terms: list[str], *ids: str, text_col: str = "t
     return _by_pattern(texts, terms, *ids, text_col=text_col) if len(terms) <= FEW else by_automaton(texts, terms, *ids, text_col=text_col)
 
 
+def find_listed(texts: DataFrame, glossary: DataFrame, *ids: str, text_col: str = "text") -> DataFrame:
+    """``find_terms`` for the terms of a glossary of any size: one that is too large for tasks to hold is joined with the texts."""
+    size = glossary.agg(F.sum(F.char_length("en")).alias("n")).first()["n"] or 0
+    if size > HELD_SIGNS:
+        return by_join(texts, glossary, *ids, text_col=text_col)
+    return find_terms(texts, [r.en for r in glossary.select("en").distinct().collect()], *ids, text_col=text_col)
+
+
 def by_automaton(texts: DataFrame, terms: list[str], *ids: str, text_col: str = "text") -> DataFrame:
     """``find_terms`` by ``tessera.operators.automaton``: counted where the texts are; only counts are shuffled."""
     shared = texts.sparkSession.sparkContext.broadcast(terms)
@@ -130,7 +141,7 @@ def is_generic() -> Column:
 def lookup(texts: DataFrame, glossary: DataFrame, *ids: str, include_generic: bool = False, domains: set[str] | None = None) -> DataFrame:
     """The glossary's entries that each text has, with counts: commonest first, then by first place.  Null texts have none;
     texts that repeat their ids are one; an empty glossary or table gives no row."""
-    found = find_terms(texts, listed(glossary), *ids).join(glossary, "key")
+    found = find_listed(texts, glossary, *ids).join(glossary, "key")
     if not include_generic:
         found = found.where(~is_generic())
     if domains:

@@ -107,7 +107,7 @@ def pair_issues(pairs: DataFrame, *ids: str) -> DataFrame:
 def term_uses(pairs: DataFrame, glossary: DataFrame, all_terms: bool = False) -> DataFrame:
     """A row for each aligned block and term of its source: the entry, ``hits`` (variants in the target by index) and
     ``english`` (whether the target has the term itself)."""
-    uses = G.find_terms(pairs.withColumnRenamed("source", "text"), G.listed(glossary), "doc_id", "id").join(glossary, "key")
+    uses = G.find_listed(pairs.withColumnRenamed("source", "text"), glossary, "doc_id", "id").join(glossary, "key")
     if not all_terms:
         uses = uses.where(~G.is_generic())
     english = G.has_term(F.col("en"), F.col("target"))

@@ -234,8 +234,8 @@ def new_terms(spark, sf_dir):
 
 def mined_terms(spark, sf_dir):
     """How often documents have the words of benchmark items, thousands of terms at once."""
-    terms = glossary.listed(table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{4,}"), F.lit(0))).alias("en")).distinct())
-    return glossary.by_automaton(table(spark, sf_dir, "documents"), terms, "doc_id").select("doc_id", "key", "n")
+    terms = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{4,}"), F.lit(0))).alias("en")).distinct()
+    return glossary.find_listed(table(spark, sf_dir, "documents"), terms, "doc_id").select("doc_id", "key", "n")
 
 
 def term_lookup(spark, sf_dir):
@@ -246,7 +246,7 @@ def term_lookup(spark, sf_dir):
 def panel_entries(spark, sf_dir):
     """Entries for a page's panel of terms, by how often benchmark items have them."""
     merged = _merged(spark, sf_dir)
-    found = glossary.find_terms(table(spark, sf_dir, "benchmark"), glossary.listed(merged), "item_id")
+    found = glossary.find_listed(table(spark, sf_dir, "benchmark"), merged, "item_id")
     return progress.panel_terms(found, merged).select("key", "en", F.col("count").cast("bigint").alias("n"))
 
 

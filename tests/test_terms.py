@@ -30,6 +30,24 @@ def test_automaton_is_the_pattern(spark):
         assert firsts(one) == firsts(other)
 
 
+def test_join_is_the_automaton(spark, monkeypatch):
+    """The same rows, with repeated texts and ids, and nothing of the glossary on the driver or in an automaton."""
+    rng = random.Random(5)
+    rows = [(k // 3 if k % 50 else None, t) for k, t in enumerate(texts(rng, 600))] * 2 + [(7, None), (8, ""), (9, "soil, soil, soils")] * 2
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {}
+    for terms in (TERMS + ["Soil", "ndvi", "C++", "id", " ", ""], ["bed"], ["-"]):
+        want = glossary.by_automaton(frame, terms, "doc_id").collect()
+        entries = spark.createDataFrame([(t,) for t in terms], "en string")
+        with monkeypatch.context() as m:
+            m.setattr(glossary, "HELD_SIGNS", 0)
+            m.setattr(glossary, "find_terms", None)
+            found = glossary.find_listed(frame, entries, "doc_id").collect()
+        assert sorted(map(tuple, found), key=repr) == sorted(map(tuple, want), key=repr), terms
+        assert bool(found) == (terms != ["-"])
+    assert glossary.find_listed(frame, entries.where("false"), "doc_id").count() == 0
+
+
 def test_thousands_of_terms(spark):
     rng = random.Random(4)
     terms = [f"word{k} tail{k % 7}" for k in range(5000)] + [f"word{k}" for k in range(0, 5000, 3)]
