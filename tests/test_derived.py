@@ -1,6 +1,7 @@
 import duckdb
 
 import __spark_entry__
+from tessera.operators import glossary
 
 
 def differences(spark, folder, name, **tables):
@@ -19,3 +20,12 @@ def differences(spark, folder, name, **tables):
 def test_dehyphenate_keeps_digits_and_other_blanks(spark, tmp_path):
     texts = ["0 first\n1 second 1\n 22 third 2", "  a line\n\n \n", "", None, "one-\r\ntwo", "\ta tab\t\n\x0bend\t", "\xa0blank \nwide　", "three words trained\nfine-\ntuning", "-\n-\nx"]
     assert differences(spark, tmp_path, "dehyphenate", documents=("doc_id long, text string, lang string", [(k, t, "en") for k, t in enumerate(texts)])) == []
+
+
+def test_inconsistent_terms_without_a_held_glossary(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(glossary, "HELD_SIGNS", 0)
+    monkeypatch.setattr(glossary, "listed", None)
+    said = [(1, k, ("user", "assistant")[k % 2], t) for k, t in enumerate(("harvest and sensors, harvests", "harv and sensorx", "the Harvest", "harvestx; harv", "no sensor", None))] + [(2, 0, "user", "sensor"), (2, 1, "assistant", "sens sensorx")]
+    tables = {"conversations": ("conv_id long, turn long, role string, text string", said), "benchmark": ("item_id long, text string", [(4, "harvest of sensor beds")])}
+    assert differences(spark, tmp_path, "inconsistent_terms", **tables) == []
+    assert __spark_entry__.queries()["inconsistent_terms"](spark, str(tmp_path)).count() > 0
