@@ -125,15 +125,26 @@ def escape_html(text: Column, quotes: bool = True) -> Column:
 
 def glue_lines(lines: Column) -> Column:
     """Lines as one text: a word broken at a line end is joined, with its hyphen if the next line goes on with a word that
-    such compounds have; other lines are joined by a blank."""
+    such compounds have; other lines are joined by a blank.  Empty lines before the first other one leave nothing, and a
+    line that is null makes the text null.
 
-    def add(text: Column, line: Column) -> Column:
-        broken = text.rlike(r"[A-Za-z]-\z") & line.rlike(r"^\p{Ll}")
-        compound = F.regexp_extract(line, "^[a-z]+", 0).isin(*KEEP_HYPHEN_BEFORE)
-        glued = F.concat(F.when(compound, text).otherwise(F.left(text, F.char_length(text) - 1)), line)
-        return F.when(text == "", line).when(broken, glued).otherwise(F.concat(text, F.lit(" "), line))
+    Each line is seen with the next one alone, so the time grows with the text and not with its square."""
 
-    return F.aggregate(lines, F.lit(""), add)
+    def ended(line: Column, after: Column) -> Column:
+        broken = line.endswith("-") & F.right(line, F.lit(2)).rlike(r"[A-Za-z]-\z") & after.rlike(r"^\p{Ll}")
+        compound = F.regexp_extract(after, "^[a-z]+", 0).isin(*KEEP_HYPHEN_BEFORE)
+        return F.when(after.isNull(), line).when(broken, F.when(compound, line).otherwise(F.left(line, F.char_length(line) - 1))).otherwise(F.concat(line, F.lit(" ")))
+
+    def glued(held: Column) -> Column:
+        return F.array_join(F.zip_with(held, F.slice(held, 2, F.size(held)), ended), "")
+
+    def whole(held: Column) -> Column:
+        first = F.array_position(F.transform(held, lambda x: x != ""), F.lit(True))
+        told = F.when(F.get(held, F.lit(0)) != "", glued(held)).when(first > 0, glued(F.slice(held, first.cast("int"), F.size(held)))).otherwise("")
+        return F.when(~F.exists(held, lambda x: x.isNull()), told)
+
+    # As an item of an array the lines are made once, however often they are read.
+    return F.transform(F.array(lines), whole)[0]
 
 
 def join_lines(lines: Column) -> Column:

@@ -1,3 +1,5 @@
+import time
+
 import duckdb
 
 import __spark_entry__
@@ -22,6 +24,15 @@ def test_dehyphenate_keeps_digits_and_other_blanks(spark, tmp_path):
     assert differences(spark, tmp_path, "dehyphenate", documents=("doc_id long, text string, lang string", [(k, t, "en") for k, t in enumerate(texts)])) == []
 
 
+def test_dehyphenate_takes_time_with_the_length_of_a_text(spark, tmp_path):
+    """A text of 12,000 broken words; where each line passes all the text before it, that takes most of a minute."""
+    text = " ".join(["harvester"] * 12_000)
+    spark.createDataFrame([(1, "a harvester", "en"), (2, text, "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    start = time.time()
+    assert dict(map(tuple, __spark_entry__.queries()["dehyphenate"](spark, str(tmp_path)).collect())) == {1: "a harvester", 2: text}
+    assert time.time() - start < 15
+
+
 def test_inconsistent_terms_without_a_held_glossary(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(glossary, "HELD_SIGNS", 0)
     monkeypatch.setattr(glossary, "listed", None)
